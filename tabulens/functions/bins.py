@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+def _double(number: float) -> str:
+    return f"double('{number!r}')"
 
 
 @dataclass(frozen=True)
 class IntBins:
-    """Equal-count integer bins: widths differ by at most one, the wider bins come first."""
+    """Integer bins whose widths differ by at most one; the wider bins come first."""
 
     low: int
     high: int
@@ -30,25 +31,22 @@ class IntBins:
     def upper(self, index: int) -> int:
         return self.lower(index + 1) - 1
 
-    def index_of(self, value: Column) -> Column:
+    def index_sql(self, value: str) -> str:
+        """The bin of an integer SQL expression within the range."""
         # A full-range bigint column has offsets beyond 63 bits; only then pay for decimals.
         wide = self.high - self.low >= 2**63 - 1
         kind = "decimal(38,0)" if wide else "bigint"
 
-        def lit(number: int) -> Column:
-            return F.lit(str(number)).cast(kind) if wide else F.lit(number).cast("bigint")
-
-        def whole(part: Column, divisor: int) -> Column:
-            return F.call_function("div", part, lit(divisor))
+        def number(n: int) -> str:
+            return f"cast('{n}' as {kind})"
 
-        offset = value.cast(kind) - lit(self.low)
+        offset = f"(cast({value} as {kind}) - {number(self.low)})"
         head = self.wider * (self.width + 1)
-        tail = lit(self.wider) + whole(offset - lit(head), self.width)
+        tail = f"{self.wider} + ({offset} - {number(head)}) div {number(self.width)}"
         if self.wider == 0:
-            return tail.cast("int")
-        return (
-            F.when(offset < lit(head), whole(offset, self.width + 1)).otherwise(tail).cast("int")
-        )
+            return f"int({tail})"
+        first = f"{offset} div {number(self.width + 1)}"
+        return f"int(if({offset} < {number(head)}, {first}, {tail}))"
 
 
 @dataclass(frozen=True)
@@ -66,15 +64,13 @@ class FloatEdges:
     def edge(self, index: int) -> float:
         return self.low + self.width * index
 
-    def right_closed_index(self, value: Column) -> Column:
+    def right_closed_sql(self, value: str) -> str:
         """Bin of ``(a, b]`` intervals: how many inner edges lie below the value."""
-        index = F.lit(0)
-        for inner in range(1, self.bins):
-            index = index + F.when(value > F.lit(self.edge(inner)), 1).otherwise(0)
-        return index
+        inner = [f"int({value} > {_double(self.edge(i))})" for i in range(1, self.bins)]
+        return " + ".join(["0", *inner])
 
-    def left_closed_index(self, value: Column) -> Column:
+    def left_closed_sql(self, value: str) -> str:
         """Bin of ``[a, b)`` intervals by scaling, clamped to the last bin."""
-        span = self.high - self.low
-        scaled = F.floor((value - F.lit(self.low)) / F.lit(span) * F.lit(self.bins))
-        return F.least(F.lit(self.bins - 1), F.greatest(F.lit(0), scaled.cast("int")))
+        span = _double(self.high - self.low)
+        scaled = f"floor(({value} - {_double(self.low)}) / {span} * {self.bins})"
+        return f"least({self.bins - 1}, greatest(0, int({scaled})))"

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.names import BOOLEAN_TOKENS, col
+from tabulens.functions.names import BOOLEAN_TOKENS, quoted, text_literal
 from tabulens.functions.quantiles import DIRECT_LIMIT, exact_percentiles
 from tabulens.session import small_frame
 
@@ -60,8 +60,13 @@ class ColumnInfo:
         return self.kind in ("integer", "float", "decimal")
 
     @property
-    def ref(self) -> Column:
-        return col(self.name)
+    def sql(self) -> str:
+        """The column as SQL text. Wide tables need hundreds of expressions; text builds them fast."""
+        return quoted(self.name)
+
+    @property
+    def double(self) -> str:
+        return f"cast({self.sql} as double)"
 
     @property
     def carrier(self) -> str:
@@ -74,12 +79,26 @@ class ColumnInfo:
             "temporal": self.dtype.simpleString(),
         }.get(self.kind, "string")
 
-    def carried(self) -> Column:
+    @property
+    def carried(self) -> str:
         if self.kind != "other":
-            return self.ref.cast(self.carrier)
+            return f"cast({self.sql} as {self.carrier})"
         if isinstance(self.dtype, T.BinaryType):
-            return F.hex(self.ref)
-        return F.to_json(comparable(self.ref, self.dtype))
+            return f"hex({self.sql})"
+        return f"to_json({self.groupable})" if _jsonable(self.dtype) else f"string({self.sql})"
+
+    @property
+    def groupable(self) -> str:
+        """A form that can be grouped and hashed: maps as sorted entries, zeros of one sign."""
+        if isinstance(self.dtype, T.MapType):
+            return f"array_sort(map_entries({self.sql}))"
+        if self.kind == "float":
+            return f"({self.sql} + cast(0 as {self.dtype.simpleString()}))"
+        return self.sql
+
+
+def _jsonable(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.ArrayType, T.MapType, T.StructType))
 
 
 def column_infos(df: DataFrame, columns: Sequence[str] | None = None) -> list[ColumnInfo]:
@@ -88,40 +107,44 @@ def column_infos(df: DataFrame, columns: Sequence[str] | None = None) -> list[Co
     return [c for c in infos if columns is None or c.name in columns]
 
 
-def comparable(value: Column, dtype: T.DataType) -> Column:
-    """A column that can be grouped, hashed and rendered: maps become sorted entry arrays."""
-    if isinstance(dtype, T.MapType):
-        return F.array_sort(F.map_entries(value))
-    return value
-
-
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
 def per_column_aggregate(
-    df: DataFrame, infos: Sequence[ColumnInfo], fields: Callable[[ColumnInfo], dict[str, Column]]
+    df: DataFrame,
+    infos: Sequence[ColumnInfo],
+    fields: Callable[[ColumnInfo], dict[str, str]],
+    types: dict[str, str],
 ) -> DataFrame:
-    """Aggregate all columns in one scan, then turn the single wide row into one row per column."""
+    """Aggregate all columns in one scan, then turn the single wide row into one row per column.
+
+    ``fields`` gives the aggregates of a column as SQL; ``types`` names every field of the result. A
+    column without an aggregate for a field has null there.
+    """
     parts = []
     for start in range(0, len(infos), COLUMNS_PER_AGGREGATE):
         chunk = infos[start : start + COLUMNS_PER_AGGREGATE]
         exprs = {c.ordinal: fields(c) for c in chunk}
         wide = df.agg(
             F.count("*").alias("row_count"),
-            *[e.alias(f"{o}_{n}") for o, named in exprs.items() for n, e in named.items()],
+            *[F.expr(e).alias(f"{o}_{n}") for o, named in exprs.items() for n, e in named.items()],
         )
-        rows = [
-            F.struct(
-                F.lit(c.ordinal).alias("ordinal"),
-                F.lit(c.name).alias("column_name"),
-                F.lit(c.dtype.simpleString()).alias("physical_type"),
-                F.lit(c.kind).alias("kind"),
-                *[F.col(f"{c.ordinal}_{n}").alias(n) for n in exprs[c.ordinal]],
+
+        def row(c: ColumnInfo, exprs: dict = exprs) -> str:
+            own = exprs[c.ordinal]
+            values = [
+                f"'{n}', cast({f'`{c.ordinal}_{n}`' if n in own else 'null'} as {t})"
+                for n, t in types.items()
+            ]
+            fixed = (
+                f"'ordinal', {c.ordinal}, 'column_name', {text_literal(c.name)}, "
+                f"'physical_type', {text_literal(c.dtype.simpleString())}, 'kind', '{c.kind}'"
             )
-            for c in chunk
-        ]
-        parts.append(wide.select("row_count", F.inline(F.array(*rows))))
+            return f"named_struct({', '.join([fixed, *values])})"
+
+        rows = f"inline(array({', '.join(row(c) for c in chunk)}))"
+        parts.append(wide.selectExpr("row_count", rows))
     return union_all(parts)
 
 
@@ -130,15 +153,17 @@ def pct(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.round(part / F.nullif(whole, F.lit(0).cast("bigint")) * 100, digits)
 
 
-def _finite(number: Column) -> Column:
+def finite_sql(number: str) -> str:
     """The number, or null for NaN and the infinities."""
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    return f"if(abs({number}) < double('Infinity'), {number}, null)"
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows, nulls and null share of each column, in one aggregate over one scan."""
     infos = column_infos(df, columns)
-    counted = per_column_aggregate(df, infos, lambda c: {"non_null_count": F.count(c.ref)})
+    counted = per_column_aggregate(
+        df, infos, lambda c: {"non_null_count": f"count({c.sql})"}, {"non_null_count": "bigint"}
+    )
     nulls = F.col("row_count") - F.col("non_null_count")
     return counted.select(
         "ordinal",
@@ -153,7 +178,7 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def missing_cell_pct(df: DataFrame) -> DataFrame:
     """Share of null cells in the whole table."""
     cells = F.count("*") * len(df.columns)
-    filled = sum((F.count(c.ref) for c in column_infos(df)), F.lit(0).cast("bigint"))
+    filled = F.expr(" + ".join(["0L", *[f"count({c.sql})" for c in column_infos(df)]]))
     return df.agg(
         (cells - filled).alias("null_cells"),
         cells.alias("total_cells"),
@@ -168,30 +193,41 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     that is not finite is null; so is the deviation of a single row.
     """
 
-    def fields(c: ColumnInfo) -> dict[str, Column]:
-        number, time = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
-        named = {"non_null_count": F.count(c.ref)}
-        lowest, highest = F.min(c.ref), F.max(c.ref)
-        named["min_num"] = lowest.cast("double") if c.numeric else F.max(number)
-        named["max_num"] = highest.cast("double") if c.numeric else F.max(number)
-        named["mean"] = _finite(F.avg(c.ref.cast("double"))) if c.numeric else F.max(number)
-        named["std"] = _finite(F.stddev_samp(c.ref.cast("double"))) if c.numeric else F.max(number)
-        temporal = c.kind == "temporal"
-        named["min_time"] = lowest.cast("timestamp_ntz") if temporal else F.max(time)
-        named["max_time"] = highest.cast("timestamp_ntz") if temporal else F.max(time)
-        ranged = c.numeric or temporal
-        text = F.max(F.lit(None).cast("string"))
-        named["min_value"] = lowest.cast("string") if ranged else text
-        named["max_value"] = highest.cast("string") if ranged else text
-        return named
-
-    stats = per_column_aggregate(df, column_infos(df, columns), fields)
+    def fields(c: ColumnInfo) -> dict[str, str]:
+        return {"non_null_count": f"count({c.sql})", **_moments(c), **_range(c)}
+
+    types = {"non_null_count": "bigint", "mean": "double", "std": "double", **RANGE_TYPES}
+    stats = per_column_aggregate(df, column_infos(df, columns), fields, types)
     nulls = F.col("row_count") - F.col("non_null_count")
     return stats.withColumn("null_count", nulls).withColumn(
         "null_pct", F.coalesce(pct(nulls, F.col("row_count")), F.lit(0.0))
     )
 
 
+RANGE_TYPES = {
+    "min_num": "double", "max_num": "double", "min_time": "timestamp_ntz",
+    "max_time": "timestamp_ntz", "min_value": "string", "max_value": "string",
+}
+
+
+def _moments(c: ColumnInfo) -> dict[str, str]:
+    if not c.numeric:
+        return {}
+    return {
+        "mean": finite_sql(f"avg({c.double})"),
+        "std": finite_sql(f"stddev_samp({c.double})"),
+    }
+
+
+def _range(c: ColumnInfo) -> dict[str, str]:
+    """Lowest and highest value of a numeric or temporal column, typed and as text."""
+    kind = "num" if c.numeric else "time"
+    if not c.numeric and c.kind != "temporal":
+        return {}
+    low, high = f"min({c.sql})", f"max({c.sql})"
+    return {f"min_{kind}": low, f"max_{kind}": high, "min_value": low, "max_value": high}
+
+
 def min_max(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Lowest and highest value of each numeric and temporal column.
 
@@ -199,25 +235,14 @@ def min_max(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """
     infos = [c for c in column_infos(df, columns) if c.numeric or c.kind == "temporal"]
 
-    def fields(c: ColumnInfo) -> dict[str, Column]:
-        low, high = F.min(c.ref), F.max(c.ref)
-        none, never = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
-        return {
-            "min_num": low.cast("double") if c.numeric else F.max(none),
-            "max_num": high.cast("double") if c.numeric else F.max(none),
-            "min_time": F.max(never) if c.numeric else low.cast("timestamp_ntz"),
-            "max_time": F.max(never) if c.numeric else high.cast("timestamp_ntz"),
-            "min_value": low.cast("string"),
-            "max_value": high.cast("string"),
-        }
-
-    return per_column_aggregate(df, infos, fields).drop("row_count", "kind", "physical_type")
+    ranges = per_column_aggregate(df, infos, _range, RANGE_TYPES)
+    return ranges.drop("row_count", "kind", "physical_type")
 
 
-def _long(df: DataFrame, infos: Sequence[ColumnInfo], values: Sequence[Column]) -> DataFrame:
+def long_form(df: DataFrame, infos: Sequence[ColumnInfo], values: Sequence[str]) -> DataFrame:
     """Rows of (ordinal as short text, value) for columns of one type, by Spark's unpivot."""
     names = [str(c.ordinal) for c in infos]
-    picked = df.select(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+    picked = df.selectExpr(*[f"{v} as `{n}`" for v, n in zip(values, names, strict=True)])
     return picked.unpivot([], names, "o", "v")
 
 
@@ -234,7 +259,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         families.setdefault(c.carrier, []).append(c)
     parts = []
     for members in families.values():
-        counted = _long(df, members, [c.carried() for c in members]).groupBy("o", "v").count()
+        counted = long_form(df, members, [c.carried for c in members]).groupBy("o", "v").count()
         parts.append(
             counted.select(
                 F.col("o").cast("int").alias("ordinal"),
@@ -282,11 +307,11 @@ def value_profile(
 
 
 def _named(df: DataFrame, per_ordinal: DataFrame, columns: Sequence[str] | None) -> DataFrame:
-    infos = column_infos(df, columns)
-    names = F.create_map(*[F.lit(x) for c in infos for x in (c.ordinal, c.name)])
+    pairs = ", ".join(f"{c.ordinal}, {text_literal(c.name)}" for c in column_infos(df, columns))
     rest = [n for n in per_ordinal.columns if n != "ordinal"]
-    name = F.element_at(names, F.col("ordinal")).alias("column_name")
-    return per_ordinal.select("ordinal", name, *rest)
+    return per_ordinal.selectExpr(
+        "ordinal", f"element_at(map({pairs}), ordinal) as column_name", *rest
+    )
 
 
 def unique_count(
@@ -301,9 +326,10 @@ def unique_count(
             df,
             column_infos(df, columns),
             lambda c: {
-                "unique_count": F.approx_count_distinct(c.carried(), 0.01)
-                + F.max(c.ref.isNull().cast("int"))
+                "unique_count": f"approx_count_distinct({c.carried}, 0.01)"
+                f" + max(int({c.sql} is null))"
             },
+            {"unique_count": "bigint"},
         )
         return sketched.select(
             "ordinal", "column_name", "unique_count",
@@ -352,13 +378,13 @@ def quartiles(
 ) -> DataFrame:
     """Linear p25, median and p75 of each numeric column, exact at any size."""
     infos = [c for c in column_infos(df, columns) if c.numeric]
-    long = _long(df, infos, [c.ref.cast("double") for c in infos])
+    long = long_form(df, infos, [c.double for c in infos])
     found = exact_percentiles(
         long, ["o"], "v", [0.25, 0.5, 0.75], ["p25", "median", "p75"], direct_limit, rows_at_most
     )
     return found.select(
         F.col("o").cast("int").alias("ordinal"),
-        *[_finite(F.col(n)).alias(n) for n in ("p25", "median", "p75")],
+        *[F.expr(finite_sql(n)).alias(n) for n in ("p25", "median", "p75")],
     )
 
 
@@ -371,14 +397,8 @@ def numeric_describe(
     """Mean, sample deviation and quartiles of each numeric column."""
     infos = [c for c in column_infos(df, columns) if c.numeric]
     names = [c.name for c in infos]
-    moments = per_column_aggregate(
-        df,
-        infos,
-        lambda c: {
-            "mean": _finite(F.avg(c.ref.cast("double"))),
-            "std": _finite(F.stddev_samp(c.ref.cast("double"))),
-        },
-    ).select("ordinal", "column_name", "mean", "std")
+    moments = per_column_aggregate(df, infos, _moments, {"mean": "double", "std": "double"})
+    moments = moments.select("ordinal", "column_name", "mean", "std")
     return moments.join(quartiles(df, names, direct_limit, rows_at_most), "ordinal")
 
 
@@ -391,9 +411,9 @@ def datetime_median(
     """Median instant of each temporal column, midway between the two middle rows if need be."""
     infos = [c for c in column_infos(df, columns) if c.kind == "temporal"]
     # Zone-free times pass through the session zone both ways; the session is pinned to UTC.
-    micros = [F.unix_micros(c.ref.cast("timestamp")).cast("double") for c in infos]
+    micros = [f"double(unix_micros(cast({c.sql} as timestamp)))" for c in infos]
     found = exact_percentiles(
-        _long(df, infos, micros), ["o"], "v", [0.5], ["m"], direct_limit, rows_at_most
+        long_form(df, infos, micros), ["o"], "v", [0.5], ["m"], direct_limit, rows_at_most
     )
     moment = F.timestamp_micros(F.floor("m").cast("bigint")).cast("timestamp_ntz")
     return _named(

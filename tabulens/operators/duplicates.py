@@ -5,16 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.operators.columns import ColumnInfo, column_infos, comparable, pct
-
-
-def _keys(df: DataFrame) -> DataFrame:
-    """All columns in a form that groups: zeros of one sign, maps as sorted entries."""
-    return df.select(*[_key(c).alias(c.name) for c in column_infos(df)])
-
-
-def _key(c: ColumnInfo):
-    return c.ref + F.lit(0.0).cast(c.dtype) if c.kind == "float" else comparable(c.ref, c.dtype)
+from tabulens.functions.names import quoted
+from tabulens.operators.columns import column_infos, pct
 
 
 def duplicate_row_pct(df: DataFrame) -> DataFrame:
@@ -24,8 +16,8 @@ def duplicate_row_pct(df: DataFrame) -> DataFrame:
     a hash are then grouped by all their columns. Rows that merely share a hash fall apart there, so
     the answer is exact while wide unique rows never cross the network.
     """
-    rows = _keys(df)
-    names = [f"`{n.replace('`', '``')}`" for n in rows.columns]
+    rows = df.selectExpr(*[f"{c.groupable} as {c.sql}" for c in column_infos(df)])
+    names = [quoted(n) for n in rows.columns]
     hashed = rows.withColumn("_h", F.xxhash64(*names))
     hashes = hashed.groupBy("_h").count()
     repeated = hashes.where(F.col("count") > 1).select("_h")

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulens.functions.names import col
-from tabulens.operators.columns import column_infos, comparable, union_all
+from tabulens.operators.columns import column_infos, union_all
 from tabulens.session import small_frame
 
 # How far the search goes and when a key counts as one.
@@ -31,7 +30,7 @@ def distinct_tuples(df: DataFrame, keys: Sequence[Key]) -> dict[Key, int]:
         return {}
     infos = {c.name: c for c in column_infos(df)}
     counted = [
-        df.select(*[comparable(col(n), infos[n].dtype).alias(n) for n in key])
+        df.selectExpr(*[f"{infos[n].groupable} as {infos[n].sql}" for n in key])
         .distinct()
         .agg(F.count("*").alias("distinct_count"))
         .select(F.lit(i).alias("key"), "distinct_count")

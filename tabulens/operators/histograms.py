@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulens.functions.bins import FloatEdges, IntBins
-from tabulens.functions.names import col
-from tabulens.operators.columns import ColumnInfo, column_infos, per_column_aggregate
+from tabulens.operators.columns import (
+    ColumnInfo,
+    column_infos,
+    finite_sql,
+    long_form,
+    per_column_aggregate,
+)
 from tabulens.session import small_frame
 
 DEFAULT_BINS = 12
@@ -28,11 +33,9 @@ BIN_SCHEMA = T.StructType(
 )
 
 
-def finite(value: Column, dtype: T.DataType) -> Column:
-    """The value, or null where a float is NaN or infinite."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.when(F.abs(value) < F.lit(float("inf")), value)
-    return value
+def finite_value(c: ColumnInfo) -> str:
+    """The column as SQL, with null where a float is NaN or infinite."""
+    return finite_sql(c.sql) if c.kind == "float" else c.sql
 
 
 def _bins_of(c: ColumnInfo, low: str, high: str, bins: int) -> IntBins | FloatEdges:
@@ -72,7 +75,7 @@ def profile_histograms(
         return df.sparkSession.createDataFrame([], _result_schema())
     if stats is None:
         stats = small_frame(
-            per_column_aggregate(df, list(infos.values()), _finite_range)
+            per_column_aggregate(df, list(infos.values()), _finite_range, RANGE_TYPES)
         )
     shapes = {
         r.ordinal: _bins_of(infos[r.ordinal], r.low, r.high, bins)
@@ -82,15 +85,12 @@ def profile_histograms(
     }
     if not shapes:
         return df.sparkSession.createDataFrame([], _result_schema())
-    indexed = df.select(
-        *[_index(infos[o], shape).alias(str(o)) for o, shape in shapes.items()]
-    )
     counts = (
-        indexed.unpivot([], [str(o) for o in shapes], "o", "bin_index")
-        .where(F.col("bin_index").isNotNull())
-        .groupBy("o", "bin_index")
+        long_form(df, [infos[o] for o in shapes], [_index(infos[o], s) for o, s in shapes.items()])
+        .where(F.col("v").isNotNull())
+        .groupBy("o", "v")
         .agg(F.count("*").alias("bin_count"))
-        .select(F.col("o").cast("int").alias("ordinal"), "bin_index", "bin_count")
+        .select(F.col("o").cast("int").alias("ordinal"), F.col("v").alias("bin_index"), "bin_count")
     )
     grid = df.sparkSession.createDataFrame(
         [row for o, shape in shapes.items() for row in _bin_rows(infos[o], shape)], BIN_SCHEMA
@@ -105,21 +105,19 @@ def profile_histograms(
     )
 
 
-def _finite_range(c: ColumnInfo) -> dict[str, Column]:
-    value = finite(c.ref, c.dtype)
-    value = value.cast("double") if c.kind == "decimal" else value
-    return {
-        "filled": F.count(value),
-        "low": F.min(value).cast("string"),
-        "high": F.max(value).cast("string"),
-    }
+RANGE_TYPES = {"filled": "bigint", "low": "string", "high": "string"}
+
+
+def _finite_range(c: ColumnInfo) -> dict[str, str]:
+    value = f"double({c.sql})" if c.kind == "decimal" else finite_value(c)
+    return {"filled": f"count({value})", "low": f"min({value})", "high": f"max({value})"}
 
 
-def _index(c: ColumnInfo, shape: IntBins | FloatEdges) -> Column:
+def _index(c: ColumnInfo, shape: IntBins | FloatEdges) -> str:
     if isinstance(shape, IntBins):
-        return shape.index_of(c.ref)
-    value = finite(c.ref, c.dtype).cast("double")
-    return F.when(value.isNotNull(), shape.right_closed_index(value))
+        return shape.index_sql(c.sql)
+    value = finite_value(c)
+    return f"if({value} is null, null, {shape.right_closed_sql(f'double({c.sql})')})"
 
 
 def _result_schema() -> T.StructType:
@@ -132,11 +130,6 @@ def _result_schema() -> T.StructType:
 
 def value_range(df: DataFrame, column: str) -> tuple[int, str | None, str | None]:
     """Count, lowest and highest finite value of one column, exact as text."""
-    info = next(c for c in column_infos(df) if c.name == column)
-    value = finite(col(column), info.dtype)
-    row = df.agg(
-        F.count(value).alias("filled"),
-        F.min(value).cast("string").alias("low"),
-        F.max(value).cast("string").alias("high"),
-    ).first()
+    ranges = per_column_aggregate(df, column_infos(df, [column]), _finite_range, RANGE_TYPES)
+    row = ranges.first()
     return row.filled, row.low, row.high

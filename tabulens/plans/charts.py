@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from tabulens.functions.bins import FloatEdges, IntBins
 from tabulens.functions.names import col
 from tabulens.functions.quantiles import DIRECT_LIMIT, exact_percentiles
-from tabulens.operators.columns import INTEGERS
-from tabulens.operators.histograms import finite, value_range
+from tabulens.operators.columns import column_infos
+from tabulens.operators.histograms import finite_value, value_range
 from tabulens.plans.chart_spec import (
     MAX_BINS,
     MAX_ROWS,
@@ -102,12 +102,12 @@ def histogram_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:
     One pass for the range, one for the counts. Counts are gathered per split value into at most 100
     entries, and the empty bins are filled in from there, so no bin table is joined.
     """
-    dtype = df.schema[spec.value_column].dataType
+    info = column_infos(df, [spec.value_column])[0]
     filtered = chart_filter(df, spec, spec.value_column)
-    value = finite(col(spec.value_column), dtype)
+    value = finite_value(info)
     filled, low, high = value_range(filtered, spec.value_column)
     bins = min(max(spec.bin_count, 1), MAX_BINS)
-    whole = isinstance(dtype, INTEGERS)
+    whole = info.kind == "integer"
     split = [col(spec.split_by).cast("string").alias("split")] if spec.split_by else []
     keys = ["split"] if split else []
     bound = "bigint" if whole else "double"
@@ -120,17 +120,17 @@ def histogram_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:
         )
     if whole:
         shape = IntBins.over(int(low), int(high), bins)
-        index = shape.index_of(value)
+        index = shape.index_sql(value)
         bounds = [(shape.lower(i), shape.upper(i)) for i in range(shape.bins)]
     elif float(low) == float(high):
-        index = F.lit(0)
+        index = "0"
         bounds = [(float(low), float(high))]
     else:
         shape = FloatEdges(float(low), float(high), bins)
-        index = shape.left_closed_index(value.cast("double"))
+        index = shape.left_closed_sql(f"double({value})")
         bounds = [(shape.edge(i), shape.edge(i + 1)) for i in range(bins)]
     counts = (
-        filtered.select(value.alias("_v"), index.alias("_bin"), *split)
+        filtered.select(F.expr(value).alias("_v"), F.expr(index).alias("_bin"), *split)
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_bin")
         .agg(F.count("*").alias("_n"))
@@ -142,17 +142,12 @@ def histogram_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:
     gathered = counts.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_counts")
     )
-    grid = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("bin_index"),
-                F.lit(a).cast(bound).alias("lower_bound"),
-                F.lit(b).cast(bound).alias("upper_bound"),
-            )
-            for i, (a, b) in enumerate(bounds)
-        ]
+    grid = ", ".join(
+        f"named_struct('bin_index', {i}, 'lower_bound', cast('{a!r}' as {bound}), "
+        f"'upper_bound', cast('{b!r}' as {bound}))"
+        for i, (a, b) in enumerate(bounds)
     )
-    dense = gathered.select(*keys, "_counts", F.inline(grid))
+    dense = gathered.selectExpr(*keys, "_counts", f"inline(array({grid}))")
     return (
         dense.select(
             "bin_index", "lower_bound", "upper_bound", *keys,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tabulens.sources.readers import file_stats
+from tabulens.sources.readers import empty_files, file_stats
 
 
 def _text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +37,7 @@ def malformed_record_scan(spark: SparkSession, path: str, json_lines: bool = Fal
     """Per file: lines, lines with content, and the number of lines with each problem.
 
     Reads every line. The counts are added up per file before the shuffle, so one huge file is no
-    hot spot. A file without lines (an empty one) comes from the listing, with zeros.
+    hot spot. Empty files come from the listing, with zeros.
     """
     lines = _text_lines(spark, path)
     value = F.col("value")
@@ -47,7 +48,8 @@ def malformed_record_scan(spark: SparkSession, path: str, json_lines: bool = Fal
         *[F.count_if(cond).alias(name) for name, cond in problems.items()],
     )
     names = ["lines", "content_lines", *problems]
-    files = file_stats(spark, path).select("file_path", "file_name", "file_size")
+    own = ["file_path", "file_name", "file_size"]
+    files = file_stats(spark, path).select(*own).unionByName(empty_files(spark, path).select(*own))
     bad = sum((F.col(name) for name in problems), F.lit(0))
     return (
         files.join(counted, "file_path", "left")
@@ -65,6 +67,7 @@ def unreadable_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Files that give no row as Parquet: broken markers or footer, or no rows at all."""
     rows = (
         spark.read.option("ignoreCorruptFiles", "true")
+        .schema(StructType([]))
         .parquet(path)
         .groupBy(F.col("_metadata.file_path").alias("file_path"))
         .agg(F.count("*").alias("row_count"))
@@ -73,12 +76,12 @@ def unreadable_parquet(spark: SparkSession, path: str) -> DataFrame:
     return files.join(rows, "file_path", "left_anti").select("file_name", "file_size")
 
 
-def malformed_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The text of each line that does not fit ``schema`` as an object, with its file."""
+def malformed_lines(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
+    """Every line with a problem, its file, and the names of its problems."""
+    problems = _line_problems(F.col("value"), json_lines)
+    found = F.array(*[F.when(cond, F.lit(name)) for name, cond in problems.items()])
     return (
-        spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-        .schema(f"{schema}, _corrupt_record string")
-        .json(path)
-        .select(F.col("_metadata.file_name").alias("file_name"), "_corrupt_record")
-        .where(F.col("_corrupt_record").isNotNull())
+        _text_lines(spark, path)
+        .withColumn("problems", F.filter(found, lambda name: name.isNotNull()))
+        .where(F.size("problems") > 0)
     )

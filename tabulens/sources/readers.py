@@ -86,7 +86,7 @@ def scan(spark: SparkSession, path: str, extension: str) -> DataFrame:
 
 
 def file_stats(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Name, size and time of every file under ``path``, from the listing alone."""
+    """Name, size and time of every file with content under ``path``, from the listing alone."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
@@ -98,3 +98,20 @@ def file_stats(spark: SparkSession, path: str, recursive: bool = False) -> DataF
             F.col("modificationTime").alias("modified_at"),
         )
     )
+
+
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of no bytes, which no scan ever opens: listed by name but absent from the sizes."""
+    named = spark.read.text(path).inputFiles()
+    listed = spark.createDataFrame([(name,) for name in named], "file_path string")
+    plain = F.regexp_replace("file_path", "^file:/+", "/")
+    sized = file_stats(spark, path).select(plain.alias("p"))
+    return (
+        listed.withColumn("p", plain)
+        .join(sized, "p", "left_anti")
+        .select(
+            "file_path",
+            F.element_at(F.split("file_path", "/"), -1).alias("file_name"),
+            F.lit(0).cast("bigint").alias("file_size"),
+        )
+    )

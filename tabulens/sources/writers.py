@@ -22,12 +22,9 @@ def flat_columns(df: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """One part file per task: header, null as empty, quotes doubled inside quoted fields.
-
-    An empty string is quoted, so that it reads back as text and not as null.
-    """
+    """One part file per task: header, null and empty text as nothing, quotes doubled when quoted."""
     flat_columns(df).write.mode("errorifexists").options(
-        header=True, sep=sep, quote='"', escape='"', nullValue="", emptyValue='""',
+        header=True, sep=sep, quote='"', escape='"', nullValue="", emptyValue="",
         timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
