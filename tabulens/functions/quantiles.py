@@ -1,8 +1,8 @@
 """Exact linear percentiles per group, whatever the size of the largest group.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. Groups up to a size bound
-use it. For larger groups a sketch (``percentile_approx``) brackets the wanted rank, exact counts
-prove the bracket, and it is narrowed until few enough values remain to pick the order statistics.
+Groups up to a size bound are settled by counting values and walking them in order, one task per
+group. A larger group must not end up in one task: a sketch (``percentile_approx``) brackets each
+wanted rank, exact counts prove the bracket, and it is narrowed until few enough rows are left inside.
 """
 
 from __future__ import annotations
@@ -15,19 +15,15 @@ from pyspark.sql import functions as F
 
 from tabulens.session import small_frame
 
-DIRECT_LIMIT = 1_000_000
+DIRECT_LIMIT = 2_000_000
 # At most this many groups can exceed the limit, so their brackets always fit a broadcast.
 MAX_LARGE_GROUPS = 50_000
 GRID = 1_000
+CELLS = [cell / GRID for cell in range(GRID + 1)]
 SKETCH_ACCURACY = 20_000
 SAFETY_CELLS = 2
 
 
-def percentile_columns(value: Column, probs: Sequence[float], names: Sequence[str]) -> list[Column]:
-    """The built-in exact percentile, one alias per probability (bounded groups only)."""
-    return [F.percentile(value, p).alias(n) for p, n in zip(probs, names, strict=True)]
-
-
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,33 +37,21 @@ def exact_percentiles(
 
     ``rows_at_most`` is a known bound on the row count; below the limit it saves the size check.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias(value))
-    valid = F.col(value).isNotNull()
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
     if rows_at_most is not None and rows_at_most <= direct_limit:
-        return _direct(rows, keys, value, probs, names)
-    sizes = rows.groupBy(*keys).agg(F.count(value).alias("_n"))
+        return _direct(rows, keys, probs, names)
+    sizes = rows.groupBy(*keys).agg(F.count("_v").alias("_n"))
     top = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
     limit = max(direct_limit, (top.total or 0) // MAX_LARGE_GROUPS)
     if (top.largest or 0) <= limit:
-        return _direct(rows, keys, value, probs, names)
+        return _direct(rows, keys, probs, names)
 
     large = small_frame(sizes.where(F.col("_n") > limit))
-    targets = _targets(large, probs)
-    found = _narrow(rows.where(valid), keys, value, targets, limit)
-    wide = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(n) for i, n in enumerate(names)]
-    )
+    found = _bracketed(rows.where(F.col("_v").isNotNull()), keys, large, probs, names, limit)
     if not keys:
-        return wide
-    on_large = _same_keys(keys)
-    rest = rows.alias("l").join(F.broadcast(large.alias("r")), on_large, "left_anti")
-    return _direct(rest, keys, value, probs, names).unionByName(wide)
-
-
-def _direct(
-    rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
-) -> DataFrame:
-    return rows.groupBy(*keys).agg(*percentile_columns(F.col(value), probs, names))
+        return found
+    rest = rows.alias("l").join(F.broadcast(large.alias("r")), _same_keys(keys), "left_anti")
+    return _direct(rest, keys, probs, names).unionByName(found)
 
 
 def _same_keys(keys: Sequence[str]) -> Column:
@@ -78,123 +62,185 @@ def _same_keys(keys: Sequence[str]) -> Column:
     return condition
 
 
-def _targets(large: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """One row per large group and probability: the two ranks to find and the blend between them."""
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("_q"), F.lit(float(p)).alias("_p"))
-                                 for i, p in enumerate(probs)]))
-    position = F.col("_p") * (F.col("_n") - 1)
-    return small_frame(
-        large.select("*", wanted.alias("_t"))
-        .select("*", "_t._q", "_t._p")
-        .drop("_t")
-        .withColumn("_rank", F.floor(position).cast("bigint"))
-        .withColumn("_blend", position - F.col("_rank"))
-        .withColumn("_last", F.when(F.col("_blend") > 0, F.col("_rank") + 1).otherwise(F.col("_rank")))
-        .withColumn("_lo", F.lit(float("-inf")))
-        .withColumn("_hi", F.lit(float("nan")))  # NaN sorts after every number
-        .withColumn("_below", F.lit(0).cast("bigint"))
+def _direct(
+    rows: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]
+) -> DataFrame:
+    """Count values, walk each group's values in order, and read off the ranks.
+
+    The counting combines within tasks, so ties cost nothing; the walk is a sort that can spill.
+    """
+    counts = rows.groupBy(*keys, "_v").agg(F.count("_v").alias("_c"))
+    walk = W.partitionBy(*keys).orderBy("_v")
+    placed = (
+        counts.withColumn("_until", F.sum("_c").over(walk.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("_n", F.sum("_c").over(
+            walk.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     )
+    picks = []
+    for p, name in zip(probs, names, strict=True):
+        position = F.lit(float(p)) * (F.col("_n") - 1)
+        rank = F.floor(position)
+        last = F.ceil(position)
+        picks += [
+            F.max(_held(rank)).alias(f"{name}_a"), F.max(_held(last)).alias(f"{name}_b"),
+            F.max(position - rank).alias(f"{name}_t"),
+        ]
+    blended = [_blend(f"{n}_a", f"{n}_b", f"{n}_t").alias(n) for n in names]
+    return placed.groupBy(*keys).agg(*picks).select(*keys, *blended)
+
+
+def _held(rank: Column) -> Column:
+    """The value of a row of the walk if it covers the rank."""
+    until = F.col("_until")
+    return F.when((until - F.col("_c") <= rank) & (rank < until), F.col("_v"))
 
 
-def _inside(value: Column) -> Column:
-    return (value >= F.col("_lo")) & (value <= F.col("_hi"))
+def _blend(a: str, b: str, t: str) -> Column:
+    mixed = (1 - F.col(t)) * F.col(a) + F.col(t) * F.col(b)
+    return F.when(F.col(t) == 0, F.col(a)).otherwise(mixed)
 
 
-def _narrow(
-    rows: DataFrame, keys: Sequence[str], value: str, targets: DataFrame, limit: int
+# --- large groups -------------------------------------------------------------------------------
+# State: one row per large group. For the i-th probability: _rank{i} and _last{i}, the two ranks to
+# find; _blend{i} between them; [_lo{i}, _hi{i}], the bracket known to hold both.
+
+FIELDS = ["_rank", "_last", "_blend", "_lo", "_hi"]
+
+
+def _bracketed(
+    rows: DataFrame, keys: Sequence[str], large: DataFrame, probs: Sequence[float],
+    names: Sequence[str], limit: int,
 ) -> DataFrame:
-    marks = [*keys, "_q"]
-    v = F.col(value)
-    cells = [i / GRID for i in range(GRID + 1)]
-    margin = SAFETY_CELLS
+    picks = range(len(probs))
+    grid, margin = small_frame(_first_grid(rows, large, keys, probs)), SAFETY_CELLS
     while True:
-        pairs = _pair(rows, targets, keys)
-        grid = small_frame(
-            pairs.where(_inside(v))
-            .groupBy(*marks)
-            .agg(
-                F.percentile_approx(v, cells, SKETCH_ACCURACY).alias("_grid"),
-                F.min(v).alias("_min"),
-                F.max(v).alias("_max"),
-                F.count(v).alias("_inside"),
-            )
-        )
-        # Position of the wanted ranks inside the bracket, in grid cells, with a margin both sides.
-        scale = F.greatest(F.col("_inside") - 1, F.lit(1))
-        low_cell = F.floor((F.col("_rank") - F.col("_below")) / scale * GRID).cast("int") - margin
-        high_cell = F.ceil((F.col("_last") - F.col("_below")) / scale * GRID).cast("int") + margin
-        proposal = (
-            targets.alias("l")
-            .join(grid.alias("r"), _same_keys(marks))
-            .select(
-                *[f"l.{k}" for k in marks], "_n", "_p", "_rank", "_blend", "_last",
-                F.when(low_cell <= 0, F.col("_min"))
-                .otherwise(F.get(F.col("_grid"), low_cell)).alias("_lo"),
-                F.when(high_cell >= GRID, F.col("_max"))
-                .otherwise(F.get(F.col("_grid"), high_cell)).alias("_hi"),
-            )
-        )
-        counted = _pair(rows, small_frame(proposal), keys).groupBy(*marks).agg(
-            F.first("_n").alias("_n"),
-            F.first("_p").alias("_p"),
-            F.first("_rank").alias("_rank"),
-            F.first("_blend").alias("_blend"),
-            F.first("_last").alias("_last"),
-            F.first("_lo").alias("_lo"),
-            F.first("_hi").alias("_hi"),
-            F.sum((v < F.col("_lo")).cast("bigint")).alias("_below"),
-            F.sum(_inside(v).cast("bigint")).alias("_held"),
-            # Ties at either end count once: one hot value must not keep a bracket open.
-            F.sum(((v > F.col("_lo")) & (v < F.col("_hi"))).cast("bigint")).alias("_open"),
-        )
-        counted = small_frame(counted)
-        proven = (F.col("_below") <= F.col("_rank")) & (
-            F.col("_last") < F.col("_below") + F.col("_held")
-        )
-        state = counted.agg(
-            F.min(proven).alias("proven"), F.max("_open").alias("open")
+        state = small_frame(_proposal(grid, keys, picks, margin))
+        seen = small_frame(_pass(rows, state, keys, picks))
+        check = seen.agg(
+            *[F.min(_proven(i)).alias(f"p{i}") for i in picks],
+            *[F.max(f"_open{i}").alias(f"o{i}") for i in picks],
         ).first()
-        if not state.proven:
-            margin *= 4
-            continue
-        targets, margin = counted.drop("_held", "_open"), SAFETY_CELLS
-        if state.open <= limit:
-            return _pick(_pair(rows, targets, keys), marks, v)
-
-
-def _pair(rows: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each row with every target of its group. The targets are few by construction."""
-    own = [k for k in targets.columns if k not in keys]
-    return (
-        rows.alias("l")
-        .join(F.broadcast(targets.alias("r")), _same_keys(keys))
-        .select("l.*", *[f"r.{name}" for name in own])
-    )
+        if not all(check[f"p{i}"] for i in picks):
+            margin *= 4  # the sketch was off by more than its promise: widen the last proposal
+        elif max(check[f"o{i}"] for i in picks) <= limit:
+            return _pick(rows, seen, keys, names)
+        else:
+            grid, margin = seen, SAFETY_CELLS
 
 
-def _pick(pairs: DataFrame, marks: Sequence[str], v: Column) -> DataFrame:
-    """The value of each target from the few distinct values left in its bracket."""
-    kept = ["_rank", "_blend", "_last", "_below"]
-    counts = (
-        pairs.where(_inside(v))
-        .groupBy(*marks, v.alias("_v"))
-        .agg(*[F.first(k).alias(k) for k in kept], F.count("*").alias("_c"))
+def _first_grid(
+    rows: DataFrame, large: DataFrame, keys: Sequence[str], probs: Sequence[float]
+) -> DataFrame:
+    """The ranks to find in each large group, and one grid of quantiles over all its rows."""
+    v = F.col("_v")
+    whole = _with_state(rows, large, keys).groupBy(*keys).agg(
+        F.count(v).alias("_n"), F.percentile_approx(v, CELLS, SKETCH_ACCURACY).alias("_g"),
+        F.min(v).alias("_a"), F.max(v).alias("_b"),
+    )
+    columns = [F.col(k) for k in keys]
+    for i, p in enumerate(probs):
+        position = F.lit(float(p)) * (F.col("_n") - 1)
+        columns += [
+            F.floor(position).cast("bigint").alias(f"_rank{i}"),
+            F.ceil(position).cast("bigint").alias(f"_last{i}"),
+            (position - F.floor(position)).alias(f"_blend{i}"),
+            F.lit(0).cast("bigint").alias(f"_below{i}"),
+            F.col("_n").alias(f"_held{i}"),
+            F.col("_g").alias(f"_grid{i}"),
+            F.col("_a").alias(f"_min{i}"),
+            F.col("_b").alias(f"_max{i}"),
+        ]
+    return whole.select(*columns)
+
+
+def _inside(i: int) -> Column:
+    return (F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}"))
+
+
+def _with_state(rows: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with the brackets of its group; rows of other groups drop out."""
+    own = [c for c in state.columns if c not in keys]
+    joined = rows.alias("l").join(F.broadcast(state.alias("r")), _same_keys(keys))
+    return joined.select("l.*", *[f"r.{c}" for c in own])
+
+
+def _pass(rows: DataFrame, state: DataFrame, keys: Sequence[str], picks: range) -> DataFrame:
+    """One scan: exact counts around every bracket, and a grid of quantiles inside it."""
+    v = F.col("_v")
+    measures = []
+    for i in picks:
+        inside = F.when(_inside(i), v)
+        # Ties at either end do not count as open: one hot value must not keep a bracket open.
+        between = (v > F.col(f"_lo{i}")) & (v < F.col(f"_hi{i}"))
+        measures += [F.first(f"{f}{i}").alias(f"{f}{i}") for f in FIELDS]
+        measures += [
+            F.count_if(v < F.col(f"_lo{i}")).alias(f"_below{i}"),
+            F.count(inside).alias(f"_held{i}"),
+            F.count_if(between).alias(f"_open{i}"),
+            F.percentile_approx(inside, CELLS, SKETCH_ACCURACY).alias(f"_grid{i}"),
+            F.min(inside).alias(f"_min{i}"),
+            F.max(inside).alias(f"_max{i}"),
+        ]
+    return _with_state(rows, state, keys).groupBy(*keys).agg(*measures)
+
+
+def _proven(i: int) -> Column:
+    below, held = F.col(f"_below{i}"), F.col(f"_held{i}")
+    return (below <= F.col(f"_rank{i}")) & (F.col(f"_last{i}") < below + held)
+
+
+def _proposal(grid: DataFrame, keys: Sequence[str], picks: range, margin: int) -> DataFrame:
+    """Narrower brackets: the grid cells around each rank, with a margin on both sides."""
+    columns = [F.col(k) for k in keys]
+    for i in picks:
+        scale = F.greatest(F.col(f"_held{i}") - 1, F.lit(1))
+        low = F.floor((F.col(f"_rank{i}") - F.col(f"_below{i}")) / scale * GRID).cast("int") - margin
+        high = F.ceil((F.col(f"_last{i}") - F.col(f"_below{i}")) / scale * GRID).cast("int") + margin
+        columns += [F.col(f"{f}{i}") for f in ("_rank", "_last", "_blend")]
+        columns += [
+            F.when(low <= 0, F.col(f"_min{i}")).otherwise(F.get(f"_grid{i}", low)).alias(f"_lo{i}"),
+            F.when(high >= GRID, F.col(f"_max{i}"))
+            .otherwise(F.get(f"_grid{i}", high))
+            .alias(f"_hi{i}"),
+        ]
+    return grid.select(*columns)
+
+
+def _pick(rows: DataFrame, seen: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Read the ranks off the few values left inside the brackets."""
+    picks = range(len(names))
+    wanted = [
+        F.when(_inside(i), F.struct(
+            F.lit(i).alias("q"),
+            *[F.col(f"{f}{i}").alias(f.strip("_")) for f in ("_below", "_rank", "_last", "_blend")],
+        ))
+        for i in picks
+    ]
+    needed = seen.select(
+        *keys, *[f"{f}{i}" for i in picks for f in ("_lo", "_hi", "_below", "_rank", "_last", "_blend")]
     )
-    running = W.partitionBy(*marks).orderBy("_v")
-    until = F.col("_below") + F.sum("_c").over(running)
-    placed = counts.withColumn("_until", until).withColumn("_from", F.col("_until") - F.col("_c"))
-
-    def at(rank: str) -> Column:
-        hit = (F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_until"))
-        return F.max(F.when(hit, F.col("_v")))
-
-    return (
-        placed.groupBy(*marks)
-        .agg(at("_rank").alias("_a"), at("_last").alias("_b"), F.first("_blend").alias("_blend"))
-        .select(
-            *marks,
-            F.when(F.col("_blend") == 0, F.col("_a"))
-            .otherwise((1 - F.col("_blend")) * F.col("_a") + F.col("_blend") * F.col("_b"))
-            .alias("_value"),
+    hits = (
+        _with_state(rows, needed, keys)
+        .select(*keys, "_v", F.explode(F.array(*wanted)).alias("_w"))
+        .where(F.col("_w").isNotNull())
+        .select(*keys, "_v", "_w.*")
+    )
+    group = [*keys, "q"]
+    carried = ["below", "rank", "last", "blend"]
+    counts = hits.groupBy(*group, "_v").agg(
+        F.count("*").alias("_c"), *[F.first(c).alias(c) for c in carried]
+    )
+    walk = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    placed = counts.withColumn("_until", F.col("below") + F.sum("_c").over(walk))
+    settled = (
+        placed.groupBy(*group)
+        .agg(
+            F.max(_held(F.col("rank"))).alias("a"),
+            F.max(_held(F.col("last"))).alias("b"),
+            F.first("blend").alias("t"),
         )
+        .withColumn("value", _blend("a", "b", "t"))
+    )
+    return settled.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("q") == i, F.col("value"))).alias(n) for i, n in enumerate(names)]
     )

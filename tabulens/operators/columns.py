@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tabulens.functions.names import BOOLEAN_TOKENS, quoted, text_literal
 from tabulens.functions.quantiles import DIRECT_LIMIT, exact_percentiles
-from tabulens.session import small_frame
+from tabulens.session import small_frame, together
 
 # One aggregate holds at most this many columns, to stay inside one generated method.
 COLUMNS_PER_AGGREGATE = 150
@@ -451,25 +451,25 @@ def column_metrics(
     top_k: int = TOP_VALUES,
     direct_limit: int = DIRECT_LIMIT,
 ) -> DataFrame:
-    """All metrics of all columns, one row per column, held as a small frame."""
-    frame = column_facts(df, dataset, top_k)
-    rows = frame.agg(F.max("row_count")).first()[0] or 0
+    """All metrics of all columns, one row per column, held as a small frame.
+
+    The passes do not depend on each other, so they are submitted together.
+    """
+    rows = df.count()
     infos = column_infos(df)
     none = F.lit(None).cast("double")
-    quarts = middle = None
-    if any(c.numeric for c in infos):
-        quarts = quartiles(df, None, direct_limit, rows)
-    if any(c.kind == "temporal" for c in infos):
-        middle = datetime_median(df, None, direct_limit, rows).drop("column_name")
-    if quarts is not None and middle is not None:
-        extra = quarts.join(middle, "ordinal", "full")
-    elif quarts is not None:
-        extra = quarts.withColumn("median_time", F.lit(None).cast("timestamp_ntz"))
-    elif middle is not None:
-        extra = middle.withColumns({"p25": none, "median": none, "p75": none})
-    else:
-        return frame.withColumns(
-            {"p25": none, "median": none, "p75": none,
-             "median_time": F.lit(None).cast("timestamp_ntz")}
-        )
-    return small_frame(frame.join(extra, "ordinal", "left"))
+    numeric = [c.name for c in infos if c.numeric]
+    temporal = [c.name for c in infos if c.kind == "temporal"]
+    jobs = [lambda: column_facts(df, dataset, top_k)]
+    if numeric:
+        jobs.append(lambda: small_frame(quartiles(df, numeric, direct_limit, rows)))
+    if temporal:
+        jobs.append(lambda: small_frame(datetime_median(df, temporal, direct_limit, rows)))
+    frame, *extras = together(df.sparkSession, *jobs)
+    for extra in extras:
+        frame = frame.join(extra.drop("column_name"), "ordinal", "left")
+    if not numeric:
+        frame = frame.withColumns({"p25": none, "median": none, "p75": none})
+    if not temporal:
+        frame = frame.withColumn("median_time", F.lit(None).cast("timestamp_ntz"))
+    return small_frame(frame)

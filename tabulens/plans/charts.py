@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tabulens.functions.bins import FloatEdges, IntBins
 from tabulens.functions.names import col
 from tabulens.functions.quantiles import DIRECT_LIMIT, exact_percentiles
+from tabulens.functions.topk import first_rows
 from tabulens.operators.columns import column_infos
 from tabulens.operators.histograms import finite_value, value_range
 from tabulens.plans.chart_spec import (
@@ -88,7 +89,7 @@ def line_chart(df: DataFrame, spec: ChartSpec, direct_limit: int = DIRECT_LIMIT)
         # Equal X at the cap: all output columns settle which rows stay.
         order = [F.col(k).asc_nulls_last() for k in keys]
         order += [col(y).asc_nulls_last() for y in spec.y_columns if y not in keys]
-        return raw.orderBy(*order).limit(MAX_ROWS)
+        return first_rows(raw, order, MAX_ROWS)
     inner = {y: f"_y{i}" for i, y in enumerate(spec.y_columns)}
     picked = rows.select(x, *split, *[col(y).alias(n) for y, n in inner.items()])
     names = {"value": "_y0"} if split else inner
@@ -201,7 +202,7 @@ def scatter_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:
     points = rows.select(
         col(spec.x_column).alias("x"), col(spec.y_columns[0]).alias("y"), *split
     )
-    return points.orderBy(*[F.col(n).asc_nulls_last() for n in names]).limit(MAX_ROWS)
+    return first_rows(points, [F.col(n).asc_nulls_last() for n in names], MAX_ROWS)
 
 
 def chart_frame(

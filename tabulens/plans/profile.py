@@ -7,17 +7,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulens.functions.names import col
 from tabulens.functions.quantiles import DIRECT_LIMIT
+from tabulens.functions.topk import first_rows
 from tabulens.operators import quality, structure
 from tabulens.operators.columns import TOP_VALUES, column_metrics, pct
 from tabulens.operators.duplicates import duplicate_row_pct
 from tabulens.operators.grain import grain_key_candidates
 from tabulens.operators.histograms import profile_histograms
 from tabulens.operators.semantics import type_counts, with_semantics
-from tabulens.session import small_frame
+from tabulens.session import small_frame, together
 
 # Fixed value: the version of the structure rules a stored profile was made with.
 STRUCTURE_VERSION = "v6"
+# A hash bound keeps this many times the wanted rows, so a bound that keeps too few is rare.
+SAMPLE_SLACK = 4
 
 
 @dataclass(frozen=True)
@@ -88,10 +92,15 @@ def profile(
     direct_limit: int = DIRECT_LIMIT,
 ) -> Profile:
     """Profile a whole table. The heavy work is a fixed number of jobs; all results are small."""
-    found = infer_structure(df, dataset, strict_dates, direct_limit)
+    named = F.lit(dataset)
+    found, duplicates, histograms = together(
+        df.sparkSession,
+        lambda: infer_structure(df, dataset, strict_dates, direct_limit),
+        lambda: small_frame(duplicate_row_pct(df).withColumn("dataset", named)),
+        lambda: small_frame(profile_histograms(df).withColumn("dataset", named)),
+    )
     metrics = found.columns
     issues = small_frame(quality.quality_issues(metrics, found.primary_grain, sparse_prefix))
-    duplicates = small_frame(duplicate_row_pct(df).withColumn("dataset", F.lit(dataset)))
     sizes = metrics.groupBy("dataset").agg(
         F.max("row_count").alias("row_count"),
         F.count("*").alias("column_count"),
@@ -113,9 +122,7 @@ def profile(
     return Profile(
         summary=small_frame(summary),
         structure=found,
-        histograms=small_frame(
-            profile_histograms(df).withColumn("dataset", F.lit(dataset))
-        ),
+        histograms=histograms,
         issues=issues,
         warnings=small_frame(
             structure.structure_warnings(sizes, found.primary_grain, found.primary_temporal)
@@ -130,11 +137,20 @@ def profile(
 
 
 def sampled_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """``rows`` rows picked by the hash of a key: the same rows on every run and any layout.
+    """The ``rows`` rows whose key hashes lowest: the same rows on every run and in any layout.
 
-    A top-k over the hash, so no full sort; ties of the hash are settled by the key itself.
+    A hash bound first cuts the table to a few times the sample, so only that much is ordered. Ties
+    of the hash are settled by the key, so the key should be unique.
     """
-    return df.orderBy(F.xxhash64(F.col(f"`{key}`").cast("string")), F.col(f"`{key}`")).limit(rows)
+    total = df.count()
+    hashed = df.withColumn("_h", F.xxhash64(col(key).cast("string")))
+    share = SAMPLE_SLACK * rows / max(1, total)
+    if share < 1:
+        bound = F.col("_h") < int(-(2**63) + share * 2**64)
+        if hashed.where(bound).count() >= rows:
+            hashed = hashed.where(bound)
+    order = [F.col("_h"), col(key).asc_nulls_last()]
+    return first_rows(hashed, order, rows).drop("_h")
 
 
 def sampled_profile(df: DataFrame, dataset: str, key: str, rows: int) -> Profile:

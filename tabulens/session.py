@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # A frame of one row per column, bin, candidate or issue stays far below this.
@@ -51,3 +55,9 @@ def small_frame(df: DataFrame) -> DataFrame:
     if table.num_rows > SMALL_FRAME_MAX_ROWS:
         raise ValueError(f"result has more than {SMALL_FRAME_MAX_ROWS} rows; keep it distributed")
     return df.sparkSession.createDataFrame(table, schema=df.schema)
+
+
+def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list[Any]:
+    """Results of independent jobs submitted at once, so that one fills the idle cores of another."""
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]

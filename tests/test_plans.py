@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tabulens.functions.topk import first_rows
 from tabulens.operators.joins import asof_join
 from tabulens.plans import charts, history
 from tabulens.plans.chart_spec import (
@@ -164,6 +165,13 @@ def test_auto_specs(orders):
         check_spec(ChartSpec("bar", x_column="profit", aggregation="count"), s.columns)
 
 
+def test_first_rows_equal_a_plain_top_k(spark):
+    df = spark.range(0, 5000, 1, 40).select((F.col("id") % 7).alias("x"), F.hash("id").alias("y"))
+    order = [F.col("x"), F.col("y")]
+    expected = df.orderBy(*order).limit(900).collect()
+    assert first_rows(df, order, 900, groups=6).collect() == expected
+
+
 # --- governed SQL -------------------------------------------------------------------------------
 
 

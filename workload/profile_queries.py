@@ -13,6 +13,7 @@ from tabulens.operators.columns import column_facts
 from tabulens.operators.duplicates import duplicate_row_pct
 from tabulens.operators.histograms import profile_histograms
 from tabulens.plans.profile import infer_structure, profile, sampled_rows
+from tabulens.session import together
 from workload import check_sql as sql
 from workload.inputs import (
     CONVERSATIONS_COLUMNS,
@@ -158,8 +159,8 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
         "gappy": gappy_events(spark, sf),
         "conversations": table(spark, sf, "conversations"),
     }
-    found = [semantics.with_semantics(column_facts(df, name)) for name, df in tables.items()]
-    return reduce(DataFrame.unionByName, found)
+    jobs = [lambda n=name, df=df: column_facts(df, n) for name, df in tables.items()]
+    return semantics.with_semantics(reduce(DataFrame.unionByName, together(spark, *jobs)))
 
 
 FACTS = sql.metrics_cte(
@@ -362,8 +363,8 @@ DATASET_PROFILE = f"""{sql.metrics_cte({"gappy": (GAPPY_SQL, GAPPY_COLUMNS)})}{s
 
 def sampled_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Column facts of a hash-ordered sample; the sample size is the operator's own limit."""
-    sample = sampled_rows(table(spark, sf, "lineitem"), "l_extendedprice", 50_000)
-    facts = column_facts(sample, "lineitem")
+    sample = sampled_rows(table(spark, sf, "orders"), "o_orderkey", 5_000)
+    facts = column_facts(sample, "orders")
     return facts.select("column_name", "row_count", "null_pct", "unique_count").withColumn(
         "metric_scope", F.lit("sample")
     )
