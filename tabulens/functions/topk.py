@@ -9,14 +9,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MERGE_GROUPS = 512
+# Up to this many rows one task may merge the candidates of all others.
+PLAIN_ROWS = 20_000_000
 
 
-def first_rows(df: DataFrame, order: Sequence[Column], n: int, groups: int = MERGE_GROUPS) -> DataFrame:
+def first_rows(
+    df: DataFrame,
+    order: Sequence[Column],
+    n: int,
+    rows_at_most: int | None = None,
+    groups: int = MERGE_GROUPS,
+) -> DataFrame:
     """``orderBy(order).limit(n)`` for an ``n`` of thousands over a scan of many tasks.
 
-    A plain top-k merges ``n`` rows of every task in one task. Here each task keeps its first ``n``
-    rows, groups of tasks merge theirs in parallel, and only ``groups * n`` rows reach the last step.
+    A plain top-k merges ``n`` rows of every task in one task. Beyond a row bound each task keeps its
+    first ``n`` rows, groups of tasks merge theirs in parallel, and only ``groups * n`` rows reach the
+    last step.
     """
+    if rows_at_most is not None and rows_at_most <= PLAIN_ROWS:
+        return df.orderBy(*order).limit(n)
     group = (F.spark_partition_id() % groups).alias("_group")
     place = F.row_number().over(W.partitionBy("_group").orderBy(*order))
     merged = df.select("*", group).withColumn("_place", place).where(F.col("_place") <= n)

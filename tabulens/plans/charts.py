@@ -89,7 +89,7 @@ def line_chart(df: DataFrame, spec: ChartSpec, direct_limit: int = DIRECT_LIMIT)
         # Equal X at the cap: all output columns settle which rows stay.
         order = [F.col(k).asc_nulls_last() for k in keys]
         order += [col(y).asc_nulls_last() for y in spec.y_columns if y not in keys]
-        return first_rows(raw, order, MAX_ROWS)
+        return first_rows(raw, order, MAX_ROWS, rows_at_most=df.count())
     inner = {y: f"_y{i}" for i, y in enumerate(spec.y_columns)}
     picked = rows.select(x, *split, *[col(y).alias(n) for y, n in inner.items()])
     names = {"value": "_y0"} if split else inner
@@ -202,7 +202,8 @@ def scatter_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:
     points = rows.select(
         col(spec.x_column).alias("x"), col(spec.y_columns[0]).alias("y"), *split
     )
-    return first_rows(points, [F.col(n).asc_nulls_last() for n in names], MAX_ROWS)
+    order = [F.col(n).asc_nulls_last() for n in names]
+    return first_rows(points, order, MAX_ROWS, rows_at_most=df.count())
 
 
 def chart_frame(

@@ -59,9 +59,13 @@ def infer_structure(
     metrics = column_metrics(df, dataset, TOP_VALUES, direct_limit)
     columns = small_frame(with_semantics(metrics, strict_dates))
     temporal = small_frame(structure.temporal_columns(columns))
-    axis = small_frame(structure.primary_temporal(temporal))
-    entities = small_frame(structure.entity_columns(columns))
-    pool = small_frame(structure.key_candidate_pool(columns, temporal))
+    axis, entities, pool, measures = together(
+        df.sparkSession,
+        lambda: small_frame(structure.primary_temporal(temporal)),
+        lambda: small_frame(structure.entity_columns(columns)),
+        lambda: small_frame(structure.key_candidate_pool(columns, temporal)),
+        lambda: small_frame(structure.measure_ranking(columns)),
+    )
     counted = {r.column_name: r for r in columns.select(
         "column_name", "unique_count", "row_count").collect()}
     rows = next(iter(counted.values())).row_count if counted else 0
@@ -77,7 +81,7 @@ def infer_structure(
         temporal=temporal,
         primary_temporal=axis,
         entities=entities,
-        measures=small_frame(structure.measure_ranking(columns)),
+        measures=measures,
         pool=pool,
         grain_candidates=candidates,
         primary_grain=small_frame(structure.primary_grain(candidates, entities, axis)),
@@ -99,41 +103,39 @@ def profile(
         lambda: small_frame(duplicate_row_pct(df).withColumn("dataset", named)),
         lambda: small_frame(profile_histograms(df).withColumn("dataset", named)),
     )
-    metrics = found.columns
-    issues = small_frame(quality.quality_issues(metrics, found.primary_grain, sparse_prefix))
+    metrics, grain, axis = found.columns, found.primary_grain, found.primary_temporal
     sizes = metrics.groupBy("dataset").agg(
         F.max("row_count").alias("row_count"),
         F.count("*").alias("column_count"),
         F.sum("null_count").alias("null_cells"),
     )
     cells = F.col("row_count") * F.col("column_count")
-    sizes = small_frame(sizes.withColumn("missing_cell_pct", pct(F.col("null_cells"), cells)))
-    text = quality.profile_narrative(
-        sizes, found.primary_grain, found.entities, found.primary_temporal, found.measures, issues
-    )
-    summary = (
-        sizes.join(duplicates.select("dataset", "duplicate_row_pct"), "dataset")
-        .join(type_counts(metrics), "dataset")
-        .join(quality.quality_score(sizes, issues), "dataset")
-        .join(text, "dataset")
-        .withColumn("structure_version", F.lit(STRUCTURE_VERSION))
-        .withColumn("metric_scope", F.lit("full"))
+    sizes = sizes.withColumn("missing_cell_pct", pct(F.col("null_cells"), cells))
+    shown = found.entities.where(F.col("rank") <= structure.MAX_ENTITIES)
+    sizes, issues, roles = together(
+        df.sparkSession,
+        lambda: small_frame(sizes),
+        lambda: small_frame(quality.quality_issues(metrics, grain, sparse_prefix)),
+        lambda: small_frame(structure.column_roles(metrics, grain, shown, found.temporal)),
     )
-    return Profile(
-        summary=small_frame(summary),
-        structure=found,
-        histograms=histograms,
-        issues=issues,
-        warnings=small_frame(
-            structure.structure_warnings(sizes, found.primary_grain, found.primary_temporal)
-        ),
-        roles=small_frame(
-            structure.column_roles(
-                metrics, found.primary_grain,
-                found.entities.where(F.col("rank") <= structure.MAX_ENTITIES), found.temporal,
-            )
-        ),
+
+    def summary() -> DataFrame:
+        text = quality.profile_narrative(sizes, grain, found.entities, axis, found.measures, issues)
+        return small_frame(
+            sizes.join(duplicates.select("dataset", "duplicate_row_pct"), "dataset")
+            .join(type_counts(metrics), "dataset")
+            .join(quality.quality_score(sizes, issues), "dataset")
+            .join(text, "dataset")
+            .withColumn("structure_version", F.lit(STRUCTURE_VERSION))
+            .withColumn("metric_scope", F.lit("full"))
+        )
+
+    headline, warnings = together(
+        df.sparkSession,
+        summary,
+        lambda: small_frame(structure.structure_warnings(sizes, grain, axis)),
     )
+    return Profile(headline, found, histograms, issues, warnings, roles)
 
 
 def sampled_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
@@ -150,7 +152,7 @@ def sampled_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
         if hashed.where(bound).count() >= rows:
             hashed = hashed.where(bound)
     order = [F.col("_h"), col(key).asc_nulls_last()]
-    return first_rows(hashed, order, rows).drop("_h")
+    return first_rows(hashed, order, rows, rows_at_most=total).drop("_h")
 
 
 def sampled_profile(df: DataFrame, dataset: str, key: str, rows: int) -> Profile:

@@ -281,10 +281,10 @@ PRIMARY_GRAIN = f"""{sql.tuple_counts("SELECT * FROM events", EVENT_KEYS)}{sql.R
 
 
 def structure_warnings(spark: SparkSession, sf: str) -> DataFrame:
-    found = [
-        profile(table(spark, sf, name), name).warnings for name in ("labels", "orders")
+    jobs = [
+        lambda n=name: profile(table(spark, sf, n), n).warnings for name in ("labels", "orders")
     ]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, together(spark, *jobs))
 
 
 # labels has a unique id and no time column; orders has both.
