@@ -231,7 +231,8 @@ def _range(c: ColumnInfo) -> dict[str, str]:
 def min_max(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Lowest and highest value of each numeric and temporal column.
 
-    An aggregate of minima and maxima alone, so that Parquet statistics may answer it.
+    An aggregate of minima and maxima alone, so that the v2 Parquet reader with aggregate pushdown
+    can answer it from the file statistics.
     """
     infos = [c for c in column_infos(df, columns) if c.numeric or c.kind == "temporal"]
 

@@ -7,34 +7,41 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.names import quoted
 from tabulens.operators.columns import column_infos, pct
+from tabulens.session import small_frame
 
+# Hashes of repeated rows are broadcast up to this number (eight bytes each).
+MAX_BROADCAST_HASHES = 4_000_000
 
-def duplicate_row_pct(df: DataFrame) -> DataFrame:
+
+def duplicate_row_pct(df: DataFrame, max_hashes: int = MAX_BROADCAST_HASHES) -> DataFrame:
     """Rows that occur more than once, every copy counted, as a number and a share of all rows.
 
-    A first pass shuffles an 8-byte hash per row and finds the hashes seen twice; only rows with such
-    a hash are then grouped by all their columns. Rows that merely share a hash fall apart there, so
-    the answer is exact while wide unique rows never cross the network.
+    A first pass shuffles an 8-byte hash per row and finds the hashes seen twice. None: no duplicates.
+    Few: only rows with such a hash are grouped by all their columns, so wide unique rows never cross
+    the network; rows that merely share a hash fall apart there, so the answer is exact. Many: the
+    table is grouped by all columns at once, copies being added up within each task first.
     """
-    rows = df.selectExpr(*[f"{c.groupable} as {c.sql}" for c in column_infos(df)])
-    names = [quoted(n) for n in rows.columns]
+    infos = column_infos(df)
+    rows = df.selectExpr(*[f"{c.groupable} as {c.sql}" for c in infos])
+    names = [quoted(c.name) for c in infos]
     hashed = rows.withColumn("_h", F.xxhash64(*names))
-    hashes = hashed.groupBy("_h").count()
-    repeated = hashes.where(F.col("count") > 1).select("_h")
-    copies = (
-        hashed.join(repeated, "_h", "left_semi")
-        .groupBy(*names)
-        .count()
-        .where(F.col("count") > 1)
-        .agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
-    )
-    total = hashes.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("row_count"))
-    return (
-        total.withColumn("_one", F.lit(1))
-        .join(copies.withColumn("_one", F.lit(1)), "_one")
-        .select(
-            "row_count",
-            "duplicate_rows",
-            pct(F.col("duplicate_rows"), F.col("row_count")).alias("duplicate_row_pct"),
+    hashes = hashed.groupBy("_h").count().persist()
+    try:
+        size = hashes.agg(
+            F.coalesce(F.sum("count"), F.lit(0)).alias("row_count"),
+            F.count_if(F.col("count") > 1).alias("repeated"),
+        ).first()
+        if size.repeated:
+            if size.repeated <= max_hashes:
+                repeated = hashes.where(F.col("count") > 1).select("_h")
+                hashed = hashed.join(F.broadcast(repeated), "_h", "left_semi")
+            copies = hashed.groupBy(*names).count().where(F.col("count") > 1)
+        else:
+            copies = hashes.where(F.col("count") > 1)
+        counted = copies.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+        return small_frame(
+            counted.select(F.lit(size.row_count).cast("bigint").alias("row_count"), "duplicate_rows")
+            .withColumn("duplicate_row_pct", pct(F.col("duplicate_rows"), F.col("row_count")))
         )
-    )
+    finally:
+        hashes.unpersist()

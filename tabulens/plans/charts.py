@@ -184,14 +184,9 @@ def bar_chart(df: DataFrame, spec: ChartSpec, direct_limit: int = DIRECT_LIMIT)
     ranked = measured(picked, ["x"], "_rank_by").orderBy(*best).limit(top_n)
     if not split:
         return ranked.select("x", F.col("_rank_by").alias(measure or "count"))
-    kept = picked.join(F.broadcast(ranked.select("x")), "x", "left_semi")
     out = "value" if measure else "count"
-    detail = measured(kept, ["x", "split"], out)
-    return (
-        detail.join(F.broadcast(ranked), "x")
-        .orderBy(*best, "split")
-        .select("x", "split", out)
-    )
+    detail = measured(picked.join(F.broadcast(ranked), "x"), ["x", "split", "_rank_by"], out)
+    return detail.orderBy(*best, "split").select("x", "split", out)
 
 
 def scatter_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:

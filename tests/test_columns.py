@@ -173,6 +173,13 @@ def test_duplicates_treat_nulls_zeros_and_maps_as_values(spark):
     assert duplicate_row_pct(df).first().duplicate_rows == 2
 
 
+def test_many_duplicates_take_the_direct_path_and_agree(spark):
+    df = spark.range(3000).select((F.col("id") % 1000).alias("a"), F.lit("x").alias("b"))
+    hot = df.unionByName(spark.range(1500).select(F.lit(-1).alias("a"), F.lit("y").alias("b")))
+    both = [duplicate_row_pct(hot, max_hashes=m).first() for m in (10, 10_000)]
+    assert both[0] == both[1] and both[0].duplicate_rows == 4500
+
+
 def test_duplicates_of_an_empty_table(spark):
     r = duplicate_row_pct(spark.createDataFrame([], "a int")).first()
     assert (r.row_count, r.duplicate_rows, r.duplicate_row_pct) == (0, 0, None)
