@@ -24,7 +24,9 @@ from tabulens.session import small_frame, together
 COLUMNS_PER_AGGREGATE = 150
 # How many top values a column shows.
 TOP_VALUES = 8
-TOP_VALUES_ID_LIKE = 5
+# Longer texts travel as this many first characters and a digest of the whole text.
+LONG_TEXT = 128
+TEXT_KEY_LENGTH = LONG_TEXT + 1 + 32
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATS = (T.FloatType, T.DoubleType)
@@ -87,6 +89,10 @@ class ColumnInfo:
             return f"hex({self.sql})"
         return f"to_json({self.groupable})" if _jsonable(self.dtype) else f"string({self.sql})"
 
+    @property
+    def text_key(self) -> str:
+        return text_key(self.carried) if self.carrier == "string" else self.carried
+
     @property
     def groupable(self) -> str:
         """A form that can be grouped and hashed: maps as sorted entries, zeros of one sign."""
@@ -97,6 +103,17 @@ class ColumnInfo:
         return self.sql
 
 
+def text_key(text: str) -> str:
+    """A text itself, or for a long one its first characters and the digest of all of it.
+
+    Short enough to shuffle, equal only for equal texts, and in text order up to its first part.
+    """
+    return (
+        f"if(length({text}) <= {LONG_TEXT}, {text}, "
+        f"concat(left({text}, {LONG_TEXT}), '~', md5({text})))"
+    )
+
+
 def _jsonable(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.ArrayType, T.MapType, T.StructType))
 
@@ -247,12 +264,14 @@ def long_form(df: DataFrame, infos: Sequence[ColumnInfo], values: Sequence[str])
     return picked.unpivot([], names, "o", "v")
 
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def value_counts(
+    df: DataFrame, columns: Sequence[str] | None = None, whole_texts: bool = False
+) -> DataFrame:
     """(ordinal, value as text, n) for every distinct value of every column; null is a value.
 
     Columns of one type share one group-by, which reads only those columns and ships their native
-    values. Counts are added up before the shuffle, so a hot value is one row per task. Text is made
-    from distinct values only.
+    values; long texts are shipped as ``text_key`` unless ``whole_texts``. Counts are added up before
+    the shuffle, so a hot value is one row per task. Text is made from distinct values only.
     """
     infos = column_infos(df, columns)
     families: dict[str, list[ColumnInfo]] = {}
@@ -260,7 +279,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         families.setdefault(c.carrier, []).append(c)
     parts = []
     for members in families.values():
-        counted = long_form(df, members, [c.carried for c in members]).groupBy("o", "v").count()
+        values = [c.carried if whole_texts else c.text_key for c in members]
+        counted = long_form(df, members, values).groupBy("o", "v").count()
         parts.append(
             counted.select(
                 F.col("o").cast("int").alias("ordinal"),
@@ -275,13 +295,14 @@ def _value_summary(counts: DataFrame) -> DataFrame:
     value = F.col("value")
     token = F.lower(F.trim(value))
     known = token.isin(BOOLEAN_TOKENS)
+    digits = F.trim(F.left(value, F.lit(LONG_TEXT))).rlike("^[0-9]+$")
     return counts.groupBy("ordinal").agg(
         F.count("*").alias("unique_count"),
         F.sum("n").alias("counted_rows"),
         # For text columns: all values boolean words, how many such words, rows of digits only.
         F.coalesce(F.bool_and(known | value.isNull()), F.lit(True)).alias("boolean_words_only"),
         F.size(F.collect_set(F.when(known, token))).alias("boolean_words"),
-        F.sum(F.when(F.trim(value).rlike("^[0-9]+$"), F.col("n")).otherwise(0)).alias("digit_rows"),
+        F.sum(F.when(digits, F.col("n")).otherwise(0)).alias("digit_rows"),
     )
 
 
@@ -291,20 +312,71 @@ def _ranked_values(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _whole_texts(df: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    """Ranked values with long texts in full. ``ranked`` holds ``k + 1`` per column, so that a tie of
+    two long texts with one beginning shows at the cut.
+
+    Most tables need no more than a look at the few rows. Otherwise the chosen texts are looked up by
+    their key, and a column with such a tie is ranked again on whole texts.
+    """
+    chosen: dict[int, list] = {}
+    for r in ranked.orderBy("ordinal", "rank").collect():
+        chosen.setdefault(r.ordinal, []).append(r)
+    infos = {c.ordinal: c for c in column_infos(df) if c.carrier == "string"}
+
+    def is_key(r) -> bool:
+        return r.value is not None and len(r.value) == TEXT_KEY_LENGTH
+
+    long = [o for o, rows in chosen.items() if o in infos and any(is_key(r) for r in rows)]
+    if not long:
+        return ranked.where(F.col("rank") <= k)
+    tied = []
+    for o in long:
+        last, after = (chosen[o][k - 1 : k + 1] + [None, None])[:2]
+        if after is not None and is_key(last) and is_key(after):
+            if (last.n, last.value[:LONG_TEXT]) == (after.n, after.value[:LONG_TEXT]):
+                tied.append(o)
+    result = ranked.where(~F.col("ordinal").isin(tied)) if tied else ranked
+    lookup = [infos[o] for o in long if o not in tied]
+    if lookup:
+        keys = F.broadcast(result.select("ordinal", F.col("value").alias("key")).where(
+            F.length("key") == TEXT_KEY_LENGTH))
+        texts = (
+            long_form(df, lookup, [c.carried for c in lookup])
+            .where(F.length("v") > LONG_TEXT)
+            .select(F.col("o").cast("int").alias("ordinal"), "v", F.expr(text_key("v")).alias("key"))
+            .join(keys, ["ordinal", "key"])
+            .groupBy("ordinal", "key")
+            .agg(F.first("v").alias("text"))
+        )
+        result = result.join(
+            texts.withColumnRenamed("key", "value"), ["ordinal", "value"], "left"
+        ).select("ordinal", F.coalesce("text", "value").alias("value"), "n")
+    result = result.select("ordinal", "value", "n")
+    if tied:
+        names = [infos[o].name for o in tied]
+        again = _ranked_values(value_counts(df, names, whole_texts=True), k)
+        result = result.unionByName(again.select("ordinal", "value", "n"))
+    return _ranked_values(small_frame(result), k)
+
+
 def value_profile(
     df: DataFrame, k: int = TOP_VALUES, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Distinct counts and top values of each column from one long group-by.
+    """Distinct counts and top values of each column from one long group-by, as a small frame.
 
     Both branches share the same shuffle of (column, value) counts, which Spark runs once.
     """
     counts = value_counts(df, columns)
-    top = (
-        _ranked_values(counts, k)
-        .groupBy("ordinal")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top_values"))
+    ranked = _ranked_values(counts, k + 1).groupBy("ordinal").agg(
+        F.collect_list(F.struct("rank", "value", "n")).alias("_top")
+    )
+    found = small_frame(_value_summary(counts).join(ranked, "ordinal"))
+    top = _whole_texts(df, found.select("ordinal", F.inline("_top")), k)
+    listed = top.groupBy("ordinal").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top_values")
     )
-    return _value_summary(counts).join(top, "ordinal")
+    return found.drop("_top").join(listed, "ordinal")
 
 
 def _named(df: DataFrame, per_ordinal: DataFrame, columns: Sequence[str] | None) -> DataFrame:
@@ -350,8 +422,8 @@ def top_values(
     df: DataFrame, k: int = TOP_VALUES, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """The k most frequent values of each column: count first, then text, null last."""
-    ranked = _ranked_values(value_counts(df, columns), k)
-    return _named(df, ranked, columns).select(
+    ranked = small_frame(_ranked_values(value_counts(df, columns), k + 1))
+    return _named(df, _whole_texts(df, ranked, k), columns).select(
         "ordinal", "column_name", "rank", "value", F.col("n").alias("value_count")
     )
 
@@ -361,7 +433,10 @@ def top_value(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     wanted = [c.name for c in column_infos(df, columns) if not c.numeric]
     counts = value_counts(df, wanted)
     rows = counts.groupBy("ordinal").agg(F.sum("n").alias("rows"))
-    first = _ranked_values(counts, 1).join(rows, "ordinal")
+    ranked = small_frame(_ranked_values(counts, 2).join(rows, "ordinal"))
+    first = _whole_texts(df, ranked.drop("rows"), 1).join(
+        ranked.select("ordinal", "rows").distinct(), "ordinal"
+    )
     return _named(df, first, wanted).select(
         "ordinal",
         "column_name",
@@ -379,6 +454,8 @@ def quartiles(
 ) -> DataFrame:
     """Linear p25, median and p75 of each numeric column, exact at any size."""
     infos = [c for c in column_infos(df, columns) if c.numeric]
+    if rows_at_most is None:
+        rows_at_most = df.count()  # no column has more values; Parquet answers from its footers
     long = long_form(df, infos, [c.double for c in infos])
     found = exact_percentiles(
         long, ["o"], "v", [0.25, 0.5, 0.75], ["p25", "median", "p75"], direct_limit, rows_at_most
@@ -411,6 +488,8 @@ def datetime_median(
 ) -> DataFrame:
     """Median instant of each temporal column, midway between the two middle rows if need be."""
     infos = [c for c in column_infos(df, columns) if c.kind == "temporal"]
+    if rows_at_most is None:
+        rows_at_most = df.count()
     # Zone-free times pass through the session zone both ways; the session is pinned to UTC.
     micros = [f"double(unix_micros(cast({c.sql} as timestamp)))" for c in infos]
     found = exact_percentiles(
@@ -427,12 +506,15 @@ def column_facts(df: DataFrame, dataset: str, top_k: int = TOP_VALUES) -> DataFr
 
     Two jobs whatever the number of columns, held as a small frame of one row per column.
     """
-    values = value_profile(df, top_k)
+    stats, values = together(
+        df.sparkSession,
+        lambda: small_frame(column_stats(df)),
+        lambda: value_profile(df, top_k),
+    )
     first = F.get("top_values", F.lit(0))
     numeric = F.col("kind").isin("integer", "float", "decimal")
     return small_frame(
-        column_stats(df)
-        .join(values, "ordinal", "left")
+        stats.join(values, "ordinal", "left")
         .withColumn("dataset", F.lit(dataset))
         .withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("bigint")))
         .withColumn("unique_pct", pct(F.col("unique_count"), F.col("row_count")))

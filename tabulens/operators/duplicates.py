@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.names import quoted
 from tabulens.operators.columns import column_infos, pct
-from tabulens.session import small_frame
 
 # Hashes of repeated rows are broadcast up to this number (eight bytes each).
 MAX_BROADCAST_HASHES = 4_000_000
@@ -25,23 +24,17 @@ def duplicate_row_pct(df: DataFrame, max_hashes: int = MAX_BROADCAST_HASHES) ->
     rows = df.selectExpr(*[f"{c.groupable} as {c.sql}" for c in infos])
     names = [quoted(c.name) for c in infos]
     hashed = rows.withColumn("_h", F.xxhash64(*names))
-    hashes = hashed.groupBy("_h").count().persist()
+    repeated = hashed.groupBy("_h").count().where(F.col("count") > 1).select("_h").persist()
     try:
-        size = hashes.agg(
-            F.coalesce(F.sum("count"), F.lit(0)).alias("row_count"),
-            F.count_if(F.col("count") > 1).alias("repeated"),
-        ).first()
-        if size.repeated:
-            if size.repeated <= max_hashes:
-                repeated = hashes.where(F.col("count") > 1).select("_h")
-                hashed = hashed.join(F.broadcast(repeated), "_h", "left_semi")
-            copies = hashed.groupBy(*names).count().where(F.col("count") > 1)
-        else:
-            copies = hashes.where(F.col("count") > 1)
-        counted = copies.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
-        return small_frame(
-            counted.select(F.lit(size.row_count).cast("bigint").alias("row_count"), "duplicate_rows")
-            .withColumn("duplicate_row_pct", pct(F.col("duplicate_rows"), F.col("row_count")))
-        )
+        total, found = df.count(), repeated.count()
+        if found and found <= max_hashes:
+            hashed = hashed.join(F.broadcast(repeated), "_h", "left_semi")
+        # Without a repeated hash there is nothing to group.
+        copies = hashed.groupBy(*names).count().where(F.col("count") > 1) if found else None
+        copied = copies.agg(F.sum("count")).first()[0] if found else 0
     finally:
-        hashes.unpersist()
+        repeated.unpersist()
+    return df.sparkSession.range(1).select(
+        F.lit(total).cast("bigint").alias("row_count"),
+        F.lit(copied or 0).cast("bigint").alias("duplicate_rows"),
+    ).withColumn("duplicate_row_pct", pct(F.col("duplicate_rows"), F.col("row_count")))

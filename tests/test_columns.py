@@ -153,6 +153,25 @@ def test_top_values_break_ties_by_text_with_null_last(spark):
     assert [r.value for r in cols.top_values(df).orderBy("rank").collect()] == ["c", "a", "b", None]
 
 
+@pytest.mark.parametrize("tied", [False, True])
+def test_long_texts_rank_by_their_whole_text(spark, tied):
+    base = "p" * 200
+    texts = [f"{i % 3}{'x' * 150}{i}" for i in range(30)] + ["short"] * 3 + ["3" + base + "b"] * 2
+    if tied:
+        texts = [f"{base}{chr(97 + i)}" for i in range(26)] + ["z" * 300] * 2
+    df = spark.createDataFrame([(t,) for t in texts + texts[:1] * 4 + [None]], "t string")
+    expected = {}
+    for t in texts + texts[:1] * 4 + [None]:
+        expected[t] = expected.get(t, 0) + 1
+    order = sorted(expected.items(), key=lambda x: (-x[1], x[0] is None, x[0] or ""))[:8]
+    found = [(r.value, r.value_count) for r in cols.top_values(df).orderBy("rank").collect()]
+    assert found == order
+    assert cols.unique_count(df).first().unique_count == len(expected)
+    assert cols.top_value(df).first().top_value == order[0][0]
+    facts = cols.column_metrics(df, "t").first()
+    assert [(r["value"], r["n"]) for r in facts.top_values] == order
+
+
 def test_top_null_prints_as_text(spark):
     df = spark.createDataFrame([(None,), (None,), ("x",)], "v string")
     assert cols.top_value(df).first().top_value == "(null)"

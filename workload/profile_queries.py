@@ -13,7 +13,7 @@ from tabulens.operators.columns import column_facts
 from tabulens.operators.duplicates import duplicate_row_pct
 from tabulens.operators.histograms import profile_histograms
 from tabulens.plans.profile import infer_structure, profile, sampled_rows
-from tabulens.session import together
+from tabulens.session import small_frame, together
 from workload import check_sql as sql
 from workload.inputs import (
     CONVERSATIONS_COLUMNS,
@@ -62,6 +62,13 @@ def top_values(spark: SparkSession, sf: str) -> DataFrame:
     return cols.top_values(table(spark, sf, "lineitem"), columns=names)
 
 
+def top_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Long texts: whole documents and web pages, by count and then by text."""
+    documents = cols.top_values(table(spark, sf, "documents"), columns=["text", "lang"])
+    pages = cols.top_values(table(spark, sf, "pages"), columns=["html"])
+    return documents.unionByName(pages)
+
+
 def _top_sql(source: str, columns: list[tuple[int, str]], k: int) -> str:
     parts = [
         f"""SELECT {i} AS ordinal, '{c}' AS column_name,
@@ -160,7 +167,8 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
         "conversations": table(spark, sf, "conversations"),
     }
     jobs = [lambda n=name, df=df: column_facts(df, n) for name, df in tables.items()]
-    return semantics.with_semantics(reduce(DataFrame.unionByName, together(spark, *jobs)))
+    facts = reduce(DataFrame.unionByName, together(spark, *jobs))
+    return small_frame(semantics.with_semantics(facts))
 
 
 FACTS = sql.metrics_cte(
@@ -386,6 +394,7 @@ QUERIES = {
     "numeric_describe": numeric_describe,
     "datetime_median": datetime_median,
     "top_values": top_values,
+    "top_texts": top_texts,
     "top_value": lambda s, d: cols.top_value(gappy_events(s, d), ["event_type", "props"]),
     "histogram_int_profile": lambda s, d: _bins(
         profile_histograms(table(s, d, "part"), ["p_size"])
@@ -448,6 +457,13 @@ QUERIES = {
     "dataset_profile": dataset_profile,
 }
 
+NARRATIVE = """SELECT 'conversations' AS dataset, NULL::VARCHAR AS likely_grain,
+  concat_ws(chr(10) || chr(10), concat('conversations has ', format('{:,}', count(*)),
+    ' rows and 4 columns.'), 'Likely identifiers: conv_id.', 'Main measures: turn.',
+    CASE WHEN count(DISTINCT conv_id) < 0.99 * count(*)
+      THEN 'Main risks: Repeated values in likely key conv_id.' END) AS narrative
+  FROM conversations"""
+
 SEVERITY = """CASE WHEN high_missingness OR id_with_nulls THEN 'critical'
   WHEN constant_column THEN 'warning' ELSE 'none' END"""
 
@@ -473,6 +489,10 @@ ORACLE = {
          (9, "l_linestatus")],
         8,
     ),
+    "top_texts": " UNION ALL ".join(
+        f"SELECT * FROM ({_top_sql(f'SELECT * FROM {t}', columns, 8)})"
+        for t, columns in (("documents", [(1, "text"), (2, "lang")]), ("pages", [(2, "html")]))
+    ),
     "top_value": TOP_VALUE,
     "histogram_int_profile": INT_BINS,
     "histogram_float_profile": FLOAT_BINS,
@@ -520,4 +540,5 @@ ORACLE = {
       {SEVERITY} AS severity FROM m WHERE contains(lower(column_name), 'r')
       AND (high_missingness OR id_with_nulls OR constant_column)""",
     "dataset_profile": DATASET_PROFILE,
+    "profile_narrative": NARRATIVE,
 }
