@@ -112,20 +112,28 @@ def _bracketed(
     names: Sequence[str], limit: int,
 ) -> DataFrame:
     picks = range(len(probs))
-    grid, margin = small_frame(_first_grid(rows, large, keys, probs)), SAFETY_CELLS
+    plan, margin = _first_grid(rows, large, keys, probs), SAFETY_CELLS
+    state = small_frame(_proposal(plan, keys, picks, margin))
     while True:
-        state = small_frame(_proposal(grid, keys, picks, margin))
-        seen = small_frame(_pass(rows, state, keys, picks))
+        passed = _pass(rows, state, keys, picks)
+        seen = small_frame(_checked(passed, keys, picks))
         check = seen.agg(
             *[F.min(_proven(i)).alias(f"p{i}") for i in picks],
             *[F.max(f"_open{i}").alias(f"o{i}") for i in picks],
         ).first()
         if not all(check[f"p{i}"] for i in picks):
-            margin *= 4  # the sketch was off by more than its promise: widen the last proposal
+            # The sketch was off by more than its promise: widen the last proposal.
+            margin *= 4
+            state = small_frame(_proposal(plan, keys, picks, margin))
         elif max(check[f"o{i}"] for i in picks) <= limit:
             return _pick(rows, seen, keys, names)
         else:
-            grid, margin = seen, SAFETY_CELLS
+            plan, margin = passed, SAFETY_CELLS
+            state = seen.select(
+                *keys,
+                *[f"{f}{i}" for i in picks for f in ("_rank", "_last", "_blend")],
+                *[F.col(f"_next{f}{i}").alias(f"{f}{i}") for i in picks for f in ("_lo", "_hi")],
+            )
 
 
 def _first_grid(
@@ -189,21 +197,36 @@ def _proven(i: int) -> Column:
     return (below <= F.col(f"_rank{i}")) & (F.col(f"_last{i}") < below + held)
 
 
-def _proposal(grid: DataFrame, keys: Sequence[str], picks: range, margin: int) -> DataFrame:
-    """Narrower brackets: the grid cells around each rank, with a margin on both sides."""
-    columns = [F.col(k) for k in keys]
+def _bracket(i: int, margin: int) -> tuple[Column, Column]:
+    """The grid cells around a rank, with a margin on both sides."""
+    scale = F.greatest(F.col(f"_held{i}") - 1, F.lit(1))
+    low = F.floor((F.col(f"_rank{i}") - F.col(f"_below{i}")) / scale * GRID).cast("int") - margin
+    high = F.ceil((F.col(f"_last{i}") - F.col(f"_below{i}")) / scale * GRID).cast("int") + margin
+    grid, first, last = f"_grid{i}", F.col(f"_min{i}"), F.col(f"_max{i}")
+    return (
+        F.when(low <= 0, first).otherwise(F.get(grid, low)),
+        F.when(high >= GRID, last).otherwise(F.get(grid, high)),
+    )
+
+
+def _proposal(plan: DataFrame, keys: Sequence[str], picks: range, margin: int) -> DataFrame:
+    """Narrower brackets. Grids stay in the executors; only the two ends of each come back."""
+    columns = []
     for i in picks:
-        scale = F.greatest(F.col(f"_held{i}") - 1, F.lit(1))
-        low = F.floor((F.col(f"_rank{i}") - F.col(f"_below{i}")) / scale * GRID).cast("int") - margin
-        high = F.ceil((F.col(f"_last{i}") - F.col(f"_below{i}")) / scale * GRID).cast("int") + margin
+        low, high = _bracket(i, margin)
         columns += [F.col(f"{f}{i}") for f in ("_rank", "_last", "_blend")]
-        columns += [
-            F.when(low <= 0, F.col(f"_min{i}")).otherwise(F.get(f"_grid{i}", low)).alias(f"_lo{i}"),
-            F.when(high >= GRID, F.col(f"_max{i}"))
-            .otherwise(F.get(f"_grid{i}", high))
-            .alias(f"_hi{i}"),
-        ]
-    return grid.select(*columns)
+        columns += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]
+    return plan.select(*keys, *columns)
+
+
+def _checked(passed: DataFrame, keys: Sequence[str], picks: range) -> DataFrame:
+    """The counts that prove or refute each bracket, and the next bracket, without the grids."""
+    columns = []
+    for i in picks:
+        low, high = _bracket(i, SAFETY_CELLS)
+        columns += [F.col(f"{f}{i}") for f in (*FIELDS, "_below", "_held", "_open")]
+        columns += [low.alias(f"_next_lo{i}"), high.alias(f"_next_hi{i}")]
+    return passed.select(*keys, *columns)
 
 
 def _pick(rows: DataFrame, seen: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:

@@ -104,9 +104,11 @@ def test_large_groups_take_the_bracket_path_and_agree(spark):
     assert found["empty"].a is None
 
 
-def test_global_percentiles_by_brackets(spark):
+@pytest.mark.parametrize("limit", [500, 3])
+def test_global_percentiles_by_brackets(spark, limit):
+    """A limit of 3 rows takes several rounds of narrowing."""
     df = spark.range(20_001).select((F.col("id") * 0.5).alias("v"))
-    found = exact_percentiles(df, [], "v", [0.25, 0.5, 0.99], ["a", "b", "c"], direct_limit=500)
+    found = exact_percentiles(df, [], "v", [0.25, 0.5, 0.99], ["a", "b", "c"], direct_limit=limit)
     assert [tuple(r) for r in found.collect()] == [(2500.0, 5000.0, 9900.0)]
 
 
