@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +25,25 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, as any Spark job's own modules."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    path = Path(tempfile.mkdtemp(prefix="tabulens-")) / "tabulens.zip"
+    path.write_bytes(packed.getvalue())
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def map_rows(
     df: DataFrame, function: Callable[[list], Iterator[tuple]], schema: str | T.StructType
 ) -> DataFrame:
@@ -30,6 +53,7 @@ def map_rows(
     """
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     names = [f.name for f in kind]
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulens.llm.common import read_table
+from tabulens.llm.simhash import simhash_components
 from tabulens.llm.token_counts import token_counts
 
 
@@ -17,8 +18,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest id it is linked to."""
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op7_token_counts": op7_token_counts,
+    "op10_simhash_components": op10_simhash_components,
 }
 
 ORACLE: dict[str, str] = {}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +10,6 @@ from pyspark.sql import functions as F
 from tabulens.llm.common import map_rows, text_of
 from tabulens.llm.transducer import CHUNK_CHARS, from_sentencepiece, written_form
 
-compiled = lru_cache(maxsize=2)(from_sentencepiece)
-
 
 def token_counts(
     docs: DataFrame,
@@ -31,7 +28,7 @@ def token_counts(
     """
 
     def count(columns: list) -> Iterator[tuple]:
-        machine = compiled(model)
+        machine = from_sentencepiece(model)
         for key, n_bytes, text in zip(*columns, strict=True):
             ends = machine.offsets(written_form(text), chunk_chars)
             n = ends[-1] if ends else 0

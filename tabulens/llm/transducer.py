@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from typing import NamedTuple
 
 SPACE = "▁"
@@ -224,6 +225,7 @@ class TokenTransducer:
         return self.offsets(text, chunk_chars)[-1] if text else 0
 
 
+@lru_cache(maxsize=2)
 def from_sentencepiece(path: str) -> TokenTransducer:
     """The transducer of a byte-pair model file; a model of another kind is refused."""
     import sentencepiece
