@@ -41,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     found = rounds[0]
     for points in rounds[1:]:
-        later = points.withColumnsRenamed({"node": "root", "root": "next"})
+        later = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
         found = found.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     names = found.groupBy("root").agg(F.min("node").alias("component"))
     return found.join(names, "root").select("node", "component")
