@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulens.llm.common import read_table
 from tabulens.llm.simhash import simhash_components
 from tabulens.llm.token_counts import token_counts
+from tabulens.llm.warc import archived_pages
+from tabulens.session import scratch_dir
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives in the shared folder and back."""
+    return archived_pages(spark, read_table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +31,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op10_simhash_components": op10_simhash_components,
 }
