@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulens.llm.common import read_table
+from tabulens.llm.packing import pack_documents
 from tabulens.llm.simhash import simhash_components
 from tabulens.llm.token_counts import token_counts
 from tabulens.llm.warc import archived_pages
 from tabulens.session import scratch_dir
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 2048 tokens."""
+    docs = read_table(spark, sf_dir, "documents")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through WARC archives in the shared folder and back."""
     return archived_pages(spark, read_table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
@@ -31,6 +38,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
     "op10_simhash_components": op10_simhash_components,
