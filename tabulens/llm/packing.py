@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from tabulens.llm.common import map_rows, ship, text_of, written
 
 CAPACITY = 2048
-# Share of a length's pieces that one step of the program covers at most, the fall of its price once
-# all are covered (as an exponent), and the most steps; the rest is left to the best-fit rule.
-STEP, FALL, STEPS = 0.5, 4.0, 1500
+# Share of a length's pieces that one configuration covers at most, the fall of its price once all are
+# covered (as an exponent), and the most steps; the rest is left to the best-fit rule.
+STEP, FALL, STEPS = 1.0, 4.0, 400
+# Configurations taken from one knapsack table, and how near to the best price they are.
+AT_ONCE, NEAR = 32, 0.02
 # Rows of one length that are ranked in one group.
 RANKED = 100_000
 
@@ -129,8 +131,12 @@ def pieces(
 Pattern = tuple[int, ...]
 
 
-def best_configuration(prices: np.ndarray, capacity: int) -> Pattern:
-    """The multiset of lengths of highest total price within ``capacity``; prices by length from 1."""
+def best_configurations(prices: np.ndarray, capacity: int) -> Iterator[Pattern]:
+    """Multisets of lengths within ``capacity`` of nearly the highest total price, the best first.
+
+    One knapsack table gives the best configuration with each length in it; those within ``NEAR`` of
+    the best of all are returned, at most ``AT_ONCE``. Prices go by length from 1.
+    """
     lengths = np.flatnonzero(prices > 0)
     worth = prices[lengths]
     best = np.zeros(capacity + 1)
@@ -144,14 +150,17 @@ def best_configuration(prices: np.ndarray, capacity: int) -> Pattern:
             at = int(value.argmax())
             if value[at] > best[c]:
                 best[c], took[c] = value[at], lengths[at]
-    out, c = [], capacity
-    while c > 0:
-        if took[c]:
-            out.append(int(took[c]))
-            c -= int(took[c])
-        else:
-            c -= 1
-    return tuple(sorted(out, reverse=True))
+    value = worth + best[capacity - lengths]
+    order = np.argsort(-value, kind="stable")
+    for at in order[value[order] >= (1 - NEAR) * best[capacity]][:AT_ONCE].tolist():
+        out, c = [int(lengths[at])], capacity - int(lengths[at])
+        while c > 0:
+            if took[c]:
+                out.append(int(took[c]))
+                c -= int(took[c])
+            else:
+                c -= 1
+        yield tuple(sorted(out, reverse=True))
 
 
 def solve_program(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> dict[Pattern, float]:
@@ -167,12 +176,13 @@ def solve_program(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STE
         prices = np.where(covered < 1 - 1e-9, size / capacity * np.exp(-FALL * covered), 0.0)
         if not prices.any():
             break
-        chosen = best_configuration(prices, capacity)
-        lengths, times = np.unique(chosen, return_counts=True)
-        left = (1 - covered[lengths]) * need[lengths] / times
-        amount = float(min(left.min(), max((STEP * need[lengths] / times).min(), 1.0)))
-        covered[lengths] += amount * times / need[lengths]
-        solution[chosen] = solution.get(chosen, 0.0) + amount
+        for chosen in best_configurations(prices, capacity):
+            lengths, times = np.unique(chosen, return_counts=True)
+            left = (1 - covered[lengths]) * need[lengths] / times
+            amount = float(min(left.min(), max((STEP * need[lengths] / times).min(), 1.0)))
+            if amount > 1e-9:
+                covered[lengths] += amount * times / need[lengths]
+                solution[chosen] = solution.get(chosen, 0.0) + amount
     return solution
 
 
