@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -51,28 +52,36 @@ def map_rows(
 
     Rows stay in the task that reads them: no shuffle. Results leave in slices of bounded length.
     """
+
+    def each(batches: Iterator[list]) -> Iterator[tuple]:
+        for columns in batches:
+            yield from function(columns)
+
+    return map_stream(df, each, schema)
+
+
+def map_stream(
+    df: DataFrame,
+    function: Callable[[Iterator[list]], Iterator[tuple]],
+    schema: str | T.StructType,
+    slice_rows: int = 1024,
+) -> DataFrame:
+    """Like ``map_rows``, but ``function`` sees all batches of a partition one after the other."""
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    names = [f.name for f in kind]
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(kind)
-        for batch in batches:
-            rows: list[tuple] = []
-            for row in function([column.to_pylist() for column in batch.columns]):
-                rows.append(row)
-                if len(rows) == 4096:
-                    yield _batch(rows, names, arrow)
-                    rows = []
-            if rows:
-                yield _batch(rows, names, arrow)
+        rows = function([column.to_pylist() for column in batch.columns] for batch in batches)
+        while held := list(itertools.islice(rows, slice_rows)):
+            yield _batch(held, arrow)
 
     return df.mapInArrow(run, kind)
 
 
-def _batch(rows: list[tuple], names: list[str], arrow: pa.Schema) -> pa.RecordBatch:
+def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabulens.llm.common import read_table
 from tabulens.llm.packing import pack_documents
+from tabulens.llm.phrases import edited_likeness
 from tabulens.llm.simhash import simhash_components
 from tabulens.llm.token_counts import token_counts
 from tabulens.llm.warc import archived_pages
@@ -32,6 +33,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest id it is linked to."""
     return simhash_components(read_table(spark, sf_dir, "documents"))
@@ -41,6 +47,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
+    "op9_phrase_fingerprints": op9_phrase_fingerprints,
     "op10_simhash_components": op10_simhash_components,
 }
 
