@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulens.llm.common import read_table
 from tabulens.llm.packing import pack_documents
 from tabulens.llm.phrases import edited_likeness
+from tabulens.llm.quality import quality_rules
 from tabulens.llm.simhash import simhash_components
 from tabulens.llm.token_counts import token_counts
 from tabulens.llm.warc import archived_pages
 from tabulens.session import scratch_dir
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality_rules(docs, labels)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of 2048 tokens."""
     docs = read_table(spark, sf_dir, "documents")
@@ -44,6 +51,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
