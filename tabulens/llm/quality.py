@@ -24,7 +24,7 @@ SAMPLE = 3000
 # N-grams of fewer texts of the sample have no weight.
 LEAST_TEXTS = 4
 # Texts whose calibrated probability of being good is below this are rejected.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 FAMILIES = ("byte pairs", "byte fours", "words", "word pairs")
@@ -188,12 +188,12 @@ class Sparse:
         return np.bincount(self.column, errors[self.row] * self.value, size)
 
 
-def _logistic(x: Sparse, y: np.ndarray, train: np.ndarray, rounds: int = 80) -> tuple[np.ndarray, float]:
+def _logistic(x: Sparse, y: np.ndarray, train: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Weights by gradient steps that adapt to each bucket; classes count alike."""
     size = len(FAMILIES) * BUCKETS
     part = np.where(y == 1, 0.5 / max(1, (y[train] == 1).sum()), 0.5 / max(1, (y[train] == 0).sum())) * train
     # A bucket's share is taken against its usual size, so rare and common n-grams can weigh alike.
-    usual = np.sqrt(np.bincount(x.column, x.value * part[x.row], size) + 1e-5)
+    usual = np.sqrt(np.bincount(x.column, x.value * part[x.row], size) + 1e-3)
     scaled = Sparse(x.row, x.column, (x.value / usual[x.column]).astype(np.float32), x.rows)
     weights, bias = np.zeros(size), 0.0
     power, bias_power = np.full(size, 1e-10), 1e-10
