@@ -11,6 +11,7 @@ from tabulens.llm.phrases import edited_likeness
 from tabulens.llm.quality import quality_rules
 from tabulens.llm.simhash import simhash_components
 from tabulens.llm.token_counts import token_counts
+from tabulens.llm.toxicity import toxicity
 from tabulens.llm.warc import archived_pages
 from tabulens.session import scratch_dir
 
@@ -21,6 +22,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, labels)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return toxicity(docs, labels).drop("spans")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of 2048 tokens."""
     docs = read_table(spark, sf_dir, "documents")
@@ -52,6 +59,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
