@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulens.llm.common import read_table
+from tabulens.llm.html import main_texts
 from tabulens.llm.packing import pack_documents
 from tabulens.llm.phrases import edited_likeness
 from tabulens.llm.quality import quality_rules
@@ -47,6 +48,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op9_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness."""
     return edited_likeness(read_table(spark, sf_dir, "documents"))
@@ -63,6 +69,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
     "op7_token_counts": op7_token_counts,
+    "op8_main_texts": op8_main_texts,
     "op9_phrase_fingerprints": op9_phrase_fingerprints,
     "op10_simhash_components": op10_simhash_components,
 }
