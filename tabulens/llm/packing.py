@@ -32,8 +32,8 @@ CAPACITY = 2048
 STEP, FALL, STEPS = 1.0, 4.0, 400
 # Configurations taken from one knapsack table, and how near to the best price they are.
 AT_ONCE, NEAR = 32, 0.02
-# Rows of one length that are ranked in one group.
-RANKED = 100_000
+# Rows of one length that are ranked in one group at least; more if the partitions are larger.
+RANKED = 250
 
 # Characters whose classes are the same in every version of the Unicode tables in use.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-ɏ]*")
@@ -257,13 +257,15 @@ def places(bins: list[tuple[Pattern, int]]) -> dict[int, tuple[np.ndarray, np.nd
     return {k: tuple(np.array(v, np.int64).T) for k, v in runs.items()}  # type: ignore[misc]
 
 
-def ranked(rows: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
+def ranked(rows: DataFrame, by: str, order: list[str], most: int, total: int) -> DataFrame:
     """``rows`` with their ``rank`` (from 0) among rows of equal ``by``; a value of many rows is cut.
 
-    ``most`` is the count of the commonest value. Rows of a value are dealt to so many shares that
-    one holds about ``RANKED``; a share is ranked by itself and starts after the shares before it.
+    ``most`` is the count of the commonest value, ``total`` that of all. Rows of a value are dealt to so many shares that
+    one holds half a partition's worth at most; a share is ranked by itself and starts after the
+    shares before it.
     """
-    shares = -(-most // RANKED)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = -(-most // max(RANKED, total // (2 * partitions)))
     dealt = rows.withColumn("share", F.pmod(F.xxhash64(*order), F.lit(max(1, shares))))
     sizes = dealt.groupBy(by, "share").agg(F.count("*").alias("n"))
     before = Window.partitionBy(by).orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
@@ -309,7 +311,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("d
                 [*kept, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"]
             )
 
-    placed = ranked(rows, "length", list(order), int(counts.max()))
+    placed = ranked(rows, "length", list(order), int(counts.max()), int(counts.sum()))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
     return placed.select(*names, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 

@@ -9,6 +9,7 @@ from tabulens.llm.common import read_table
 from tabulens.llm.html import main_texts
 from tabulens.llm.packing import pack_documents
 from tabulens.llm.phrases import edited_likeness
+from tabulens.llm.pii import private_values
 from tabulens.llm.quality import quality_rules
 from tabulens.llm.simhash import simhash_components
 from tabulens.llm.token_counts import token_counts
@@ -17,12 +18,21 @@ from tabulens.llm.warc import archived_pages
 from tabulens.session import scratch_dir
 
 
+# The pseudonyms of the registered queries; a user keeps a key of their own secret.
+KEY = "registered-queries"
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
     return quality_rules(docs, labels)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its private values."""
+    return private_values(read_table(spark, sf_dir, "documents"), KEY)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
@@ -65,6 +75,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii": op2_pii,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,
