@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -265,16 +264,24 @@ def quality_rules(
 
 
 def keep_good(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+    docs: DataFrame,
+    labelled: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns as they are."""
-    model = fit(docs.select(F.col(f"`{id_col}`"), text_of(text_col).alias("text")), labels, id_col)
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns as they are.
+
+    The classifier is fitted on the texts of ``labelled`` that ``labels`` names.
+    """
+    model = fit(labelled.select(F.col(f"`{id_col}`"), text_of(text_col).alias("text")), labels, id_col)
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = (t or "" for t in itertools.chain(batch.column(at).to_pylist()))
+            texts = (t or "" for t in batch.column(at).to_pylist())
             yield batch.filter(pa.array([verdict(t, model, threshold)[3] for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabulens.llm.common import read_table
 from tabulens.llm.html import main_texts
+from tabulens.llm.mixing import mixed
 from tabulens.llm.packing import pack_documents
 from tabulens.llm.phrases import edited_likeness
 from tabulens.llm.pii import private_values
@@ -33,6 +34,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_values(read_table(spark, sf_dir, "documents"), KEY)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents: where and how often each is used."""
+    return mixed(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "mix_source", "mix_tokens", "mix_weight", "mix_round", "mix_position"
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
@@ -76,6 +84,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
+    "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_warc": op6_warc,

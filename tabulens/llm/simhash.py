@@ -93,11 +93,16 @@ class Part:
 def grouped_bits(sample: np.ndarray, parts: int) -> list[tuple[int, ...]]:
     """The bits in ``parts`` groups of like size, each grown from one bit by its most correlated."""
     bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(float)
-    bits -= bits.mean(axis=0)
+    return correlated(bits, parts)
+
+
+def correlated(bits: np.ndarray, parts: int) -> list[tuple[int, ...]]:
+    """The columns of ``bits`` in ``parts`` groups, as ``grouped_bits`` says."""
+    bits = bits - bits.mean(axis=0)
     scale = np.sqrt((bits**2).sum(axis=0))
     scale[scale == 0] = 1
     likeness = np.abs((bits.T @ bits) / np.outer(scale, scale))
-    left, groups = list(range(BITS)), []
+    left, groups = list(range(bits.shape[1])), []
     for k in range(parts):
         size = -(-len(left) // (parts - k))
         group = [max(left, key=lambda b: (likeness[b, left].sum(), -b))]
@@ -239,39 +244,10 @@ def fingerprint_links(marks: DataFrame, radius: int = 3, block: int = BLOCK) ->
         "fingerprint",
         F.xxhash64("m.part", F.col("fingerprint").bitwiseAND(F.col("m.mask"))).alias("key"),
     )
-    large = probes.groupBy("key").count().where(F.col("count") > block)
-    large = large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    probes = probes.join(large, "key", "left")
-    mine = F.pmod(F.xxhash64(F.lit(7), "fingerprint"), F.col("blocks")).cast("int")
-    lone = F.array(F.struct(F.col("key").alias("group"), F.lit(2).alias("side")))
-    dealt = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(
-            F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)).alias("group"),
-            F.when(other == mine, 2).when(mine < other, 0).otherwise(1).alias("side"),
-        ),
-    )
-    grouped = probes.select(
-        "node", "fingerprint", F.explode(F.when(F.col("blocks").isNull(), lone).otherwise(dealt)).alias("g")
-    ).select("node", "fingerprint", "g.group", "g.side")
-    # Keys are hashes: a clash only adds comparisons, as every link is verified.
-    grouped = grouped.repartition("group").sortWithinPartitions("group", "side", "fingerprint")
+    grouped = in_groups(probes, ["node", "fingerprint"], block)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                table = pa.Table.from_batches([batch])
-                held = table if held is None else pa.concat_tables([held, table])
-                groups = held.column("group").to_numpy()
-                ready = int(np.searchsorted(groups, groups[-1])) if len(groups) else 0
-            elif held is None:
-                return
-            else:
-                ready = held.num_rows
-            now, held = held.slice(0, ready), held.slice(ready)
-            if not now.num_rows:
-                continue
+        for now in whole_groups(batches):
             node = now.column("node").to_numpy()
             values = now.column("fingerprint").to_numpy().view(np.uint64)
             one, two = linked(now.column("group").to_numpy(), now.column("side").to_numpy(), values, radius)
@@ -284,6 +260,49 @@ def fingerprint_links(marks: DataFrame, radius: int = 3, block: int = BLOCK) ->
     return grouped.mapInArrow(verify, "a long, b long")
 
 
+def in_groups(probes: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """Rows of ``probes`` (with a ``key``) by ``group`` and ``side``, each group whole in one partition.
+
+    A key of up to ``block`` rows is one group with side 2. A larger one is cut into blocks, with a
+    group for each block (side 2) and for each two (sides 0 and 1), so every two rows of a key meet.
+    Keys are hashes: a clash only adds comparisons, as every link is verified.
+    """
+    large = probes.groupBy("key").count().where(F.col("count") > block)
+    large = large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64(F.lit(7), *columns), F.col("blocks")).cast("int")
+    lone = F.array(F.struct(F.col("key").alias("group"), F.lit(2).alias("side")))
+    dealt = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(
+            F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)).alias("group"),
+            F.when(other == mine, 2).when(mine < other, 0).otherwise(1).alias("side"),
+        ),
+    )
+    places = F.explode(F.when(F.col("blocks").isNull(), lone).otherwise(dealt)).alias("g")
+    return (
+        probes.join(large, "key", "left")
+        .select(*columns, places)
+        .select(*columns, "g.group", "g.side")
+        .repartition("group")
+        .sortWithinPartitions("group", "side", *columns)
+    )
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches cut anew so that no ``group`` is parted."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        groups = held.column("group").to_numpy()
+        ready = int(np.searchsorted(groups, groups[-1])) if len(groups) else 0
+        if ready:
+            yield held.slice(0, ready)
+            held = held.slice(ready)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def simhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",
