@@ -29,9 +29,12 @@ from tabulens.llm.common import map_rows, ship, text_of, written
 CAPACITY = 2048
 # Share of a length's pieces that one configuration covers at most, the fall of its price once all are
 # covered (as an exponent), and the most steps; the rest is left to the best-fit rule.
-STEP, FALL, STEPS = 1.0, 4.0, 400
+STEP, FALL, STEPS = 0.5, 0.5, 400
+# Prices rise a little faster than lengths, so that long pieces are taken while there are short ones
+# to go with them.
+BEND = 1.2
 # Configurations taken from one knapsack table, and how near to the best price they are.
-AT_ONCE, NEAR = 32, 0.02
+AT_ONCE, NEAR = 32, 0.01
 # Rows of one length that are ranked in one group at least; more if the partitions are larger.
 RANKED = 250
 
@@ -173,7 +176,7 @@ def solve_program(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STE
     covered = np.where(counts > 0, 0.0, 1.0)
     solution: dict[Pattern, float] = {}
     for _ in range(steps):
-        prices = np.where(covered < 1 - 1e-9, size / capacity * np.exp(-FALL * covered), 0.0)
+        prices = np.where(covered < 1 - 1e-9, (size / capacity) ** BEND * np.exp(-FALL * covered), 0.0)
         if not prices.any():
             break
         for chosen in best_configurations(prices, capacity):
@@ -258,7 +261,7 @@ def places(bins: list[tuple[Pattern, int]]) -> dict[int, tuple[np.ndarray, np.nd
 
 
 def ranked(rows: DataFrame, by: str, order: list[str], most: int, total: int) -> DataFrame:
-    """``rows`` with their ``rank`` (from 0) among rows of equal ``by``; a value of many rows is cut.
+    """``rows`` with their ``pack_rank`` (from 0) among rows of equal ``by``; a value of many rows is cut.
 
     ``most`` is the count of the commonest value, ``total`` that of all. Rows of a value are dealt to so many shares that
     one holds half a partition's worth at most; a share is ranked by itself and starts after the
@@ -266,16 +269,16 @@ def ranked(rows: DataFrame, by: str, order: list[str], most: int, total: int) ->
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = -(-most // max(RANKED, total // (2 * partitions)))
-    dealt = rows.withColumn("share", F.pmod(F.xxhash64(*order), F.lit(max(1, shares))))
-    sizes = dealt.groupBy(by, "share").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(by).orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(by, "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy(by, "share").orderBy(*order)) - 1
+    dealt = rows.withColumn("pack_share", F.pmod(F.xxhash64(*order), F.lit(max(1, shares))))
+    sizes = dealt.groupBy(by, "pack_share").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(by).orderBy("pack_share").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(by, "pack_share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pack_before"))
+    within = F.row_number().over(Window.partitionBy(by, "pack_share").orderBy(*order)) - 1
     return (
-        dealt.withColumn("within", within)
-        .join(starts, [by, "share"])
-        .withColumn("rank", F.col("within") + F.col("before"))
-        .drop("share", "within", "before")
+        dealt.withColumn("pack_within", within)
+        .join(starts, [by, "pack_share"])
+        .withColumn("pack_rank", F.col("pack_within") + F.col("pack_before"))
+        .drop("pack_share", "pack_within", "pack_before")
     )
 
 
@@ -298,7 +301,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("d
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = batch.column("rank").to_numpy()
+            rank = batch.column("pack_rank").to_numpy()
             sequence, offset = np.zeros((2, len(length)), np.int64)
             for one in np.unique(length).tolist():
                 at = np.flatnonzero(length == one)
@@ -313,7 +316,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("d
 
     placed = ranked(rows, "length", list(order), int(counts.max()), int(counts.sum()))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return placed.select(*names, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return placed.select(*names, "pack_rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(

@@ -35,18 +35,19 @@ class Parse:
     lanes: np.ndarray | None = None
 
     def read(self, data: bytes) -> None:
-        for k in range(0, len(data), MOST_PHRASES):
-            if len(self.known) >= MOST_PHRASES:
-                self.lanes, self.known, self.at = self._least(), {}, 0
-            known, at = self.known, self.at
-            get = known.get
-            for byte in data[k : k + MOST_PHRASES]:
-                key = at | byte
-                at = get(key)
-                if at is None:
-                    known[key] = ((key * ODD) >> 20 & LOW) << 8
-                    at = 0
-            self.at = at
+        known, at = self.known, self.at
+        get = known.get
+        for byte in data:
+            key = at | byte
+            at = get(key)
+            if at is None:
+                if len(known) >= MOST_PHRASES:
+                    self.lanes = self._least()
+                    known = self.known = {}
+                    get = known.get
+                known[key] = ((key * ODD) >> 20 & LOW) << 8
+                at = 0
+        self.at = at
 
     def copy(self) -> Parse:
         return Parse(dict(self.known), self.at, self.lanes)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 DIGITS, SMALL, CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX_SMALL, HEX_CAPITAL = "abcdef", "ABCDEF"
-# Dates are permuted among DAYS * DAYS days from the first on: 1900-01-01 to 2099-08-05.
+# Dates with leading zeros are permuted among DAYS * DAYS days: 1900-01-01 to 2099-08-05.
 FIRST_DAY, DAYS = "1900-01-01", 270
 # United States numbers: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
 AREAS, REST = 898, 99 * 9999
@@ -79,15 +79,18 @@ def permuted(value: Column, key: str, kind: str, classes: tuple[str, ...]) -> Co
     return F.aggregate(rounds, start, turn, lambda held: F.concat(held["one"], held["two"]))
 
 
-def permuted_pair(one: Column, two: Column, key: str, kind: str, sizes: tuple[int, int]) -> Column:
+def permuted_pair(
+    one: Column, two: Column, key: str, kind: str, sizes: tuple[int | Column, int | Column]
+) -> Column:
     """A permutation of pairs of numbers, ``one`` below ``sizes[0]`` and ``two`` below ``sizes[1]``."""
     start = F.struct(one.cast("long").alias("one"), two.cast("long").alias("two"))
+    sizes = tuple(F.lit(n) if isinstance(n, int) else n for n in sizes)
 
     def turn(held: Column, number: Column) -> Column:
         drawn = lambda part, n: F.conv(F.substr(_hash(key, F.lit(kind), number, part), F.lit(1), F.lit(15)), 16, 10).cast("long") % n
-        first = F.pmod(held["one"] + drawn(held["two"], sizes[0]), F.lit(sizes[0]))
+        first = F.pmod(held["one"] + drawn(held["two"], sizes[0]), sizes[0]).cast("long")
         after = F.struct(first.alias("one"), held["two"].alias("two"))
-        second = lambda h: F.pmod(h["two"] + drawn(h["one"], sizes[1]), F.lit(sizes[1]))
+        second = lambda h: F.pmod(h["two"] + drawn(h["one"], sizes[1]), sizes[1]).cast("long")
         return F.transform(F.array(after), lambda h: F.struct(h["one"].alias("one"), second(h).alias("two")))[0]
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
@@ -170,23 +173,37 @@ def _social(value: Column, key: str) -> Column:
 
 
 def _address(value: Column, key: str) -> Column:
-    part = lambda k: F.split(value, r"\.")[k].cast("long")
-    found = permuted_pair(part(0) * 256 + part(1), part(2) * 256 + part(3), key, "address", (65536, 65536))
+    """Each part among the numbers of as many digits: 0 to 9, 10 to 99, 100 to 255."""
+    part = lambda k: F.split(value, r"\.")[k]
+    count = lambda k: F.element_at(F.array(*map(F.lit, (10, 90, 156))), F.length(part(k)))
+    least = lambda k: F.element_at(F.array(*map(F.lit, (0, 10, 100))), F.length(part(k)))
+    index = lambda k: part(k).cast("long") - least(k)
+    found = permuted_pair(
+        index(0) * count(1) + index(1),
+        index(2) * count(3) + index(3),
+        key,
+        "address",
+        (count(0) * count(1), count(2) * count(3)),
+    )
     return F.transform(
         F.array(found),
         lambda p: F.concat_ws(
             ".",
-            *[F.floor(p[n] / 256).cast("string") if high else (p[n] % 256).cast("string") for n in ("one", "two") for high in (True, False)],
+            *[
+                (least(k) + number).cast("string")
+                for name, one, two in (("one", 0, 1), ("two", 2, 3))
+                for k, number in ((one, F.floor(p[name] / count(two))), (two, p[name] % count(two)))
+            ],
         ),
     )[0]
 
 
 def _date(value: Column, key: str) -> Column:
-    """Day first where the parts are parted by dots, month first where by slashes, if that is a date."""
+    """Day first where dots part it, month first where slashes do and that is a date."""
     first = F.to_date(F.lit(FIRST_DAY))
 
-    def moved(pattern: str, read: str) -> Column:
-        day = F.to_date(F.try_to_timestamp(value, F.lit(read)))
+    def moved(pattern: str) -> Column:
+        day = F.to_date(F.try_to_timestamp(value, F.lit(pattern)))
         number = F.datediff(day, first)
         found = permuted_pair(F.floor(number / DAYS), number % DAYS, key, "date", (DAYS, DAYS))
         told = F.date_format(
@@ -194,11 +211,46 @@ def _date(value: Column, key: str) -> Column:
         )
         return F.when((number >= 0) & (number < DAYS * DAYS), told)
 
-    slashed = F.coalesce(moved("MM/dd/yyyy", "M/d/yyyy"), moved("dd/MM/yyyy", "d/M/yyyy"))
+    def short(mark: str, day_at: int, pattern: str) -> Column:
+        """Parts without leading zeros, among dates with as many digits in each."""
+        part = lambda k: F.split(value, rf"\{mark}")[k]
+        day, month, year = part(day_at).cast("int"), part(1 - day_at).cast("int"), part(2).cast("int")
+        # Days to 28 are in every month; later ones keep day and month, and the 29th of February a leap year.
+        late, leap = day > 28, (day == 29) & (month == 2)
+        days = F.when(late, 1).when(F.length(part(day_at)) == 1, 9).otherwise(19)
+        from_day = F.when(late, day).when(F.length(part(day_at)) == 1, 1).otherwise(10)
+        months = F.when(late, 1).when(F.length(part(1 - day_at)) == 1, 9).otherwise(3)
+        from_month = F.when(late, month).when(F.length(part(1 - day_at)) == 1, 1).otherwise(10)
+        step, from_year = F.when(leap, 4).otherwise(1), F.when(leap, 1904).otherwise(1900)
+        years = F.when(leap, 49).otherwise(200)
+        found = permuted_pair(
+            (day - from_day) * months + month - from_month,
+            F.floor((year - from_year) / step),
+            key,
+            f"date{day_at}",
+            (days * months, years),
+        )
+        told = F.transform(
+            F.array(found),
+            lambda p: F.concat_ws(
+                mark,
+                *[
+                    (from_day + F.floor(p["one"] / months) if k == day_at else from_month + p["one"] % months).cast("string")
+                    for k in (0, 1)
+                ],
+                (from_year + p["two"] * step).cast("string"),
+            ),
+        )[0]
+        valid = F.try_to_timestamp(value, F.lit(pattern)).isNotNull() & ~part(0).startswith("0") & ~part(1).startswith("0")
+        return F.when(valid & year.between(1900, 2099), told)
+
+    padded = value.rlike(r"^\d{2}\D\d{2}\D")
     return F.coalesce(
-        F.when(value.contains("-"), moved("yyyy-MM-dd", "yyyy-MM-dd"))
-        .when(value.contains("."), moved("dd.MM.yyyy", "d.M.yyyy"))
-        .otherwise(slashed),
+        F.when(value.contains("-"), moved("yyyy-MM-dd"))
+        .when(padded & value.contains("."), moved("dd.MM.yyyy"))
+        .when(padded, F.coalesce(moved("MM/dd/yyyy"), moved("dd/MM/yyyy")))
+        .when(value.contains("."), short(".", 0, "d.M.yyyy"))
+        .otherwise(F.coalesce(short("/", 1, "M/d/yyyy"), short("/", 0, "d/M/yyyy"))),
         value,
     )
 
