@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICES = 64
+# At least so many slices, and more where one would hold over ROWS_PER_SLICE rows.
+SLICES, ROWS_PER_SLICE = 64, 4_000_000
 
 
 def slice_bounds(df: DataFrame, time: str, slices: int = SLICES) -> list[int]:

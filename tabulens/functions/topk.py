@@ -4,31 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MERGE_GROUPS = 512
-# Up to this many rows one task may merge the candidates of all others.
-PLAIN_ROWS = 20_000_000
+from tabulens.functions.names import col
 
+# A bound is sought that keeps this many times the wanted rows, so that one too low is rare.
+SLACK = 4
+# Types whose quantiles Spark can sketch.
+SKETCHED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
-def first_rows(
-    df: DataFrame,
-    order: Sequence[Column],
-    n: int,
-    rows_at_most: int | None = None,
-    groups: int = MERGE_GROUPS,
-) -> DataFrame:
-    """``orderBy(order).limit(n)`` for an ``n`` of thousands over a scan of many tasks.
 
-    A plain top-k merges ``n`` rows of every task in one task. Beyond a row bound each task keeps its
-    first ``n`` rows, groups of tasks merge theirs in parallel, and only ``groups * n`` rows reach the
-    last step.
+def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """``orderBy(order).limit(n)``, ascending with nulls last, for an ``n`` of thousands.
+
+    A plain top-k merges ``n`` rows of every task in one task. Here a sketch of the leading column
+    gives a bound below which about ``SLACK * n`` rows lie; where a count proves that these are
+    enough, the bound is a filter that reaches the scan, and only what passes it is ordered.
     """
-    if rows_at_most is not None and rows_at_most <= PLAIN_ROWS:
-        return df.orderBy(*order).limit(n)
-    group = (F.spark_partition_id() % groups).alias("_group")
-    place = F.row_number().over(W.partitionBy("_group").orderBy(*order))
-    merged = df.select("*", group).withColumn("_place", place).where(F.col("_place") <= n)
-    return merged.drop("_group", "_place").orderBy(*order).limit(n)
+    plain = df.orderBy(*[col(c).asc_nulls_last() for c in order]).limit(n)
+    lead = order[0]
+    if not isinstance(df.schema[lead].dataType, SKETCHED):
+        return plain
+    filled = df.where(col(lead).isNotNull())
+    total = filled.count()
+    if total < n:
+        return plain
+    share = min(1.0, SLACK * n / total)
+    bound = filled.agg(F.percentile_approx(col(lead), F.lit(share), F.lit(int(100 / share) + 1))).first()[0]
+    kept = df.where(col(lead) <= F.lit(bound))
+    if kept.count() < n:
+        return plain
+    return kept.orderBy(*[col(c).asc_nulls_last() for c in order]).limit(n)

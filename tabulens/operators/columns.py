@@ -27,6 +27,7 @@ TOP_VALUES = 8
 # Longer texts travel as this many first characters and a digest of the whole text.
 LONG_TEXT = 128
 TEXT_KEY_LENGTH = LONG_TEXT + 1 + 32
+DIGITS_ONLY, DIGIT_MARK = "^[0-9]+$", "#"
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATS = (T.FloatType, T.DoubleType)
@@ -96,21 +97,46 @@ class ColumnInfo:
     @property
     def groupable(self) -> str:
         """A form that can be grouped and hashed: maps as sorted entries, zeros of one sign."""
-        if isinstance(self.dtype, T.MapType):
-            return f"array_sort(map_entries({self.sql}))"
-        if self.kind == "float":
-            return f"({self.sql} + cast(0 as {self.dtype.simpleString()}))"
-        return self.sql
+        return canonical(self.sql, self.dtype)
+
+
+def canonical(sql: str, dtype: T.DataType, depth: int = 0) -> str:
+    """An expression that groups and hashes as equal values should, at any depth of nesting."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return f"({sql} + cast(0 as {dtype.simpleString()}))"
+    if not _holds_map(dtype):
+        return sql
+    if isinstance(dtype, T.MapType):
+        entry = T.StructType().add("key", dtype.keyType).add("value", dtype.valueType)
+        inner = canonical(f"e{depth}", entry, depth + 1)
+        return f"array_sort(transform(map_entries({sql}), e{depth} -> {inner}))"
+    if isinstance(dtype, T.ArrayType):
+        return f"transform({sql}, e{depth} -> {canonical(f'e{depth}', dtype.elementType, depth + 1)})"
+    parts = ", ".join(
+        f"'f{i}', {canonical(f'{sql}.{quoted(f.name)}', f.dataType, depth)}"
+        for i, f in enumerate(dtype.fields)
+    )
+    return f"if({sql} is null, null, named_struct({parts}))"
+
+
+def _holds_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _holds_map(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_holds_map(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.MapType)
 
 
 def text_key(text: str) -> str:
     """A text itself, or for a long one its first characters and the digest of all of it.
 
-    Short enough to shuffle, equal only for equal texts, and in text order up to its first part.
+    Short enough to shuffle, equal only for equal texts, and in text order up to its first part. The
+    sign between the two says whether the whole text is digits.
     """
     return (
         f"if(length({text}) <= {LONG_TEXT}, {text}, "
-        f"concat(left({text}, {LONG_TEXT}), '~', md5({text})))"
+        f"concat(left({text}, {LONG_TEXT}), if(trim({text}) rlike '{DIGITS_ONLY}', '{DIGIT_MARK}', '~'), "
+        f"md5({text})))"
     )
 
 
@@ -295,7 +321,9 @@ def _value_summary(counts: DataFrame) -> DataFrame:
     value = F.col("value")
     token = F.lower(F.trim(value))
     known = token.isin(BOOLEAN_TOKENS)
-    digits = F.trim(F.left(value, F.lit(LONG_TEXT))).rlike("^[0-9]+$")
+    long = F.length(value) == TEXT_KEY_LENGTH
+    marked = F.substr(value, F.lit(LONG_TEXT + 1), F.lit(1)) == DIGIT_MARK
+    digits = F.when(long, marked).otherwise(F.trim(value).rlike(DIGITS_ONLY))
     return counts.groupBy("ordinal").agg(
         F.count("*").alias("unique_count"),
         F.sum("n").alias("counted_rows"),

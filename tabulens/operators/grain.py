@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations, islice
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -77,7 +78,7 @@ def _confidence(ratio: Column) -> Column:
 
 
 def _ranked(
-    df: DataFrame, dataset: str, counts: dict[Key, int], rows: int, keep: int
+    df: DataFrame, dataset: str, counts: dict[Key, int], rows: int, keep: int | None
 ) -> DataFrame:
     """Candidates of at least medium confidence, best first; ties keep the order of the search."""
     table = df.sparkSession.createDataFrame(
@@ -94,7 +95,7 @@ def _ranked(
         .withColumn("confidence", _confidence(ratio))
         .where(F.col("confidence") != "low")
         .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= keep)
+        .where(F.lit(True) if keep is None else F.col("rank") <= keep)
         .select("dataset", "rank", "columns", "distinct_count", "uniqueness_ratio", "confidence")
     )
 
@@ -105,11 +106,14 @@ def grain_key_candidates(
     pool: Sequence[str],
     rows: int | None = None,
     singles: dict[str, int] | None = None,
-    keep: int = MAX_CANDIDATES,
+    keep: int | None = MAX_CANDIDATES,
+    max_pairs: int | None = MAX_PAIRS,
+    max_triples: int | None = MAX_TRIPLES,
 ) -> DataFrame:
     """Keys among the pool's columns: singles, then pairs, then triples if none is sure.
 
-    ``rows`` and ``singles`` (distinct counts of single columns) come from a profile when there is one.
+    The first ``keep`` are shown; None shows all. ``max_pairs`` and ``max_triples`` bound the search
+    (see ``search_is_cut``); None tries all. ``rows`` and ``singles`` (distinct counts of single columns) come from a profile when there is one.
     """
     rows = df.count() if rows is None else rows
     names = list(dict.fromkeys(pool))
@@ -120,16 +124,26 @@ def grain_key_candidates(
         counts.update({(n,): singles[n] for n in names})
     else:
         counts.update(distinct_tuples(df, [(n,) for n in names]))
-    pairs = list(islice(combinations(names, 2), MAX_PAIRS))
+    pairs = list(islice(combinations(names, 2), max_pairs))
     found = _bounded_or_counted(df, pairs, counts, rows)
     counts.update({p: found[p] for p in pairs if p in found})
     if max(counts.values()) < HIGH_RATIO * rows:
-        triples = list(islice(combinations(names, 3), MAX_TRIPLES))
+        triples = list(islice(combinations(names, 3), max_triples))
         found = _bounded_or_counted(df, triples, counts, rows)
         counts.update({t: found[t] for t in triples if t in found})
     return _ranked(df, dataset, counts, rows, keep)
 
 
+def search_is_cut(
+    pool: Sequence[str], max_pairs: int | None = MAX_PAIRS, max_triples: int | None = MAX_TRIPLES
+) -> bool:
+    """Whether a pool has more pairs or triples than the search may try."""
+    n = len(dict.fromkeys(pool))
+    return any(
+        most is not None and comb(n, size) > most for size, most in ((2, max_pairs), (3, max_triples))
+    )
+
+
 def validate_grain(df: DataFrame, dataset: str, candidates: Sequence[Sequence[str]]) -> DataFrame:
     """Distinct share of given keys over the full table; unlikely keys are dropped, the rest ranked."""
     keys = [tuple(c) for c in candidates if c]

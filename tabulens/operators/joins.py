@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulens.functions.slices import SLICES, slice_bounds, slice_of
+from tabulens.functions.slices import ROWS_PER_SLICE, SLICES, slice_bounds, slice_of
 
 
 def asof_join(
@@ -17,16 +18,26 @@ def asof_join(
     keys: Sequence[str],
     time: str,
     right_prefix: str = "right_",
-    slices: int = SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """Every left row with the last right row of its keys at or before its time, nulls if none.
 
+    A row without a key or time matches nothing; such left rows go round the windows.
+
     Both sides run through one window per (keys, time slice). Slices hold about equal shares of the
     rows, so a key with a third of them is spread over many tasks; what a slice must know about the
     past is one carried row per (keys, slice), found by an aggregate over at most ``slices`` rows.
     """
     carried = [c for c in right.columns if c not in keys]
     own = [c for c in left.columns if c not in keys and c != time]
+    if slices is None:
+        slices = max(SLICES, (left.count() + right.count()) // ROWS_PER_SLICE)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, time]])
+    unmatched = left.where(~known).select(
+        *keys, time, *own,
+        *[F.lit(None).cast(right.schema[c].dataType).alias(f"{right_prefix}{c}") for c in carried],
+    )
+    left = left.where(known)
     l_rows = left.select(
         *keys, F.col(time).alias("_t"), F.struct(*own).alias("_left"), F.lit(1).alias("_side"),
         F.lit(None).cast(right.select(F.struct(*carried)).schema[0].dataType).alias("_right"),
@@ -55,4 +66,4 @@ def asof_join(
         F.col("_t").alias(time),
         *[F.col(f"_left.{c}").alias(c) for c in own],
         *[F.col(f"_hit.{c}").alias(f"{right_prefix}{c}") for c in carried],
-    )
+    ).unionByName(unmatched)

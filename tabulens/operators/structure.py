@@ -105,6 +105,7 @@ def key_candidate_pool(
     unique, kind = F.col("unique_count"), F.col("semantic_type")
     width = F.count("*").over(W.partitionBy("dataset"))
     entity_like = (strength >= 2) & (unique >= F.greatest(F.lit(5), F.col("_width")))
+    # The scores of the pool by meaning, name and nulls.
     score = (
         F.when(kind == "id_like", 300.0 + strength * 30.0 - nulls)
         .when(kind == "categorical",

@@ -14,6 +14,7 @@ from tabulens.functions.names import col
 
 # Limits and defaults of charts.
 MAX_ROWS = 5_000
+MAX_PIVOT = 5_000
 DEFAULT_BINS, MAX_BINS = 12, 100
 DEFAULT_TOP_N, MAX_TOP_N = 25, 100
 DEFAULT_LINE_MEASURES = 3
@@ -135,18 +136,36 @@ def normalise_spec(spec: ChartSpec) -> ChartSpec:
 def _operand(df: DataFrame, name: str, raw: str) -> tuple[Column, Column]:
     """The column and the literal to compare, with the literal cast so that the scan can use it."""
     dtype = df.schema[name].dataType
+    if isinstance(dtype, T.BooleanType):
+        # Numbers and words for a truth value; any other text matches nothing.
+        word = str(Decimal(raw) != 0) if NUMBER.fullmatch(raw) else raw
+        return col(name), F.expr(f"try_cast({_quoted(word)} as boolean)")
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return col(name), F.expr(f"try_cast({_quoted(raw)} as {dtype.simpleString()})")
     if not NUMBER.fullmatch(raw):
+        if isinstance(dtype, T.NumericType):
+            raise ChartSpecError(f"{raw} is no number to compare {name} with")
         return col(name), F.lit(raw).cast(dtype)
     if isinstance(dtype, T.StringType):
         # Text against a number compares as numbers; text that is none never matches.
         return F.expr(f"try_cast(`{name.replace('`', '``')}` as double)"), F.lit(float(raw))
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return col(name), F.lit(float(raw))
-    if "." not in raw:
+    if "." not in raw and abs(int(raw)) < 2**63:
         return col(name), F.lit(int(raw))
+    if len(raw.lstrip("-").replace(".", "")) > 38:
+        raise ChartSpecError(f"{raw} has more than 38 digits")
+    if "." not in raw and isinstance(dtype, T.IntegralType):
+        # Beyond all whole numbers of the column: only the side matters, and doubles tell that.
+        return col(name).cast("double"), F.lit(float(raw))
     return col(name), F.lit(Decimal(raw))
 
 
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def filter_condition(df: DataFrame, f: ChartFilter) -> Column | None:
     """The predicate of one filter; none for a filter without column or without its value."""
     if not f.column:

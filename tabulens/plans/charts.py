@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +17,17 @@ from tabulens.operators.columns import column_infos
 from tabulens.operators.histograms import finite_value, value_range
 from tabulens.plans.chart_spec import (
     MAX_BINS,
+    MAX_PIVOT,
     MAX_ROWS,
     MAX_TOP_N,
     ChartSpec,
+    ChartSpecError,
     auto_spec,
     chart_filter,
     check_spec,
 )
 from tabulens.plans.profile import Structure
+from tabulens.session import small_frame
 
 PERCENTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75}
 
@@ -77,7 +81,9 @@ def chart_aggregate(
     return result
 
 
-def line_chart(df: DataFrame, spec: ChartSpec, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+def line_chart(
+    df: DataFrame, spec: ChartSpec, direct_limit: int = DIRECT_LIMIT, max_rows: int = MAX_ROWS
+) -> DataFrame:
     """X with one aggregate per measure, or the raw measures; split gives x, split, value rows."""
     rows = chart_filter(df, spec, spec.x_column)
     x = time_bucket(rows, spec).alias("x")
@@ -87,17 +93,15 @@ def line_chart(df: DataFrame, spec: ChartSpec, direct_limit: int = DIRECT_LIMIT)
         measures = [col(y) for y in spec.y_columns]
         raw = rows.select(x, *split, *measures)
         # Equal X at the cap: all output columns settle which rows stay.
-        order = [F.col(k).asc_nulls_last() for k in keys]
-        order += [col(y).asc_nulls_last() for y in spec.y_columns if y not in keys]
-        return first_rows(raw, order, MAX_ROWS, rows_at_most=df.count())
+        return first_rows(raw, [*keys, *[y for y in spec.y_columns if y not in keys]], max_rows)
     inner = {y: f"_y{i}" for i, y in enumerate(spec.y_columns)}
     picked = rows.select(x, *split, *[col(y).alias(n) for y, n in inner.items()])
     names = {"value": "_y0"} if split else inner
     grouped = chart_aggregate(picked, keys, names, spec.aggregation, direct_limit)
-    return grouped.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).limit(MAX_ROWS)
+    return grouped.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).limit(max_rows)
 
 
-def histogram_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:
+def histogram_chart(df: DataFrame, spec: ChartSpec, max_rows: int = MAX_ROWS) -> DataFrame:
     """Counts per bin, empty bins kept; with a split, per bin and split value.
 
     One pass for the range, one for the counts. Counts are gathered per split value into at most 100
@@ -138,7 +142,7 @@ def histogram_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:
     )
     if keys:
         # In (bin, split) order no split value beyond the row cap can be among the first rows.
-        shown = counts.select("split").distinct().orderBy("split").limit(MAX_ROWS)
+        shown = counts.select("split").distinct().orderBy("split").limit(max_rows)
         counts = counts.join(F.broadcast(shown), "split", "left_semi")
     gathered = counts.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_counts")
@@ -157,7 +161,7 @@ def histogram_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:
             ),
         )
         .orderBy("bin_index", *keys)
-        .limit(MAX_ROWS)
+        .limit(max_rows)
     )
 
 
@@ -189,44 +193,65 @@ def bar_chart(df: DataFrame, spec: ChartSpec, direct_limit: int = DIRECT_LIMIT)
     return detail.orderBy(*best, "split").select("x", "split", out)
 
 
-def scatter_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:
-    """X and Y pairs in X order, at most 5,000; Y settles equal X."""
+def scatter_chart(df: DataFrame, spec: ChartSpec, max_rows: int = MAX_ROWS) -> DataFrame:
+    """X and Y pairs in X order, at most ``max_rows``; Y settles equal X."""
     rows = chart_filter(df, spec, spec.x_column, spec.y_columns[0])
     split = [col(spec.split_by).cast("string").alias("split")] if spec.split_by else []
     names = ["x", *(["split"] if split else []), "y"]
     points = rows.select(
         col(spec.x_column).alias("x"), col(spec.y_columns[0]).alias("y"), *split
     )
-    order = [F.col(n).asc_nulls_last() for n in names]
-    return first_rows(points, order, MAX_ROWS, rows_at_most=df.count())
+    return first_rows(points, names, max_rows)
 
 
 def chart_frame(
     df: DataFrame, spec: ChartSpec, direct_limit: int = DIRECT_LIMIT,
-    columns: DataFrame | None = None,
+    columns: DataFrame | None = None, max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Check a specification and build its plan."""
+    """Check a specification and build its plan, of ``max_rows`` rows at most."""
     check_spec(spec, columns)
     if spec.chart_type == "histogram":
-        return histogram_chart(df, spec)
+        return histogram_chart(df, spec, max_rows)
     if spec.chart_type == "bar":
         return bar_chart(df, spec, direct_limit)
     if spec.chart_type == "scatter":
-        return scatter_chart(df, spec)
-    return line_chart(df, spec, direct_limit)
+        return scatter_chart(df, spec, max_rows)
+    return line_chart(df, spec, direct_limit, max_rows)
+
+
+@dataclass(frozen=True)
+class ChartResult:
+    """The rows of a chart; ``truncated`` says that the cap cut more rows off."""
+
+    frame: DataFrame
+    truncated: bool
 
 
-def chart_pivot(series: DataFrame, x: str = "x", split: str = "split", value: str = "value") -> DataFrame:
+def chart_result(
+    df: DataFrame, spec: ChartSpec, columns: DataFrame | None = None, max_rows: int = MAX_ROWS
+) -> ChartResult:
+    """The rows of a chart, held on the driver (``max_rows`` at most), and whether there are more."""
+    rows = small_frame(chart_frame(df, spec, columns=columns, max_rows=max_rows + 1))
+    return ChartResult(rows.limit(max_rows), rows.count() > max_rows)
+
+
+def chart_pivot(
+    series: DataFrame, x: str = "x", split: str = "split", value: str = "value",
+    max_columns: int = MAX_PIVOT,
+) -> DataFrame:
     """Long chart rows to one column per split value; a null split is ``(blank)``, text no number null.
 
-    Chart rows are capped, so the pivot is over a bounded frame.
+    More split values than ``max_columns`` are an error: none is left out.
     """
     long = series.select(
         F.col(x).alias("x"),
         F.coalesce(F.col(split).cast("string"), F.lit("(blank)")).alias("_split"),
         F.expr(f"try_cast(`{value}` as double)").alias("_value"),
     )
-    names = [r[0] for r in long.select("_split").distinct().orderBy("_split").limit(MAX_ROWS).collect()]
+    found = long.select("_split").distinct().orderBy("_split").limit(max_columns + 1).collect()
+    if len(found) > max_columns:
+        raise ChartSpecError(f"more than {max_columns} split values")
+    names = [r[0] for r in found]
     return long.groupBy("x").pivot("_split", names).agg(F.max("_value"))
 
 

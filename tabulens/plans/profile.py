@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.names import col
 from tabulens.functions.quantiles import DIRECT_LIMIT
-from tabulens.functions.topk import first_rows
 from tabulens.operators import quality, structure
 from tabulens.operators.columns import TOP_VALUES, column_metrics, pct
 from tabulens.operators.duplicates import duplicate_row_pct
-from tabulens.operators.grain import grain_key_candidates
+from tabulens.operators.grain import MAX_CANDIDATES, grain_key_candidates, search_is_cut
 from tabulens.operators.histograms import profile_histograms
 from tabulens.operators.semantics import type_counts, with_semantics
 from tabulens.session import small_frame, together
@@ -36,6 +35,8 @@ class Structure:
     pool: DataFrame
     grain_candidates: DataFrame
     primary_grain: DataFrame
+    # More sets of columns than the key search may try.
+    key_search_cut: bool = False
 
 
 @dataclass(frozen=True)
@@ -69,12 +70,10 @@ def infer_structure(
     counted = {r.column_name: r for r in columns.select(
         "column_name", "unique_count", "row_count").collect()}
     rows = next(iter(counted.values())).row_count if counted else 0
+    names = [r.column_name for r in pool.orderBy("position").collect()]
+    # The key is chosen among all candidates; only what is shown is cut.
     candidates = grain_key_candidates(
-        df,
-        dataset,
-        [r.column_name for r in pool.orderBy("position").collect()],
-        rows,
-        {name: r.unique_count for name, r in counted.items()},
+        df, dataset, names, rows, {name: r.unique_count for name, r in counted.items()}, keep=None
     )
     return Structure(
         columns=columns,
@@ -83,7 +82,8 @@ def infer_structure(
         entities=entities,
         measures=measures,
         pool=pool,
-        grain_candidates=candidates,
+        grain_candidates=candidates.where(F.col("rank") <= MAX_CANDIDATES),
+        key_search_cut=search_is_cut(names),
         primary_grain=small_frame(structure.primary_grain(candidates, entities, axis)),
     )
 
@@ -139,20 +139,19 @@ def profile(
 
 
 def sampled_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The ``rows`` rows whose key hashes lowest: the same rows on every run and in any layout.
+    """The ``rows`` rows whose key has the lowest MD5: the same rows on every run and in any layout.
 
-    A hash bound first cuts the table to a few times the sample, so only that much is ordered. Ties
-    of the hash are settled by the key, so the key should be unique.
+    A bound on the digest first cuts the table to a few times the sample, so only that much is
+    ordered. Ties of the digest are settled by the key, so the key should be unique.
     """
     total = df.count()
-    hashed = df.withColumn("_h", F.xxhash64(col(key).cast("string")))
+    hashed = df.withColumn("_h", F.md5(col(key).cast("string")))
     share = SAMPLE_SLACK * rows / max(1, total)
     if share < 1:
-        bound = F.col("_h") < int(-(2**63) + share * 2**64)
+        bound = F.col("_h") < f"{int(share * 2**52):013x}"
         if hashed.where(bound).count() >= rows:
             hashed = hashed.where(bound)
-    order = [F.col("_h"), col(key).asc_nulls_last()]
-    return first_rows(hashed, order, rows, rows_at_most=total).drop("_h")
+    return hashed.orderBy("_h", col(key).asc_nulls_last()).limit(rows).drop("_h")
 
 
 def sampled_profile(df: DataFrame, dataset: str, key: str, rows: int) -> Profile:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
+from functools import lru_cache, reduce
+from itertools import chain, count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +16,6 @@ from tabulens.sources.readers import FORMATS, file_stats, scan
 
 MAX_VIEW_NAME = 120
 
-# Words a view may not be called, because they start or join SQL clauses.
-RESERVED_VIEW_NAMES = {
-    "select", "from", "where", "join", "left", "right", "full", "inner", "outer", "cross", "on",
-    "using", "group", "order", "by", "having", "limit", "offset", "union", "all", "distinct",
-    "except", "intersect", "with", "as", "and", "or", "not", "null", "true", "false", "case", "when",
-    "then", "else", "end", "in", "is", "like", "between", "exists", "table", "view", "values",
-    "create", "drop", "alter", "insert", "update", "delete", "into", "set",
-}
-
 DATASET_SCHEMA = T.StructType(
     [
         T.StructField("dataset", T.StringType(), False),
@@ -35,22 +29,31 @@ DATASET_SCHEMA = T.StructType(
 )
 
 
-def view_slug(stem: str, dataset: str) -> str:
-    """A file stem as a view name: word characters only, bounded, never a reserved word."""
+@lru_cache(maxsize=8)
+def _keywords(spark: SparkSession) -> frozenset[str]:
+    return frozenset(r[0].lower() for r in spark.sql("SELECT keyword FROM sql_keywords()").collect())
+
+
+def view_slug(stem: str, dataset: str, reserved: frozenset[str] = frozenset()) -> str:
+    """A file stem as a view name: word characters only, bounded, never a ``reserved`` word."""
     slug = re.sub(r"[\W_]+", "_", stem, flags=re.ASCII).strip("_")[:MAX_VIEW_NAME].rstrip("_")
     if not slug:
         return f"dataset_{dataset}"
-    return f"{slug}_view" if slug.lower() in RESERVED_VIEW_NAMES else slug
+    return f"{slug}_view" if slug.lower() in reserved else slug
 
 
-def free_view_name(slug: str, dataset: str, taken: set[str]) -> str:
-    """The slug itself, else with the dataset id, else with a running number from 2."""
-    if slug not in taken:
-        return slug
-    name, number = f"{slug}_{dataset}", 2
-    while name in taken:
-        name, number = f"{slug}_{dataset}_{number}", number + 1
-    return name
+def view_names(wanted: Iterable[tuple[str, str]], taken: Iterable[str]) -> list[str]:
+    """A view name for each (slug, dataset) of a listing, all different and none of those taken.
+
+    Each slug has its claims in order: the slug, the slug with the dataset's id, then that with 2, 3
+    and so on. The listing is served as a whole: every claim goes to the first dataset that makes it.
+    """
+    held, out = set(taken), []
+    for slug, dataset in wanted:
+        claims = chain([slug, f"{slug}_{dataset}"], (f"{slug}_{dataset}_{n}" for n in count(2)))
+        out.append(next(name for name in claims if name not in held))
+        held.add(out[-1])
+    return out
 
 
 @dataclass(frozen=True)
@@ -120,6 +123,17 @@ class Catalog:
         self.datasets[dataset] = counted
         return counted
 
+    def refresh_all_counts(self) -> None:
+        """Row and column counts of every dataset, the rows in one job."""
+        tables = {d: self.spark.table(entry.view_name) for d, entry in self.datasets.items()}
+        if not tables:
+            return
+        counted = [df.agg(F.count("*").alias("n")).select(F.lit(d).alias("d"), "n") for d, df in tables.items()]
+        for dataset, rows in reduce(DataFrame.unionAll, counted).toLocalIterator():
+            self.datasets[dataset] = replace(
+                self.datasets[dataset], row_count=rows, column_count=len(tables[dataset].columns)
+            )
+
     def frame(self) -> DataFrame:
         """The catalog as a table, one row per dataset."""
         rows = [
@@ -132,7 +146,8 @@ class Catalog:
         self, df: DataFrame, stem: str, path: str, file_format: str, file_size: int | None
     ) -> Dataset:
         dataset = f"ds_{len(self.datasets) + 1:03d}"
-        view = free_view_name(view_slug(stem, dataset), dataset, self.view_names())
+        slug = view_slug(stem, dataset, _keywords(self.spark))
+        view = view_names([(slug, dataset)], self.view_names())[0]
         df.createOrReplaceTempView(view)
         file_name = path.rstrip("/").rsplit("/", 1)[-1]
         entry = Dataset(dataset, view, path, file_name, file_format, file_size)

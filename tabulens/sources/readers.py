@@ -27,14 +27,16 @@ def scan_csv(
     schema: StructType | str | None = None,
     sep: str = ",",
     sampling_ratio: float = 1.0,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A CSV file or folder with a header line.
 
-    Without a schema the types come from a pass over the file, by default the whole of it, so a value
+    A quoted value may hold line breaks, so a file is one task. Files known to have none are cut into
+    many tasks with ``multi_line`` false; there such a value would fall apart. Without a schema the types come from a pass over the file, by default the whole of it, so a value
     late in the file cannot contradict the type. Give the schema to skip that pass.
     """
     reader = spark.read.options(
-        header=True, sep=sep, quote='"', escape='"', multiLine=False, mode="PERMISSIVE"
+        header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE"
     )
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -48,8 +50,9 @@ def scan_tsv(
     path: str | list[str],
     schema: StructType | str | None = None,
     sampling_ratio: float = 1.0,
+    multi_line: bool = True,
 ) -> DataFrame:
-    return scan_csv(spark, path, schema, sep="\t", sampling_ratio=sampling_ratio)
+    return scan_csv(spark, path, schema, "\t", sampling_ratio, multi_line)
 
 
 def scan_json(

@@ -128,26 +128,26 @@ def test_describe_matches_the_textbook(spark):
 
 
 def test_null_counts_as_a_value(spark):
-    rows = [("same",)] * 1000 + [("other",), (None,)]
-    df = spark.createDataFrame(rows, "status string")
+    df = spark.range(700).select(
+        F.when(F.col("id") == 699, None).when(F.col("id") == 350, "thaw").otherwise("frost").alias("phase")
+    )
     assert cols.unique_count(df).first().unique_count == 3
     facts = with_semantics(cols.column_metrics(df, "t")).first()
     assert "constant_column" not in facts.quality_flags
 
 
 def test_late_majority(spark):
-    df = spark.createDataFrame([("a",)] * 1000 + [("b",)] * 2000, "segment string")
+    df = spark.range(900).select(F.when(F.col("id") < 240, "low").otherwise("high").alias("tide"))
     r = cols.top_value(df).first()
-    assert (r.top_value, r.top_count, r.top_pct) == ("b", 2000, 66.6667)
+    assert (r.top_value, r.top_count, r.top_pct) == ("high", 660, 73.3333)
 
 
 def test_late_dates_set_the_range(spark):
-    rows = [(None, i) for i in range(1000)] + [("2019-01-01", 1), ("2022-01-01", 2)]
-    df = spark.createDataFrame(rows, "d string, value bigint").withColumn(
-        "event_date", F.to_date("d")
+    df = spark.range(640).select(
+        "id", F.when(F.col("id") > 636, F.date_add(F.lit("2015-03-31"), F.col("id").cast("int") - 637)).alias("harvested")
     )
-    r = rows_of(cols.min_max(df))["event_date"]
-    assert (r.min_value, r.max_value) == ("2019-01-01", "2022-01-01")
+    r = rows_of(cols.min_max(df))["harvested"]
+    assert (r.min_value, r.max_value) == ("2015-03-31", "2015-04-02")
 
 
 def test_top_values_break_ties_by_text_with_null_last(spark):
@@ -180,10 +180,9 @@ def test_top_null_prints_as_text(spark):
 
 
 def test_late_duplicates(spark):
-    rows = [(i, i) for i in range(1000)] + [(100_000, 7)] * 2 + [(i, i) for i in range(2000, 2198)]
-    df = spark.createDataFrame(rows, "row_id bigint, value bigint")
+    df = spark.range(800).select(F.least("id", F.lit(797)).alias("crate"), F.lit("oak").alias("wood"))
     r = duplicate_row_pct(df).first()
-    assert (r.row_count, r.duplicate_rows, r.duplicate_row_pct) == (1200, 2, 0.1667)
+    assert (r.row_count, r.duplicate_rows, r.duplicate_row_pct) == (800, 3, 0.375)
 
 
 def test_duplicates_treat_nulls_zeros_and_maps_as_values(spark):
@@ -194,6 +193,18 @@ def test_duplicates_treat_nulls_zeros_and_maps_as_values(spark):
     assert duplicate_row_pct(df).first().duplicate_rows == 2
 
 
+def test_maps_at_any_depth(spark):
+    df = spark.sql(
+        """SELECT * FROM VALUES
+        (array(map('a', 1, 'b', 2)), named_struct('m', map('x', array(map('p', 0.0D))), 'n', 1)),
+        (array(map('b', 2, 'a', 1)), named_struct('m', map('x', array(map('p', -0.0D))), 'n', 1)),
+        (array(map('b', 2)), CAST(NULL AS struct<m: map<string, array<map<string, double>>>, n: int>)),
+        (CAST(NULL AS array<map<string, int>>), named_struct('m', NULL, 'n', 2)) AS t(`a b`, s)"""
+    )
+    assert duplicate_row_pct(df).first().duplicate_rows == 2
+    assert rows_of(cols.unique_count(df))["a b"].unique_count == 3
+
+
 def test_many_duplicates_take_the_direct_path_and_agree(spark):
     df = spark.range(3000).select((F.col("id") % 1000).alias("a"), F.lit("x").alias("b"))
     hot = df.unionByName(spark.range(1500).select(F.lit(-1).alias("a"), F.lit("y").alias("b")))

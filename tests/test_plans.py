@@ -22,10 +22,11 @@ from tabulens.plans.chart_spec import (
     filter_operators,
     normalise_spec,
 )
+from tabulens.plans.charts import chart_pivot, chart_result
 from tabulens.plans.governed import GovernedQueryError, GovernedSession
 from tabulens.plans.profile import infer_structure, profile
 from tabulens.sources import checks, readers, samples, writers
-from tabulens.sources.catalog import Catalog, free_view_name, list_datasets, view_slug
+from tabulens.sources.catalog import Catalog, list_datasets, view_names, view_slug
 
 SF = "/root/testdata/sf0.001"
 
@@ -166,10 +167,54 @@ def test_auto_specs(orders):
 
 
 def test_first_rows_equal_a_plain_top_k(spark):
-    df = spark.range(0, 5000, 1, 40).select((F.col("id") % 7).alias("x"), F.hash("id").alias("y"))
-    order = [F.col("x"), F.col("y")]
-    expected = df.orderBy(*order).limit(900).collect()
-    assert first_rows(df, order, 900, groups=6).collect() == expected
+    df = spark.range(0, 50_000, 1, 40).select(
+        F.hash("id").alias("x"), (F.col("id") % 7).alias("few"), F.hash(F.col("id") + 1).alias("y"),
+        F.when(F.col("id") < 300, F.col("id")).alias("gaps"), F.col("id").cast("string").alias("text"),
+    )
+    for order in (["x", "y"], ["few", "x"], ["gaps", "x"], ["text"]):
+        expected = df.orderBy(*[F.asc_nulls_last(c) for c in order]).limit(900).collect()
+        assert first_rows(df, order, 900).collect() == expected
+
+
+def test_first_rows_order_only_what_a_bound_lets_through(spark, tmp_path):
+    spark.range(0, 400_000, 1, 8).select(F.hash("id").alias("x")).write.parquet(str(tmp_path / "t"))
+    found = first_rows(spark.read.parquet(str(tmp_path / "t")), ["x"], 5_000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "TakeOrderedAndProject" in plan
+    assert "LessThanOrEqual(x," in plan
+    assert found.count() == 5_000
+
+
+def test_a_chart_tells_that_it_was_cut(spark):
+    df = spark.range(300).select(F.col("id").alias("x"), (F.col("id") * 2).alias("y"))
+    spec = ChartSpec("scatter", x_column="x", y_columns=("y",))
+    cut, whole = chart_result(df, spec, max_rows=100), chart_result(df, spec, max_rows=300)
+    assert cut.truncated and cut.frame.count() == 100
+    assert not whole.truncated and whole.frame.count() == 300
+
+
+def test_a_pivot_leaves_no_split_out(spark):
+    long = spark.range(40).selectExpr("id % 2 AS x", "concat('s', id) AS split", "id AS value")
+    assert len(chart_pivot(long).columns) == 41
+    with pytest.raises(ChartSpecError):
+        chart_pivot(long, max_columns=39)
+
+
+def test_filters_of_truth_values_times_and_wide_numbers(spark):
+    df = spark.createDataFrame(
+        [(True, 5, "2024-01-02"), (False, 6, "2023-05-05"), (None, None, None)], "b boolean, n long, d string"
+    ).withColumn("t", F.col("d").cast("timestamp"))
+
+    def kept(column, operator, value):
+        return df.where(filter_condition(df, ChartFilter(column, operator, value))).count()
+
+    assert (kept("b", "eq", "1"), kept("b", "eq", "false"), kept("b", "neq", "0"), kept("b", "eq", "x")) == (1, 1, 1, 0)
+    assert (kept("t", "gte", "2024"), kept("t", "lt", "2024-01-02"), kept("t", "eq", "never")) == (1, 1, 0)
+    assert kept("n", "lt", "99999999999999999999") == 2
+    with pytest.raises(ChartSpecError):
+        kept("n", "eq", "9" * 60)
+    with pytest.raises(ChartSpecError):
+        kept("n", "eq", "many")
 
 
 # --- governed SQL -------------------------------------------------------------------------------
@@ -194,6 +239,10 @@ def governed(spark):
         "SELECT 1 FROM orders UNION ALL SELECT 2 FROM lineitem",
         "SELECT transform(array(1, 2), x -> x + 1) FROM orders",
         "SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
+        "SELECT 'reflect(1)' AS reflect, 'identifier(x)' AS \"identifier\" FROM orders",
+        "WITH " + ", ".join(f"c{i} AS (SELECT * FROM {f'c{i - 1}' if i else 'orders'})" for i in range(40))
+        + " SELECT count(*) FROM c39",
+        "SELECT r'\\' AS a, '[' AS b, 'it\\'s' AS c FROM orders",
     ],
 )
 def test_allowed(governed, sql):
@@ -223,6 +272,12 @@ def test_allowed(governed, sql):
         "SET spark.sql.runSQLOnFiles=true",
         "SELECT * FROM orders /* open",
         "SELECT nothing FROM orders",
+        "SELECT h.id FROM orders o JOIN IDENTIFIER('default.stored_t') h ON true",
+        "SELECT * FROM orders, IDENTIFIER('global_temp.hidden')",
+        "SELECT * FROM orders JOIN IDENTIFIER /* x */ ('default.' || 'stored_t') h ON true",
+        "SELECT 'UnresolvedRelation [orders]' AS a",
+        "SELECT 1 AS `UnresolvedRelation [orders]`",
+        "SELECT r'\\', java_method('java.lang.System', 'lineSeparator') FROM orders",
     ],
 )
 def test_refused(governed, sql):
@@ -258,9 +313,9 @@ def test_other_views_of_the_parent_session_are_unknown(spark, governed):
 def test_asof_join_against_brute_force(spark):
     rng = random.Random(3)
     key = lambda: rng.choice(["hot", "hot", "hot", "b", "c", None])
-    left = [(key(), rng.randrange(10_000), i) for i in range(400)]
+    left = [(key(), rng.choice([None, *[rng.randrange(10_000)] * 9]), i) for i in range(400)]
     times = rng.sample(range(10_000), 300)
-    right = [(key(), t, f"r{t}") for t in times]
+    right = [(key(), t if t % 9 else None, f"r{t}") for t in times]
 
     def frame(rows, schema):
         return spark.createDataFrame(rows, schema).withColumn("t", F.timestamp_seconds("t"))
@@ -270,7 +325,8 @@ def test_asof_join_against_brute_force(spark):
     got = {r.id: r.right_name for r in found.collect()}
     assert len(got) == len(left)
     for k, t, i in left:
-        before = [(rt, name) for rk, rt, name in right if k is not None and rk == k and rt <= t]
+        known = k is not None and t is not None
+        before = [(rt, name) for rk, rt, name in right if known and rk == k and rt is not None and rt <= t]
         assert got[i] == (max(before)[1] if before else None)
 
 
@@ -313,11 +369,21 @@ def test_history_round_trip(spark, tmp_path):
 def test_view_names():
     assert view_slug("My file (1)--v2", "ds_001") == "My_file_1_v2"
     assert view_slug("???", "ds_002") == "dataset_ds_002"
-    assert view_slug("select", "ds_003") == "select_view"
+    assert view_slug("select", "ds_003", frozenset({"select"})) == "select_view"
     assert len(view_slug("x" * 300, "ds_004")) == 120
-    taken = {"a", "a_ds_001"}
-    assert free_view_name("b", "ds_001", taken) == "b"
-    assert free_view_name("a", "ds_001", taken) == "a_ds_001_2"
+    wanted = [("a", "ds_001"), ("b", "ds_002"), ("b", "ds_003"), ("b", "ds_003")]
+    assert view_names(wanted, {"a", "a_ds_001"}) == ["a_ds_001_2", "b", "b_ds_003", "b_ds_003_2"]
+
+
+def test_quoted_line_breaks_are_read_back(spark, tmp_path):
+    texts = ["x\ny", "ok", 'say "so",\nthen go', "\n", "tab\there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for write, read in ((writers.export_csv, readers.scan_csv), (writers.export_tsv, readers.scan_tsv)):
+        path = str(tmp_path / write.__name__)
+        write(df, path)
+        back = read(spark, path)
+        assert back.schema == df.schema
+        assert [r.text for r in back.orderBy("id").collect()] == texts
 
 
 def test_register_folder(spark, tmp_path):
@@ -335,7 +401,8 @@ def test_register_folder(spark, tmp_path):
     deep = Catalog(spark)
     entries = deep.register_folder(str(tmp_path), recursive=True)
     assert [d.view_name for d in entries] == ["a", "b", "b_ds_003", "parts", "deep"]
-    counts = [deep.refresh_counts(d.dataset) for d in entries]
+    deep.refresh_all_counts()
+    counts = [deep.datasets[d.dataset] for d in entries]
     assert [(c.row_count, c.column_count) for c in counts] == [(3, 1), (2, 2), (1, 2), (5, 1), (2, 1)]
     assert dict(spark.table("b").dtypes) == {"id": "int", "day": "date"}
     assert spark.table("b_ds_003").first().name == "x, y"

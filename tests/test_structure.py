@@ -20,39 +20,55 @@ def names(df):
 
 @pytest.fixture(scope="module")
 def panel(spark):
-    rows = [(p, y, "league", p * 1.5 + y) for p in range(1, 25) for y in (2022, 2023, 2024)]
-    return spark.createDataFrame(rows, "player_id int, year int, league string, overall double")
+    """Rents of 31 tenants over four seasons."""
+    rows = [(t, s, "east wing", 400 + t * 7.25 - s / 8) for s in range(2015, 2019) for t in range(31)]
+    return spark.createDataFrame(rows, "tenant_id int, season int, wing string, rent double")
 
 
 def test_panel_grain_is_entity_and_period(panel):
     found = profile(panel, "panel")
     axis = found.structure.primary_temporal.first()
-    assert (axis.column_name, axis.temporal_kind) == ("year", "discrete_period")
-    assert set(found.structure.primary_grain.first().columns) == {"player_id", "year"}
+    assert (axis.column_name, axis.temporal_kind) == ("season", "discrete_period")
+    assert set(found.structure.primary_grain.first().columns) == {"tenant_id", "season"}
     summary = found.summary.first()
-    assert summary.likely_grain == "One row per player_id + year."
+    assert summary.likely_grain == "One row per tenant_id + season."
     # Members of a composite key are no duplicate-key issue.
     assert found.issues.where("issue = 'duplicate_key'").count() == 0
     roles = {r.column_name: r for r in found.roles.collect()}
-    assert roles["year"].roles == ["grain key", "time"] and roles["year"].role_sort_key == 204
-    assert roles["player_id"].roles == ["grain key", "entity id"]
-    assert roles["overall"].roles == ["measure"] and roles["overall"].role_sort_key == 101
-    assert roles["league"].roles == [] and roles["league"].role_sort_key == 0
+    assert roles["season"].roles == ["grain key", "time"] and roles["season"].role_sort_key == 204
+    assert roles["tenant_id"].roles == ["grain key", "entity id"]
+    assert roles["rent"].roles == ["measure"] and roles["rent"].role_sort_key == 101
+    assert roles["wing"].roles == [] and roles["wing"].role_sort_key == 0
 
 
 def test_wide_panel_finds_the_late_id(spark):
-    base = spark.createDataFrame(
-        [(p, y) for p in range(1, 30) for y in range(2022, 2026)], "playerId int, year int"
+    rows = spark.range(37 * 6).select((F.col("id") % 37).alias("v"), F.floor(F.col("id") / 37).alias("s"))
+    shelves = [F.pmod(F.col("v") * (i + 3), F.lit(5 + i)).alias(f"shelf{i}") for i in range(14)]
+    df = rows.select(
+        *shelves, F.col("v").cast("int").alias("vendorNo"), (F.col("s") + 2011).cast("int").alias("season"),
+        (F.col("v") / 3 + F.col("s")).alias("margin"),
     )
-    dims = [(F.col("playerId") % (i + 2)).alias(f"dim_{i}") for i in range(12)]
-    df = base.select(*dims, "playerId", "year", (F.col("playerId") * 1.1).alias("overall"))
-    assert set(infer_structure(df, "wide").primary_grain.first().columns) == {"playerId", "year"}
+    assert set(infer_structure(df, "wide").primary_grain.first().columns) == {"vendorNo", "season"}
+
+
+def test_the_key_is_chosen_before_the_list_is_cut(spark):
+    """Nineteen columns are unique alone; the panel key still leads, and 15 candidates are shown."""
+    ids = [F.col("id").alias(f"code_{i}") if i % 2 else (F.col("id") * 3).alias(f"code_{i}") for i in range(19)]
+    df = spark.range(400).select(
+        *ids, (F.col("id") % 40).alias("member_id"), F.make_date(F.lit(2020), F.lit(1), F.floor(F.col("id") / 40) + 1).alias("day"),
+    )
+    found = infer_structure(df, "t")
+    assert found.grain_candidates.count() <= grain.MAX_CANDIDATES
+    assert found.key_search_cut == grain.search_is_cut([r.column_name for r in found.pool.collect()])
+    everything = grain.grain_key_candidates(df, "t", [f"code_{i}" for i in range(19)], keep=None, max_pairs=None)
+    assert everything.count() > grain.MAX_CANDIDATES and grain.search_is_cut([f"code_{i}" for i in range(19)])
 
 
 def test_late_key_duplicates_rule_a_key_out(spark):
-    rows = [(i, i) for i in range(1000)] + [(1, i) for i in range(1000, 1200)]
-    df = spark.createDataFrame(rows, "entity_id bigint, amount bigint")
-    found = grain.grain_key_candidates(df, "t", ["entity_id"])
+    rows = spark.range(950).select(
+        F.when(F.col("id") < 800, F.col("id") * 11).otherwise(33).alias("booking_code"), (F.col("id") % 9).alias("seats")
+    )
+    found = grain.grain_key_candidates(rows, "t", ["booking_code"])
     assert found.count() == 0
 
 
@@ -117,6 +133,12 @@ def test_discrete_periods(spark):
     assert found["made"].confidence == "medium" and found["month"].confidence == "high"
 
 
+def test_long_texts_are_digits_only_as_a_whole(spark):
+    texts = ["7" * 128 + "abc", "8" * 128 + "abc", " " + "9" * 200 + " ", "12", "3" * 128, "x" * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "week string")
+    assert facts(df).first().digit_rows == 3
+
+
 def test_null_heavy_columns_are_flagged(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (None, 3), (1, 4), (2, 5)], "a bigint, b bigint")
     found = {r.column_name: r for r in facts(df).collect()}
@@ -124,9 +146,10 @@ def test_null_heavy_columns_are_flagged(spark):
 
 
 def test_sparse_family_weighs_less(spark):
-    rows = [(i, 2024, None if i < 3 else 5, None if i < 3 else 6, 70 + i, "GK") for i in range(5)]
-    df = spark.createDataFrame(
-        rows, "player_id int, year int, gk_diving int, gk_reflexes int, pace int, position string"
+    filled = F.col("id") >= 6
+    df = spark.range(10).select(
+        F.col("id").alias("tenant_id"), F.when(filled, F.col("id") * 2.5).alias("gk_heat"),
+        F.lit("west").alias("wing"), F.when(filled, F.col("id") % 3).alias("gk_light"),
     )
     m = facts(df)
     found = quality.high_nulls(m).collect()

@@ -6,6 +6,7 @@ Columns = list[tuple[str, str]]
 
 PHYSICAL = {"integer": "bigint", "float": "double", "string": "string", "temporal": "timestamp_ntz",
             "boolean": "boolean"}
+# The name patterns of the rules, written as DuckDB reads them.
 KEY_RE = "(^|_)(id|key|uuid|guid|pk|sk|code)(_|$)"
 ENTITY_RE = (
     "^(pid|uid|sku|upc|ean|uuid|guid)$|(^|_)(player|user|entity|customer|account|member|product|"

@@ -37,6 +37,28 @@ def gappy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Events of which most cells are null: one measure per kind of event.
+SPARSE_SQL = """SELECT event_id, event_type,
+  CASE WHEN event_type = 'view' THEN user_id END AS viewer,
+  CASE WHEN event_type = 'purchase' THEN value END AS paid,
+  CASE WHEN event_type = 'error' THEN ts END AS failed_at FROM events"""
+SPARSE_COLUMNS = [
+    ("event_id", "integer"), ("event_type", "string"), ("viewer", "integer"), ("paid", "float"),
+    ("failed_at", "temporal"),
+]
+
+
+def sparse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        "event_type",
+        F.when(kind == "view", F.col("user_id")).alias("viewer"),
+        F.when(kind == "purchase", F.col("value")).alias("paid"),
+        F.when(kind == "error", F.col("ts")).alias("failed_at"),
+    )
+
+
 # Line items renamed and reshaped so that every name, type, null and issue rule has a case.
 SHOP_SQL = """SELECT l_orderkey AS order_id, CAST(l_partkey AS VARCHAR) AS part_ref,
   CAST(year(l_shipdate) AS INTEGER) AS ship_year, l_shipdate AS ship_date, l_extendedprice AS price,

@@ -12,7 +12,8 @@ from tabulens.operators import grain, quality, semantics, structure
 from tabulens.operators.columns import column_facts
 from tabulens.operators.duplicates import duplicate_row_pct
 from tabulens.operators.histograms import profile_histograms
-from tabulens.plans.profile import infer_structure, profile, sampled_rows
+from tabulens.plans.profile import infer_structure, profile
+from tabulens.plans.profile import sampled_profile as sampled_profile_of
 from tabulens.session import small_frame, together
 from workload import check_sql as sql
 from workload.inputs import (
@@ -23,8 +24,11 @@ from workload.inputs import (
     ORDERS_COLUMNS,
     SHOP_COLUMNS,
     SHOP_SQL,
+    SPARSE_COLUMNS,
+    SPARSE_SQL,
     gappy_events,
     shop,
+    sparse_events,
     table,
 )
 
@@ -191,8 +195,28 @@ def _issues(df: DataFrame) -> DataFrame:
     )
 
 
-def _issue_sql(kind: str) -> str:
-    return f"""{FACTS}{sql.ISSUES} SELECT dataset, issue, severity, affected,
+def missing_mass(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables with many nulls and one with few."""
+    jobs = [
+        lambda: column_facts(sparse_events(spark, sf), "sparse"),
+        lambda: column_facts(gappy_events(spark, sf), "gappy"),
+        lambda: column_facts(table(spark, sf, "conversations"), "conversations"),
+    ]
+    facts = small_frame(reduce(DataFrame.unionByName, together(spark, *jobs)))
+    return _issues(quality.missing_mass(semantics.with_semantics(facts)))
+
+
+SPARSE_FACTS = sql.metrics_cte(
+    {
+        "sparse": (SPARSE_SQL, SPARSE_COLUMNS),
+        "gappy": (GAPPY_SQL, GAPPY_COLUMNS),
+        "conversations": ("SELECT * FROM conversations", CONVERSATIONS_COLUMNS),
+    }
+)
+
+
+def _issue_sql(kind: str, facts: str = FACTS) -> str:
+    return f"""{facts}{sql.ISSUES} SELECT dataset, issue, severity, affected,
       round(score_impact, 4) AS score_impact FROM issues WHERE issue = '{kind}'"""
 
 
@@ -370,14 +394,22 @@ DATASET_PROFILE = f"""{sql.metrics_cte({"gappy": (GAPPY_SQL, GAPPY_COLUMNS)})}{s
 
 
 def sampled_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Column facts of a hash-ordered sample; the sample size is the operator's own limit."""
-    sample = sampled_rows(table(spark, sf, "orders"), "o_orderkey", 5_000)
-    facts = column_facts(sample, "orders")
-    return facts.select("column_name", "row_count", "null_pct", "unique_count").withColumn(
-        "metric_scope", F.lit("sample")
+    """A profile of the 5,000 orders of lowest key digest; the sample size is the operator's limit."""
+    found = sampled_profile_of(table(spark, sf, "orders"), "orders", "o_orderkey", 5_000)
+    return found.columns.select("column_name", "row_count", "null_count", "unique_count").join(
+        found.summary.select("metric_scope"), F.lit(True)
     )
 
 
+SAMPLED = " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,
+    count(DISTINCT {c}) AS unique_count,
+    (SELECT CASE WHEN count(*) > 5000 THEN 'sample' ELSE 'full' END FROM orders) AS metric_scope
+    FROM (SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)) LIMIT 5000)"""
+    for c, _ in ORDERS_COLUMNS
+)
+
+
 def _narrative(spark: SparkSession, sf: str) -> DataFrame:
     return profile(table(spark, sf, "conversations"), "conversations").summary.select(
         "dataset", "likely_grain", "narrative"
@@ -428,7 +460,7 @@ QUERIES = {
     "measure_ranking": lambda s, d: structure.measure_ranking(_facts(s, d)),
     "column_roles": _roles,
     "structure_warnings": structure_warnings,
-    "issue_missing_mass": lambda s, d: _issues(quality.missing_mass(_facts(s, d))),
+    "issue_missing_mass": missing_mass,
     "issue_duplicate_key": lambda s, d: _issues(quality.duplicate_keys(_facts(s, d))),
     "issue_high_null": lambda s, d: _issues(quality.high_nulls(_facts(s, d))),
     "issue_constant": lambda s, d: _issues(quality.constants(_facts(s, d))),
@@ -468,6 +500,7 @@ SEVERITY = """CASE WHEN high_missingness OR id_with_nulls THEN 'critical'
   WHEN constant_column THEN 'warning' ELSE 'none' END"""
 
 ORACLE = {
+    "sampled_profile": SAMPLED,
     "column_metrics": _column_metrics_sql(),
     "null_counts": sql.null_counts(GAPPY_SQL, GAPPY_COLUMNS),
     "missing_cell_pct": f"""WITH src AS ({GAPPY_SQL}), n AS (SELECT count(*) * 6 AS total,

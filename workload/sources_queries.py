@@ -80,8 +80,8 @@ def scan_jsonl(spark: SparkSession, sf: str) -> DataFrame:
 
 def register_folder(spark: SparkSession, sf: str) -> DataFrame:
     catalog = Catalog(spark)
-    for entry in catalog.register_folder(sf):
-        catalog.refresh_counts(entry.dataset)
+    catalog.register_folder(sf)
+    catalog.refresh_all_counts()
     return catalog.frame().select("dataset", "view_name", "format", "row_count", "column_count")
 
 
@@ -129,6 +129,10 @@ def malformed_record_scan(spark: SparkSession, sf: str) -> DataFrame:
         F.when((kind == "error") & (F.col("value") < 10), F.concat(F.lit("{bad "), line))
         .when((kind == "error") & (F.col("value") < 20), F.concat(F.lit("["), line, F.lit("]")))
         .when((kind == "click") & (F.col("value") < 10), F.lit(""))
+        .when(
+            (kind == "purchase") & (F.col("value") < 10),
+            F.concat(line, F.unhex(F.lit("00")).cast("string")),
+        )
         .otherwise(line)
     )
     raw = F.when(
@@ -143,7 +147,7 @@ def malformed_record_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 MALFORMED = """SELECT count(*) AS lines,
   count(*) FILTER (NOT (event_type = 'click' AND value < 10)) AS content_lines,
-  0::BIGINT AS nul_byte, count(*) FILTER (event_type = 'view' AND value < 10) AS invalid_utf8,
+  count(*) FILTER (event_type = 'purchase' AND value < 10) AS nul_byte, count(*) FILTER (event_type = 'view' AND value < 10) AS invalid_utf8,
   count(*) FILTER (event_type = 'error' AND value < 10) AS invalid_json,
   count(*) FILTER (event_type = 'error' AND value >= 10 AND value < 20) AS not_an_object
   FROM events"""
@@ -154,9 +158,7 @@ def export_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "conversations-csv")
     source = table(spark, sf, "conversations")
     writers.export_csv(source, path)
-    back = spark.read.options(header=True, multiLine=True, quote='"', escape='"').schema(
-        source.schema
-    ).csv(path)
+    back = readers.scan_csv(spark, path)
     return back.groupBy("role").agg(
         F.count("*").alias("n"),
         F.sum("turn").alias("turns"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulens.operators.joins import asof_join
 from tabulens.plans.governed import GovernedSession
-from workload.inputs import table
+from workload.inputs import GAPPY_SQL, gappy_events, table
 
 
 def _run(*views: str, max_rows: int | None = None):
@@ -139,8 +139,10 @@ UNPIVOT_DUCK = """SELECT measure, count(*) AS n, round(sum(amount), 2) AS total
 
 
 def sql_asof_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Each purchase with the same user's last view before it."""
-    events = table(spark, sf, "events")
+    """Each purchase with the same user's last view before it; some users, times and kinds are null."""
+    events = gappy_events(spark, sf).withColumn(
+        "ts", F.when(F.col("event_id") % 11 != 0, F.col("ts"))
+    )
     bought = events.where("event_type = 'purchase'").select("user_id", "ts", "event_id", "value")
     viewed = events.where("event_type = 'view'").select(
         "user_id", "ts", F.col("event_id").alias("id")
@@ -148,13 +150,34 @@ def sql_asof_join(spark: SparkSession, sf: str) -> DataFrame:
     return asof_join(bought, viewed, ["user_id"], "ts", right_prefix="view_")
 
 
-ASOF = """SELECT b.user_id, b.ts, b.event_id, b.value, v.ts AS view_ts, v.event_id AS view_id
-  FROM (SELECT * FROM events WHERE event_type = 'purchase') b
-  ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v
+ASOF = f"""WITH gappy AS (SELECT * REPLACE (CASE WHEN event_id % 11 <> 0 THEN ts END AS ts)
+  FROM ({GAPPY_SQL}))
+  SELECT b.user_id, b.ts, b.event_id, b.value, v.ts AS view_ts, v.event_id AS view_id
+  FROM (SELECT * FROM gappy WHERE event_type = 'purchase') b
+  ASOF LEFT JOIN (SELECT * FROM gappy WHERE event_type = 'view' AND ts IS NOT NULL) v
   ON b.user_id = v.user_id AND b.ts >= v.ts"""
 
+
+def governed_result(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of an ad-hoc query under its row cap, each with the flag that the cap cut more off."""
+    governed = GovernedSession(spark)
+    governed.register("orders", lambda session: table(session, sf, "orders"))
+    found = governed.execute(CAPPED, max_rows=CAP, timeout=600)
+    if found.error:
+        raise ValueError(found.error)
+    rows = [(r["o_orderkey"], r["o_custkey"], found.truncated) for r in found.rows]
+    return spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, truncated boolean")
+
+
+CAP = 500
+CAPPED = """WITH big AS (SELECT * FROM orders WHERE o_totalprice > 1000)
+SELECT o_orderkey, o_custkey FROM big ORDER BY o_totalprice DESC, o_orderkey"""
+CAPPED_DUCK = f"""SELECT o_orderkey, o_custkey, (SELECT count(*) FROM ({CAPPED})) > {CAP} AS truncated
+  FROM ({CAPPED} LIMIT {CAP})"""
+
 QUERIES = {
     "governed_query": _run("orders", max_rows=1000)(GOVERNED),
+    "governed_result": governed_result,
     "sql_projection_filter": _run("lineitem")(PROJECTION),
     "sql_equi_joins": _run("region", "nation", "customer", "supplier")(EQUI_JOINS),
     "sql_semi_anti_joins": _run("customer", "orders", "part", "lineitem")(SEMI_ANTI),
@@ -174,6 +197,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "governed_result": CAPPED_DUCK,
     "governed_query": f"SELECT * FROM ({GOVERNED}) LIMIT 1000",
     "sql_projection_filter": PROJECTION,
     "sql_equi_joins": EQUI_JOINS,
