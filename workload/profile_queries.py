@@ -548,7 +548,7 @@ ORACLE = {
     "measure_ranking": MEASURES,
     "column_roles": ROLES,
     "structure_warnings": WARNINGS,
-    **{f"issue_{k}": _issue_sql(k) for k in
+    **{f"issue_{k}": _issue_sql(k, SPARSE_FACTS if k == "missing_mass" else FACTS) for k in
        ("missing_mass", "duplicate_key", "high_null", "constant", "high_cardinality")},
     "quality_score": f"""{FACTS}{sql.ISSUES} SELECT d.dataset,
       round(greatest(0, least(100, 100 - coalesce(sum(score_impact), 0))), 2)::DOUBLE
