@@ -62,8 +62,8 @@ def datetime_median(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_values(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
-    return cols.top_values(table(spark, sf, "lineitem"), columns=names)
+    """All columns of the largest table: keys, doubles, texts and dates."""
+    return cols.top_values(table(spark, sf, "lineitem"))
 
 
 def top_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,8 +90,9 @@ TOP_VALUE = (
         f"""SELECT * FROM (SELECT {i} AS ordinal, '{c}' AS column_name,
         coalesce(CAST({c} AS VARCHAR), '(null)') AS top_value, count(*) AS top_count,
         round(count(*) * 100.0 / (SELECT count(*) FROM src), 4)::DOUBLE AS top_pct
-        FROM src GROUP BY {c} ORDER BY top_count DESC, {c} NULLS LAST LIMIT 1)"""
-        for i, c in [(3, "event_type"), (5, "props")]
+        FROM src GROUP BY {c} ORDER BY top_count DESC, CAST({c} AS VARCHAR) NULLS LAST LIMIT 1)"""
+        for i, (c, kind) in enumerate(GAPPY_COLUMNS)
+        if kind in ("temporal", "string")
     )
 )
 
@@ -136,30 +137,43 @@ def _bins(df: DataFrame) -> DataFrame:
     return _rounded(df, 4, "lower_bound", "upper_bound")
 
 
-INT_BINS = """WITH s AS (SELECT min(p_size)::BIGINT AS lo, max(p_size)::BIGINT AS hi,
-    count(p_size) AS n FROM part),
+def _int_bins(ordinal: int, c: str) -> str:
+    return f"""WITH s AS (SELECT min({c})::BIGINT AS lo, max({c})::BIGINT AS hi,
+    count({c}) AS n FROM lineitem),
   shape AS (SELECT *, least(12, hi - lo + 1) AS k, (hi - lo + 1) // least(12, hi - lo + 1) AS w,
     (hi - lo + 1) % least(12, hi - lo + 1) AS extra FROM s),
   bins AS (SELECT i::INTEGER AS bin_index, lo + i * w + least(i, extra) AS a,
     lo + (i + 1) * w + least(i + 1, extra) - 1 AS b, n FROM shape, range(k) r(i))
-  SELECT 4 AS ordinal, 'p_size' AS column_name, bin_index, a::DOUBLE AS lower_bound,
+  SELECT {ordinal} AS ordinal, '{c}' AS column_name, bin_index, a::DOUBLE AS lower_bound,
     b::DOUBLE AS upper_bound, true AS left_closed, true AS right_closed,
-    (SELECT count(*) FROM part WHERE p_size BETWEEN a AND b) AS bin_count,
-    round((SELECT count(*) FROM part WHERE p_size BETWEEN a AND b) * 100.0 / n, 4)::DOUBLE
+    (SELECT count(*) FROM lineitem WHERE {c} BETWEEN a AND b) AS bin_count,
+    round((SELECT count(*) FROM lineitem WHERE {c} BETWEEN a AND b) * 100.0 / n, 4)::DOUBLE
       AS pct_non_null FROM bins"""
 
-FLOAT_BINS = """WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi,
-    count(l_extendedprice) AS n FROM lineitem),
+
+def _float_bins(ordinal: int, c: str) -> str:
+    return f"""WITH s AS (SELECT min({c}) AS lo, max({c}) AS hi,
+    count({c}) AS n FROM lineitem),
   bins AS (SELECT i::INTEGER AS bin_index, CASE WHEN i > 0 THEN lo + (hi - lo) / 12 * i END AS a,
     CASE WHEN i < 11 THEN lo + (hi - lo) / 12 * (i + 1) END AS b, n FROM s, range(12) r(i)),
   counted AS (SELECT bin_index, a, b, n, count(v) AS c FROM bins LEFT JOIN
-    (SELECT l_extendedprice AS v FROM lineitem) ON (a IS NULL OR v > a) AND (b IS NULL OR v <= b)
+    (SELECT {c} AS v FROM lineitem) ON (a IS NULL OR v > a) AND (b IS NULL OR v <= b)
     GROUP BY ALL)
-  SELECT 5 AS ordinal, 'l_extendedprice' AS column_name, bin_index, round(a, 4) AS lower_bound,
+  SELECT {ordinal} AS ordinal, '{c}' AS column_name, bin_index, round(a, 4) AS lower_bound,
     round(b, 4) AS upper_bound, false AS left_closed, bin_index < 11 AS right_closed,
     c AS bin_count, round(c * 100.0 / n, 4)::DOUBLE AS pct_non_null FROM counted"""
 
 
+def _all_bins(kind: str) -> str:
+    one = {"integer": _int_bins, "float": _float_bins}[kind]
+    columns = [(i, c) for i, (c, k) in enumerate(LINEITEM_COLUMNS) if k == kind]
+    return " UNION ALL ".join(f"SELECT * FROM ({one(i, c)})" for i, c in columns)
+
+
+def _named(columns: list[tuple[str, str]], kind: str) -> list[str]:
+    return [c for c, k in columns if k == kind]
+
+
 # --- meaning, structure, quality ----------------------------------------------------------------
 
 
@@ -427,12 +441,12 @@ QUERIES = {
     "datetime_median": datetime_median,
     "top_values": top_values,
     "top_texts": top_texts,
-    "top_value": lambda s, d: cols.top_value(gappy_events(s, d), ["event_type", "props"]),
+    "top_value": lambda s, d: cols.top_value(gappy_events(s, d)),
     "histogram_int_profile": lambda s, d: _bins(
-        profile_histograms(table(s, d, "part"), ["p_size"])
+        profile_histograms(table(s, d, "lineitem"), _named(LINEITEM_COLUMNS, "integer"))
     ),
     "histogram_float_profile": lambda s, d: _bins(
-        profile_histograms(table(s, d, "lineitem"), ["l_extendedprice"])
+        profile_histograms(table(s, d, "lineitem"), _named(LINEITEM_COLUMNS, "float"))
     ),
     "semantic_type": lambda s, d: _facts(s, d).select("dataset", "column_name", "semantic_type"),
     "quality_flags": lambda s, d: _flags_text(_facts(s, d)).select(
@@ -518,8 +532,7 @@ ORACLE = {
       make_timestamp(floor(quantile_cont(epoch_us(ts), 0.5))::BIGINT) FROM ({GAPPY_SQL})""",
     "top_values": _top_sql(
         "SELECT * FROM lineitem",
-        [(3, "l_linenumber"), (4, "l_quantity"), (6, "l_discount"), (8, "l_returnflag"),
-         (9, "l_linestatus")],
+        list(enumerate(c for c, _ in LINEITEM_COLUMNS)),
         8,
     ),
     "top_texts": " UNION ALL ".join(
@@ -527,8 +540,8 @@ ORACLE = {
         for t, columns in (("documents", [(1, "text"), (2, "lang")]), ("pages", [(2, "html")]))
     ),
     "top_value": TOP_VALUE,
-    "histogram_int_profile": INT_BINS,
-    "histogram_float_profile": FLOAT_BINS,
+    "histogram_int_profile": _all_bins("integer"),
+    "histogram_float_profile": _all_bins("float"),
     "semantic_type": f"{FACTS} SELECT dataset, column_name, semantic_type FROM m",
     "quality_flags": f"{FACTS} SELECT dataset, column_name, {sql.FLAGS} AS quality_flags FROM m",
     "type_counts": f"""{FACTS} SELECT dataset,
