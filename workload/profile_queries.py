@@ -98,16 +98,28 @@ TOP_VALUE = (
 
 
 def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = gappy_events(spark, sf).select(
-        "user_id", "event_type", F.floor("value").cast("bigint").alias("units")
+    """Shares over three columns, where rows repeat, and over all columns."""
+    rows = gappy_events(spark, sf)
+    some = rows.select("user_id", "event_type", F.floor("value").cast("bigint").alias("units"))
+    twice = rows.unionAll(rows.where("event_type = 'purchase'"))
+    frames = {"some columns": some, "all columns": rows, "some rows twice": twice}
+    found = [duplicate_row_pct(df).withColumn("rows_of", F.lit(name)) for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+DUPLICATES = " UNION ALL ".join(
+    f"""SELECT sum(n)::BIGINT AS row_count, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS duplicate_rows,
+    round(coalesce(sum(n) FILTER (n > 1), 0) * 100.0 / sum(n), 4)::DOUBLE AS duplicate_row_pct,
+    '{name}' AS rows_of FROM (SELECT count(*) AS n FROM ({source}) GROUP BY {columns})"""
+    for name, source, columns in (
+        ("some columns", f"SELECT user_id, event_type, floor(value) AS units FROM ({GAPPY_SQL})",
+         "user_id, event_type, units"),
+        ("all columns", GAPPY_SQL, ", ".join(c for c, _ in GAPPY_COLUMNS)),
+        ("some rows twice",
+         f"{GAPPY_SQL} UNION ALL SELECT * FROM ({GAPPY_SQL}) WHERE event_type = 'purchase'",
+         ", ".join(c for c, _ in GAPPY_COLUMNS)),
     )
-    return duplicate_row_pct(rows)
-
-
-DUPLICATES = f"""WITH src AS (SELECT user_id, event_type, floor(value)::BIGINT AS units
-  FROM ({GAPPY_SQL})), g AS (SELECT count(*) AS n FROM src GROUP BY user_id, event_type, units)
-  SELECT sum(n)::BIGINT AS row_count, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS duplicate_rows,
-  round(coalesce(sum(n) FILTER (n > 1), 0) * 100.0 / sum(n), 4)::DOUBLE AS duplicate_row_pct FROM g"""
+)
 
 UNIQUE = " UNION ALL ".join(
     f"""SELECT {i} AS ordinal, '{c}' AS column_name,
