@@ -56,6 +56,8 @@ MAIN = {"article", "main"}
 # Template nodes are the same on this share of at least so many different pages of a host.
 SAME, PAGES = 0.9, 3
 LINKED = 0.6
+# Elements nested deeper belong to the node that holds them.
+DEEPEST = 150
 
 
 @dataclass
@@ -211,7 +213,9 @@ def parse(text: str) -> Page:
         parent, under = stack_node(), stack[-1][2]
         if tag == "header" and not _inside_main(stack):
             aside = True
-        if parent.children and parent.children[-1].key == key:
+        if len(stack) > DEEPEST and (not aside or parent.aside):
+            node = parent
+        elif parent.children and parent.children[-1].key == key:
             node = parent.children[-1]
         else:
             node = Node(key, len(page.nodes), aside or under or parent.aside, main or parent.main)

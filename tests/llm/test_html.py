@@ -35,6 +35,15 @@ def test_markup_as_browsers_take_it():
     assert main_text(parse("<!-- <p>x</p> --><p hidden>h</p><p style='display: none'>n</p>&amp;amp;"), None, set(), set()) == "&amp;"
 
 
+def test_deep_nesting_and_long_pages():
+    deep = parse("<div>" * 20_000 + "x" + "</div>" * 20_000 + "<p>y")
+    assert main_text(deep, deep.skeleton(), set(), set()) == "x\ny"
+    long = parse("<article>" + "<p>one</p><ul><li>two</ul>" * 20_000)
+    assert main_text(long, None, set(), set()).count("\n") == 39_999
+    aside = parse("<section>" * 300 + "<div class=ad>" * 300 + "no" + "</div>" * 300 + "yes")
+    assert main_text(aside, None, set(), set()) == "yes"
+
+
 def nested(key, *children):
     return [key, 0, 0, 0, 0, list(children)]
 
