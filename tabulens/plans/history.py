@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulens.plans.profile import STRUCTURE_VERSION, Profile
+from tabulens.session import scratch_dir
 
 # How many snapshots are kept and listed.
 KEEP_SNAPSHOTS = 50
@@ -72,10 +73,16 @@ def prune_history(history: DataFrame, keep: int = KEEP_SNAPSHOTS) -> DataFrame:
 
 
 def rewrite_pruned(spark: SparkSession, path: str, keep: int = KEEP_SNAPSHOTS) -> None:
-    """Rewrite only the partitions that hold more than ``keep`` snapshots."""
+    """Rewrite only the partitions that hold more than ``keep`` snapshots.
+
+    What stays is first written beside them, in the shared scratch folder, so a failure while the
+    partitions are replaced loses no snapshot.
+    """
     history = load_history(spark, path)
     full = history.groupBy("dataset").count().where(F.col("count") > keep).select("dataset")
-    prune_history(history.join(full, "dataset", "left_semi"), keep).write.mode("overwrite").option(
+    beside = scratch_dir(spark, "pruned-history")
+    prune_history(history.join(full, "dataset", "left_semi"), keep).write.parquet(beside)
+    spark.read.schema(history.schema).parquet(beside).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("dataset").parquet(path)
 
