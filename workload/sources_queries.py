@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,6 +198,27 @@ EXPORT_NESTED = """SELECT label, count(*) AS n, sum(len(embedding))::BIGINT AS n
   FROM embeddings GROUP BY label"""
 
 
+def files_with_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file of the folder, whether it has bytes, and the rows that its table reads from it."""
+    counted = [
+        table(spark, sf, name)
+        .groupBy(F.col("_metadata.file_name").alias("file_name"))
+        .agg(F.count("*").alias("row_count"))
+        for name in TABLES
+    ]
+    files = readers.file_stats(spark, sf, recursive=True).select(
+        "file_name", (F.col("file_size") > 0).alias("has_bytes")
+    )
+    return files.join(reduce(DataFrame.unionAll, counted), "file_name", "left")
+
+
+FILES = " UNION ALL ".join(
+    f"""SELECT '{t}.parquet' AS file_name, true AS has_bytes,
+    (SELECT count(*) FROM {t}) AS row_count"""
+    for t in TABLES
+)
+
+
 QUERIES = {
     "scan_parquet": scan_parquet,
     "scan_csv": scan_csv,
@@ -222,10 +245,11 @@ QUERIES = {
     "export_csv": export_csv,
     "export_tsv": export_tsv,
     "export_json": export_json,
-    "file_stats": lambda s, d: readers.file_stats(s, d).select("file_name", "file_size"),
+    "file_stats": files_with_rows,
 }
 
 ORACLE = {
+    "file_stats": FILES,
     "scan_parquet": ORDER_TOTALS,
     "scan_csv": ORDER_TOTALS,
     "scan_tsv": ORDER_TOTALS,
