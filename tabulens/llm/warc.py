@@ -151,11 +151,18 @@ def read_archives(
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     options = {"payload": str(payload).lower(), "verify": str(verify).lower()}
-    return spark.read.format("warc").options(**options).load(path)
+    records = spark.read.format("warc").options(**options).load(path)
+    # Spark keeps the predicates last pushed to a Python source for a later query that pushes none, so
+    # every query pushes one. The type is a header that each record must have.
+    return records.where("record_type IS NOT NULL")
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc")``: one row per record of ``*.warc``, ``*.gz`` or ``*.txt`` files."""
+    """``spark.read.format("warc")``: one row per record of all files, plain or gzip, under a path.
+
+    ``read_archives`` is the way to it: a frame read by the format's name alone, filtered once and then
+    used without a filter, would see the first filter's records only.
+    """
 
     @classmethod
     def name(cls) -> str:
