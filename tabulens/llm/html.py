@@ -1,16 +1,16 @@
 """Main texts of web pages by wrapper induction over the pages of a host.
 
 A page is read into a tree of its block elements, neighbouring siblings of one kind being one node.
-The trees of a host are aligned, by simple tree matching, with that of its first page. Matched nodes
-whose text is the same on different pages are the host's template, the others are slots. A page's main
-text are the blocks of its article where it marks one, else those in slots that are not mostly links;
-menus, headers, footers and the like, known by tag, class or id, are never part of it.
+The trees of a host are aligned by the paths of their nodes, so that no page stands for the others. A
+block whose text stands at the same path on enough different pages is the host's template, the others
+are slots. A page's main text are the blocks of its article where it marks one, else those in slots
+that are not mostly links; menus, headers, footers and the like, known by tag, class or id, are never
+part of it.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,6 +27,7 @@ TOKEN = re.compile(
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 WORDS = re.compile(r"[a-z]+")
+NUMBERS = re.compile(r"\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 # Fixed by the HTML standard: elements without content, with raw text, and inside running text.
@@ -53,8 +54,8 @@ ASIDE_WORDS = set(
     " subscribe toolbar widget widgets".split()
 )
 MAIN = {"article", "main"}
-# Template nodes are the same on this share of at least so many different pages of a host.
-SAME, PAGES = 0.9, 3
+# Template blocks are on at least so many different pages of a host, and this share of those with their path.
+SAME, PAGES = 0.5, 3
 LINKED = 0.6
 # Elements nested deeper belong to the node that holds them.
 DEEPEST = 150
@@ -68,6 +69,7 @@ class Node:
     id: int = 0
     aside: bool = False
     main: bool = False
+    path: int = 0
     children: list[Node] = field(default_factory=list)
     blocks: list[int] = field(default_factory=list)
 
@@ -91,6 +93,17 @@ class Page:
         return plain(self.root)
 
 
+def _mark(text: str) -> int:
+    """A hash of 64 bits that fits a long; zero for no text."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if text else 0
+
+
+def block_mark(path: int, text: str) -> int:
+    return _mark(f"{path} {text}")
+
+
 def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """An element's key for matching, whether it stands aside, and whether it marks the main text."""
     key, aside, main = tag, tag in ASIDE_TAGS, tag in MAIN
@@ -218,7 +231,9 @@ def parse(text: str) -> Page:
         elif parent.children and parent.children[-1].key == key:
             node = parent.children[-1]
         else:
-            node = Node(key, len(page.nodes), aside or under or parent.aside, main or parent.main)
+            # Numbers in names tell pages apart, not places.
+            path = _mark(f"{parent.path} {NUMBERS.sub('0', key)}")
+            node = Node(key, len(page.nodes), aside or under or parent.aside, main or parent.main, path)
             parent.children.append(node)
             page.nodes.append(node)
         if not match.group(3).endswith("/") or tag not in ("svg", "path"):
@@ -275,45 +290,33 @@ def matched(one: list, other: list) -> tuple[int, list[tuple[int, int]]]:
     return total, pairs
 
 
-def _flat(skeleton: list) -> dict[int, list]:
-    out = {}
-    left = [skeleton]
-    while left:
-        node = left.pop()
-        out[node[1]] = node
-        left += node[5]
-    return out
-
-
-def votes(first: list, page: list) -> Iterator[tuple[int, int, int, int]]:
-    """For each node of ``first`` matched in ``page``: ``(id, same text, characters, linked)``."""
-    mine, other = _flat(first), _flat(page)
-    for a, b in matched(first, page)[1]:
-        if mine[a][3] or other[b][3]:
-            yield a, int(mine[a][2] == other[b][2]), other[b][3], other[b][4]
+def votes(page: Page) -> Iterator[tuple[int, int]]:
+    """``(path, block mark)`` once for each block and path of a page; the mark is 0 for the path itself."""
+    found = set()
+    for node in page.nodes:
+        if node.blocks and not node.aside:
+            found.add((node.path, 0))
+            found.update((node.path, block_mark(node.path, page.texts[b])) for b in node.blocks)
+    yield from found
 
 
 def main_text(page: Page, first: list | None, template: set[int], links: set[int]) -> str:
-    """The main text of a page, given its host's first skeleton and which of its nodes are template
-    or mostly links."""
-    fixed: set[int] = set()
+    """The main text of a page, given the block marks of its host's ``template``.
+
+    ``links`` are block marks to leave out on unmarked pages; ``first`` is not read.
+    """
     has_main = any(n.main and not n.aside and n.blocks for n in page.nodes)
-    if first is not None and not has_main:
-        fixed = {b for a, b in matched(first, page.skeleton())[1] if a in template or a in links}
     kept = []
     for node in page.nodes:
-        if node.aside or not node.blocks:
+        if node.aside or not node.blocks or (has_main and not node.main):
             continue
-        if has_main:
-            if not node.main:
-                continue
-        else:
-            if node.id in fixed:
-                continue
-            chars = sum(len(page.texts[b]) for b in node.blocks)
-            if sum(page.linked[b] for b in node.blocks) > LINKED * chars:
-                continue
-        kept += node.blocks
+        for b in node.blocks:
+            if not has_main:
+                if page.linked[b] > LINKED * len(page.texts[b]) or (links and block_mark(node.path, page.texts[b]) in links):
+                    continue
+                if template and block_mark(node.path, page.texts[b]) in template:
+                    continue
+            kept.append(b)
     return "\n".join(page.texts[b] for b in sorted(kept))
 
 
@@ -324,47 +327,29 @@ def host_of(url: Column) -> Column:
 
 
 def host_wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """One row per host: the skeleton of its first page, its template nodes and its link nodes.
+    """One row per host with a template: the marks of its blocks.
 
     All pages of a host vote, but one and the same text votes once however many pages have it. Votes
     are counted before they are shuffled, so a host with most of the pages is no burden.
     """
 
     def read(columns: list) -> Iterator[tuple]:
-        for key, host, source in zip(*columns, strict=True):
+        for host, source in zip(*columns, strict=True):
             page = parse(source)
-            mark = zlib.crc32("\n".join(page.texts).encode("utf-8", "surrogatepass"))
-            yield key, host, mark, json.dumps(page.skeleton(), separators=(",", ":"))
+            mark = _mark("\n".join(page.texts))
+            for path, block in votes(page):
+                yield host, path, block, mark
 
-    kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(
-        F.col(f"`{id_col}`").alias("id"),
         host_of(F.col(f"`{url_col}`")).alias("host"),
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"),
     )
-    read_pages = written(map_rows(rows, read, f"id {kind}, host string, mark long, skeleton string"), "skeletons")
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "skeleton")).alias("first")
-    first = read_pages.groupBy("host").agg(least).select("host", "first.skeleton", "first.mark")
-    first = written(first.withColumnsRenamed({"skeleton": "first", "mark": "first_mark"}), "first_pages")
-    # One page for each text of a host that is not the first page's.
-    others = read_pages.groupBy("host", "mark").agg(F.min("skeleton").alias("skeleton")).join(first, "host")
-
-    def vote(columns: list) -> Iterator[tuple]:
-        for host, skeleton, one in zip(*columns, strict=True):
-            for row in votes(json.loads(one), json.loads(skeleton)):
-                yield host, *row
-
-    cast = others.where("mark <> first_mark").select("host", "skeleton", "first")
-    counted = (
-        map_rows(cast, vote, "host string, node int, same int, chars long, linked long")
-        .groupBy("host", "node")
-        .agg(F.count("*").alias("n"), F.sum("same").alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    )
-    flags = counted.groupBy("host").agg(
-        F.collect_set(F.when((F.col("n") >= PAGES) & (F.col("same") >= SAME * F.col("n")), F.col("node"))).alias("template"),
-        F.collect_set(F.when(F.col("linked") > LINKED * F.col("chars"), F.col("node"))).alias("links"),
-    )
-    return written(first.select("host", "first").join(flags, "host", "left"), "wrappers")
+    cast = map_rows(rows, read, "host string, path long, block long, mark long")
+    counted = cast.groupBy("host", "path", "block").agg(F.count_distinct("mark").alias("n")).where(F.col("n") >= PAGES)
+    counted = written(counted, "votes")
+    paths = counted.where("block = 0").select("host", "path", F.col("n").alias("of"))
+    shared = counted.where("block <> 0").join(paths, ["host", "path"]).where(F.col("n") >= SAME * F.col("of"))
+    return written(shared.groupBy("host").agg(F.collect_set("block").alias("template")), "wrappers")
 
 
 def main_texts(
@@ -379,10 +364,11 @@ def main_texts(
     wrappers = host_wrappers(pages, id_col, url_col, html_col)
 
     def extract(columns: list) -> Iterator[tuple]:
-        for key, url, source, first, template, links in zip(*columns, strict=True):
-            text = main_text(
-                parse(source), json.loads(first) if first else None, set(template or ()), set(links or ())
-            )
+        held, marks = None, set()
+        for key, url, source, template in zip(*columns, strict=True):
+            if template is not held:
+                held, marks = template, set(template or ())
+            text = main_text(parse(source), None, marks, set())
             yield key, url, text, len(text)
 
     kind = pages.schema[id_col].dataType.simpleString()
@@ -393,7 +379,7 @@ def main_texts(
     )
     joined = rows.withColumn("host", host_of(F.col("url"))).join(wrappers, "host", "left")
     return map_rows(
-        joined.select("id", "url", "html", "first", "template", "links"),
+        joined.select("id", "url", "html", "template"),
         extract,
         f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long",
     )

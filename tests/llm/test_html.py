@@ -88,3 +88,16 @@ def test_template_of_a_host_without_marked_articles(spark):
         10: "only page", 11: "", 12: "", 13: "first text 0\nsecond text 0",
     }
     assert main_texts(pages.limit(0)).count() == 0
+
+
+def extracted(spark, sources):
+    rows = [(k, f"http://h.example/{k}", source) for k, source in enumerate(sources)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [r.text for r in main_texts(pages).orderBy("page_id").collect()]
+
+
+def test_template_of_every_layout_and_an_odd_first_page(spark):
+    one = "<div class=one><div>Rubric {}</div><p>text {}</p><div class=end>All rights 2024</div></div>"
+    two = "<section class=two><div>Other notice</div><p>text {}</p><h4>Other end</h4></section>"
+    sources = [one.format("A", 0).replace("2024", "1999"), *(one.format("A", k) for k in range(1, 8)), *(two.format(k) for k in range(8, 14))]
+    assert extracted(spark, sources) == ["text 0\nAll rights 1999", *(f"text {k}" for k in range(1, 14))]
