@@ -101,3 +101,10 @@ def test_template_of_every_layout_and_an_odd_first_page(spark):
     two = "<section class=two><div>Other notice</div><p>text {}</p><h4>Other end</h4></section>"
     sources = [one.format("A", 0).replace("2024", "1999"), *(one.format("A", k) for k in range(1, 8)), *(two.format(k) for k in range(8, 14))]
     assert extracted(spark, sources) == ["text 0\nAll rights 1999", *(f"text {k}" for k in range(1, 14))]
+
+
+def test_blocks_of_a_run_are_judged_one_by_one(spark):
+    links = "".join(f"<a href=/{k}>a long link to another page {k}</a> " for k in range(9))
+    pages = [f"<div><p>notice of the site</p><p>text {k}</p><p>more {k}</p><p>{links}</p></div>" for k in range(5)]
+    assert extracted(spark, pages) == [f"text {k}\nmore {k}" for k in range(5)]
+    assert main_text(parse(pages[0]), None, set(), set()) == "notice of the site\ntext 0\nmore 0"
