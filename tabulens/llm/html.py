@@ -3,8 +3,8 @@
 A page is read into a tree of its block elements, neighbouring siblings of one kind being one node.
 The trees of a host are aligned by the paths of their nodes, so that no page stands for the others. A
 block whose text stands at the same path on enough different pages is the host's template, the others
-are slots. A page's main text are the blocks of its article where it marks one, else those in slots
-that are not mostly links; menus, headers, footers and the like, known by tag, class or id, are never
+are slots. A page's main text are the slots of its article where it marks one, else the slots that are not
+mostly links; menus, headers, footers and the like, known by tag, class or id, are never
 part of it.
 """
 
@@ -303,19 +303,19 @@ def votes(page: Page) -> Iterator[tuple[int, int]]:
 def main_text(page: Page, first: list | None, template: set[int], links: set[int]) -> str:
     """The main text of a page, given the block marks of its host's ``template``.
 
-    ``links`` are block marks to leave out on unmarked pages; ``first`` is not read.
+    ``links`` are marks of more blocks to leave out; ``first`` is not read.
     """
     has_main = any(n.main and not n.aside and n.blocks for n in page.nodes)
-    kept = []
+    kept, out = [], template | links
     for node in page.nodes:
         if node.aside or not node.blocks or (has_main and not node.main):
             continue
         for b in node.blocks:
-            if not has_main:
-                if page.linked[b] > LINKED * len(page.texts[b]) or (links and block_mark(node.path, page.texts[b]) in links):
-                    continue
-                if template and block_mark(node.path, page.texts[b]) in template:
-                    continue
+            if not has_main and page.linked[b] > LINKED * len(page.texts[b]):
+                continue
+            # A marked article tells where to look; what all pages of the host say there is template too.
+            if out and block_mark(node.path, page.texts[b]) in out:
+                continue
             kept.append(b)
     return "\n".join(page.texts[b] for b in sorted(kept))
 

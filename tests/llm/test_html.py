@@ -108,3 +108,10 @@ def test_blocks_of_a_run_are_judged_one_by_one(spark):
     pages = [f"<div><p>notice of the site</p><p>text {k}</p><p>more {k}</p><p>{links}</p></div>" for k in range(5)]
     assert extracted(spark, pages) == [f"text {k}\nmore {k}" for k in range(5)]
     assert main_text(parse(pages[0]), None, set(), set()) == "notice of the site\ntext 0\nmore 0"
+
+
+def test_template_inside_marked_articles_and_without_the_marks(spark):
+    page = "<div class=top>Site</div><article class=post><p>Share this text</p><p>text {}</p><div>Standing notice</div></article>"
+    pages = [page.format(k) for k in range(5)]
+    assert extracted(spark, pages) == [f"text {k}" for k in range(5)]
+    assert extracted(spark, [p.replace("article", "div") for p in pages]) == [f"text {k}" for k in range(5)]
