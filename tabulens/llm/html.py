@@ -26,7 +26,7 @@ TOKEN = re.compile(
 )
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[^\W\d_]+")
 NUMBERS = re.compile(r"\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -45,8 +45,8 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}),
     **{t: ({"option"}, {"select"}) for t in ("option", "optgroup")},
 }
-# Parts of a page that are not its main text: by tag, and by a word of a class or id.
-ASIDE_TAGS = set("nav footer aside form button select head dialog figure svg object canvas audio video".split()) | RAW
+# Parts of a page that are not its main text: by tag, and by a class or id made of these words alone.
+ASIDE_TAGS = set("nav footer aside form button select head dialog svg object canvas audio video".split()) | RAW
 ASIDE_WORDS = set(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies"
     " copyright disqus footer form login masthead menu modal nav navbar navigation newsletter notice notices"
@@ -54,6 +54,8 @@ ASIDE_WORDS = set(
     " subscribe toolbar widget widgets".split()
 )
 MAIN = {"article", "main"}
+# Their ids are made from headings, and so say what the text is about.
+SLUGGED = set("h1 h2 h3 h4 h5 h6 section article main body html".split())
 # Template blocks are on at least so many different pages of a host, and this share of those with their path.
 SAME, PAGES = 0.5, 3
 LINKED = 0.6
@@ -104,15 +106,27 @@ def block_mark(path: int, text: str) -> int:
     return _mark(f"{path} {text}")
 
 
-def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's key for matching, whether it stands aside, and whether it marks the main text."""
+def _says_aside(name: str) -> bool:
+    words = WORDS.findall(name)
+    return bool(words) and ASIDE_WORDS.issuperset(words)
+
+
+def _kind(tag: str, attributes: str, in_main: bool) -> tuple[str, bool, bool]:
+    """An element's key for matching, whether it stands aside, and whether it marks the main text.
+
+    A class or id tells so as a whole, not by one of its words; ids do not inside the main text.
+    """
     key, aside, main = tag, tag in ASIDE_TAGS, tag in MAIN
     if attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
             if name in ("class", "id"):
                 key += f" {value}"
-                aside = aside or (tag not in ("body", "html") and not ASIDE_WORDS.isdisjoint(WORDS.findall(value)))
+                names = value.split()
+                if name == "class":
+                    aside = aside or (tag not in ("body", "html") and any(map(_says_aside, names)))
+                elif not in_main and tag not in SLUGGED:
+                    aside = aside or any(map(_says_aside, names))
             elif name == "role":
                 aside = aside or value in ("navigation", "banner", "contentinfo", "complementary", "search", "form")
                 main = main or value == "main"
@@ -222,7 +236,7 @@ def parse(text: str) -> Page:
                 if stack[k][0] in ends:
                     pop_to(k)
         close_block()
-        key, aside, main = _kind(tag, match.group(3))
+        key, aside, main = _kind(tag, match.group(3), stack_node().main)
         parent, under = stack_node(), stack[-1][2]
         if tag == "header" and not _inside_main(stack):
             aside = True

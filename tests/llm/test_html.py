@@ -115,3 +115,14 @@ def test_template_inside_marked_articles_and_without_the_marks(spark):
     pages = [page.format(k) for k in range(5)]
     assert extracted(spark, pages) == [f"text {k}" for k in range(5)]
     assert extracted(spark, [p.replace("article", "div") for p in pages]) == [f"text {k}" for k in range(5)]
+
+
+def test_names_that_only_hold_a_word_of_an_aside():
+    page = """<main><section id="related-work"><h2 id="search-algorithms">Search</h2><p>a</section>
+    <div id="form-and-function"><p>b</div><div id="search"><p>c</div><div class="social-history"><p>d</div>
+    <figure><pre>code</pre><figcaption>caption</figcaption></figure><div class="post share">no</div></main>"""
+    said = "Search\na\nb\nc\nd\ncode\ncaption"
+    assert main_text(parse(page), None, set(), set()) == said
+    bare = page.replace("<main>", "").replace("</main>", "").replace(' id="search"', "")
+    bare += "<div id=cookie-notice>no</div><ul class='nav-menu'><li>no</ul><h2 id=comments>Comments</h2>"
+    assert main_text(parse(bare), None, set(), set()) == said + "\nComments"
