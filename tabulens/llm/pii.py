@@ -9,6 +9,8 @@ numbers) are permuted without it and get the check that fits; dates are permuted
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ FIRST_DAY, DAYS = "1900-01-01", 270
 AREAS, REST = 898, 99 * 9999
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![\p{L}\d._%+@-])[\p{L}\d][\p{L}\d._%+-]*@[A-Za-z\d](?:[A-Za-z\d-]*[A-Za-z\d])?(?:\.[A-Za-z\d-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?:(?<![\p{L}\d._%+@-])|(?<=[._%+-])(?<![\p{L}\d@][._%+-]{1,64}))[\p{L}\d][\p{L}\d._%+-]*@[A-Za-z\d](?:[A-Za-z\d-]*[A-Za-z\d])?(?:\.[A-Za-z\d-]+)*\.[A-Za-z]{2,}"
 SECRET = r"(?i:(?<![A-Za-z])(?:token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z\d+/_=.-]{8,})"
 ADDRESS = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 ACCOUNT = r"(?<![A-Za-z\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"
@@ -41,6 +43,19 @@ KINDS = {
     "card": CARD,
 }
 ANY = "|".join(KINDS.values())
+# Kinds whose matches may hold a card where their own check fails; the other later kinds have marks that these lack,
+# or would have matched first.
+HOLDERS = ("account", "phone")
+# Characters of the account numbers of each country (ISO 13616 registry).
+ACCOUNT_LENGTHS = {
+    int(n): names.split()
+    for n, names in {
+        "15": "NO", "16": "BE", "18": "DK FI FO GL NL SD FK", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK",
+        "21": "CH CR HR LI LV", "22": "BG BH DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL",
+        "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM",
+        "28": "AL AZ BY CY DO GT HN HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU",
+    }.items()
+}
 # A text without any of these characters holds none of the kinds but a secret.
 HINT = r"[\d@]|(?i:token|secret|passw|pwd|key)"
 
@@ -129,13 +144,45 @@ def _mod97(chars: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    digits = _digits(value)
-    payload = permuted(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", (DIGITS,))
-    check = F.pmod(-_luhn_sum(payload, 0), F.lit(10)).cast("string")
-    return F.when(_luhn_sum(digits, 1) % 10 == 0, _refilled(value, F.concat(payload, check))).otherwise(value)
+    """The first run of whole groups with 13 to 19 digits and a right check sum, the longest at its place."""
+    size = F.length(value)
+    parts = lambda i: F.substr(value, i, F.lit(1)).isin(" ", "-")
+    places = F.sequence(F.lit(1), size)
+    starts = F.filter(places, lambda i: (i == 1) | parts(i - 1))
+    ends = F.reverse(F.filter(places, lambda i: (i == size) | parts(i + 1)))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(ends, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    digits_of = lambda r: _digits(F.substr(value, r["i"], F.greatest(r["j"] - r["i"] + 1, F.lit(0))))
+    long = F.filter(runs, lambda r: F.length(digits_of(r)).between(13, 19))
+    right = F.filter(long, lambda r: _luhn_sum(digits_of(r), 1) % 10 == 0)
+
+    def told(run: Column) -> Column:
+        digits, held = digits_of(run), F.substr(value, run["i"], run["j"] - run["i"] + 1)
+        payload = permuted(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", (DIGITS,))
+        check = F.pmod(-_luhn_sum(payload, 0), F.lit(10)).cast("string")
+        before, after = F.substr(value, F.lit(1), run["i"] - 1), F.substr(value, run["j"] + 1, size)
+        return F.concat(before, _refilled(held, F.concat(payload, check)), after)
+
+    return F.coalesce(F.get(F.transform(F.slice(right, 1, 1), told), F.lit(0)), value)
 
 
 def _account(value: Column, key: str) -> Column:
+    """The whole match where its check is right, else as many characters as the country's numbers have."""
+    size = F.lit(0)
+    for n, countries in ACCOUNT_LENGTHS.items():
+        size = F.when(F.substr(value, F.lit(1), F.lit(2)).isin(*countries), n).otherwise(size)
+    bare = F.regexp_replace(value, " ", "")
+    start = F.filter(
+        F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substr(value, F.lit(1), i)),
+        lambda v: ~v.endswith(" ") & (F.length(F.regexp_replace(v, " ", "")) == size)
+        & (F.substr(value, F.length(v) + 1, F.lit(1)) == " "),
+    )
+    tried = F.when(_mod97(bare) == 1, value).otherwise(F.coalesce(F.get(start, F.lit(0)), value))
+    return F.transform(
+        F.array(tried), lambda v: F.concat(_whole_account(v, key), F.substr(value, F.length(v) + 1, F.length(value)))
+    )[0]
+
+
+def _whole_account(value: Column, key: str) -> Column:
     bare = F.regexp_replace(value, " ", "")
     body = permuted(F.substr(bare, F.lit(5), F.length(bare)), key, "account", (DIGITS, CAPITAL))
     country = F.substr(bare, F.lit(1), F.lit(2))
@@ -295,15 +342,22 @@ MAKERS = {
 }
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of a match of ``ANY``; a number that fails its check stays as it is.
+def _unless(value: Column, inner: Column) -> Callable[[Column], Column]:
+    return lambda told: F.when(told == value, inner).otherwise(told)
+
+
+def pseudonym(value: Column, key: str, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
+    """The pseudonym of a match of ``kinds``; a number that fails its check stays as it is.
 
-    What starts like one kind and fails its check is tried as the later kinds.
+    What starts like an account or phone number and fails its check is searched for cards.
     """
     out = value
-    for kind, pattern in reversed(KINDS.items()):
+    for kind in reversed(kinds):
         own = MAKERS[kind](value, key)
-        out = F.when(value.rlike(f"^(?:{pattern})$"), own).otherwise(out)
+        if kind in HOLDERS:
+            held = F.regexp_extract_all(value, F.lit(CARD), F.lit(0))
+            own = F.transform(F.array(own), _unless(value, replaced(value, held, key, ("card",))))[0]
+        out = F.when(value.rlike(f"^(?:{KINDS[kind]})$"), own).otherwise(out)
     return out
 
 
@@ -322,9 +376,9 @@ def found_in(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
 
-def replaced(text: Column, found: Column, key: str) -> Column:
-    between = F.split(text, ANY, -1)
-    values = F.transform(found, lambda v: pseudonym(v, key))
+def replaced(text: Column, found: Column, key: str, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
+    between = F.split(text, "|".join(KINDS[k] for k in kinds), -1)
+    values = F.transform(found, lambda v: pseudonym(v, key, kinds))
     joined = F.zip_with(between, values, lambda b, v: F.concat(b, F.coalesce(v, F.lit(""))))
     return F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(text)
 

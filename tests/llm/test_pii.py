@@ -120,3 +120,25 @@ def test_odd_rows(spark):
     long = run(spark, ["1" * 5000 + " a@b.co " + "y " * 20000, "@" * 3000, "." * 3000, "+1 " * 2000])
     assert "a@b.co" not in long[0] and long[1:] == ["@" * 3000, "." * 3000, "+1 " * 2000]
     assert re.compile(CARD) and ANY
+
+
+def test_values_inside_longer_matches(spark):
+    lines = [
+        "4111 1111 1111 1111 12/25",
+        "4111 1111 1111 1111 123",
+        "12 4111 1111 1111 1111",
+        "AT61 1904 3002 3457 3201 I paid",
+        "AT61 1904 3002 3457 3201 PAID NOW",
+        "ID12 4111 1111 1111 1111",
+        "+41 4111 1111 1111 1111",
+        "_jane@x.org_ -jane@x.org ..jane@x.org",
+        "4111 1111 1111 1112 12/25",
+    ]
+    told = run(spark, lines)
+    card, account = run(spark, ["4111 1111 1111 1111", "AT61 1904 3002 3457 3201"])
+    email = run(spark, ["jane@x.org"])[0]
+    assert card != "4111 1111 1111 1111" and account != "AT61 1904 3002 3457 3201" and email != "jane@x.org"
+    assert told == [
+        f"{card} 12/25", f"{card} 123", f"12 {card}", f"{account} I paid", f"{account} PAID NOW", f"ID12 {card}",
+        f"+41 {card}", f"_{email}_ -{email} ..{email}", lines[-1],
+    ]
