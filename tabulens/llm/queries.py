@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabulens.llm.common import read_table
 from tabulens.llm.html import main_texts
 from tabulens.llm.mixing import mixed
 from tabulens.llm.packing import pack_documents
+from tabulens.llm.periods import periodic_runs, planted
 from tabulens.llm.phrases import edited_likeness
 from tabulens.llm.pii import private_values
 from tabulens.llm.quality import quality_rules
@@ -81,6 +83,27 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, a tenth of them with planted ends, and digests of what collapsing leaves."""
+    found = periodic_runs(planted(read_table(spark, sf_dir, "documents")))
+    ranked = F.transform("runs", lambda r: F.struct(r.length, (-r.start).alias("before"), (-r.period).alias("finer")))
+    best = F.array_max(ranked)
+    listed = F.transform(
+        "runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string"))
+    )
+    lines = F.array_join(F.transform(listed, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-best["before"]).alias("start"),
+        best["length"].alias("length"),
+        (-best["finer"]).alias("period"),
+        F.floor(F.lit(1000) * best["length"] / -best["finer"]).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -92,6 +115,7 @@ QUERIES = {
     "op8_main_texts": op8_main_texts,
     "op9_phrase_fingerprints": op9_phrase_fingerprints,
     "op10_simhash_components": op10_simhash_components,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ARCHIVED = """WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
