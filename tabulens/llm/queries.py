@@ -10,6 +10,7 @@ from tabulens.llm.chat_tree import prefix_tree, read_back
 from tabulens.llm.common import read_table
 from tabulens.llm.html import main_texts
 from tabulens.llm.mixing import mixed
+from tabulens.llm.negatives import hard_negatives
 from tabulens.llm.packing import pack_documents
 from tabulens.llm.periods import periodic_runs, planted
 from tabulens.llm.phrases import edited_likeness
@@ -125,6 +126,13 @@ def op12_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the labels of every seventh are one on."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -138,6 +146,7 @@ QUERIES = {
     "op10_simhash_components": op10_simhash_components,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_chat_tree": op12_chat_tree,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ARCHIVED = """WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -168,5 +177,24 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length(learnt))::BIGINT AS loss_chars, sha256(string_agg(learnt, '' ORDER BY turn, role)) AS loss_sha256,
   sum(formatted)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
-
-ORACLE = {"op6_warc": ARCHIVED, "op8_main_texts": MAIN_TEXTS, "op12_chat_tree": CHAT}
+NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+ORACLE = {
+    "op6_warc": ARCHIVED,
+    "op8_main_texts": MAIN_TEXTS,
+    "op12_chat_tree": CHAT,
+    "op13_hard_negatives": NEGATIVES,
+}
