@@ -88,6 +88,11 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """``id, label, text`` with one text for each id and label, that of least hash, however often it comes."""
+    return rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage is cut, any executor may be lost."""
     path = scratch_dir(df.sparkSession, label)

@@ -9,17 +9,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import map_rows, ship, text_of
+from tabulens.llm.common import map_rows, map_stream, one_text_each, ship, text_of
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PCT = 30
-# Labelled rows the classifier is fitted on at most, those with the least hash of their id.
-SAMPLE = 3000
+# Labelled rows the classifier is fitted on at most, those with the least hash of their id, and
+# characters of their texts; beyond these the longest texts are left out.
+SAMPLE, SAMPLE_CHARS = 3000, 24_000_000
 # N-grams of fewer texts of the sample have no weight.
 LEAST_TEXTS = 4
 # Texts whose calibrated probability of being good is below this are rejected.
@@ -122,46 +123,80 @@ class Classifier:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """``label, text`` of at most about ``most`` labelled rows: the ids of least hash."""
+    """``id, label, text`` of at most ``most`` labelled ids, those of least hash.
+
+    An id labelled twice has its least label; of several texts of an id that of least hash is taken.
+    """
     picked = (
         labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
         .dropna()
-        .orderBy(F.xxhash64("id"), "id", "label")
+        .groupBy("id")
+        .agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(most)
     )
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of("text").alias("text"))
-    return texts.join(F.broadcast(picked), "id").select("id", "label", "text")
+    rows = one_text_each(texts.join(F.broadcast(picked), "id"))
+    # At most ``most`` rows: one small group.
+    upto = Window.orderBy(F.length("text"), "id")
+    return rows.withColumn("chars", F.sum(F.length("text")).over(upto)).where(F.col("chars") <= SAMPLE_CHARS).drop("chars")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int = SAMPLE) -> Classifier | None:
     """A classifier of ``labels.quality``, or None where the labelled rows have one class only.
 
     Four fifths of a sample of at most ``most`` labelled rows fit the weights, the others calibrate
-    the probabilities (a logistic curve over their scores). N-grams are counted in the executors.
+    the probabilities (a logistic curve over their scores). The bounded sample is fitted in one task;
+    only its weights come to the driver.
     """
 
     def features(columns: list) -> Iterator[tuple]:
         for key, label, text in zip(*columns, strict=True):
-            share: dict[int, float] = {}
+            buckets, shares = [], []
             for k, family in enumerate(grams(read(text))):
                 values, times = np.unique(family, return_counts=True)
-                for v, n in zip(values.tolist(), times.tolist(), strict=True):
-                    share[k * BUCKETS + v] = n / len(family)
-            yield key, label, list(share), list(share.values())
+                buckets.append((k * BUCKETS + values).astype(np.int32))
+                shares.append((times / max(1, len(family))).astype(np.float32))
+            yield key, label, np.concatenate(buckets).tobytes(), np.concatenate(shares).tobytes()
+
+    def learn(batches: Iterator[list]) -> Iterator[tuple]:
+        labelled, folds, buckets, shares = [], [], [], []
+        for label, fold, columns, values in batches:
+            labelled += label
+            folds += fold
+            buckets += [np.frombuffer(c, np.int32) for c in columns]
+            shares += [np.frombuffer(v, np.float32) for v in values]
+        y, fold = np.array(labelled, float), np.array(folds)
+        if len(set(labelled)) == 2:
+            model = _learnt(buckets, shares, y, fold != 0)
+            yield model.weights.tobytes(), model.bias, model.slope, model.shift
 
     sample = labelled_sample(docs, labels, id_col, "quality", most)
     kind = dict(sample.dtypes)["id"]
-    rows = map_rows(sample, features, f"id {kind}, label int, buckets array<int>, shares array<float>")
-    table = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(5))).toArrow()
-    y = table.column("label").to_numpy().astype(float)
-    if len(set(y.tolist())) < 2:
+    rows = map_rows(sample, features, f"id {kind}, label int, buckets binary, shares binary")
+    fold = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(5)).cast("int")
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("label", fold, "buckets", "shares")
+    found = map_stream(one, learn, "weights binary, bias double, slope double, shift double").first()
+    if found is None:
         return None
-    buckets, shares = (table.column(c).combine_chunks() for c in ("buckets", "shares"))
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(buckets.offsets.to_numpy()))
-    column = buckets.flatten().to_numpy()
-    often = np.bincount(column, minlength=len(FAMILIES) * BUCKETS)[column] >= min(LEAST_TEXTS, len(y))
-    x = Sparse(row[often], column[often], shares.flatten().to_numpy()[often], len(y))
-    train = table.column("fold").to_numpy() != 0
+    weights = np.frombuffer(found.weights, np.float32).reshape(len(FAMILIES), BUCKETS)
+    return Classifier(weights, found.bias, found.slope, found.shift)
+
+
+def _learnt(buckets: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, train: np.ndarray) -> Classifier:
+    """The classifier of texts given by their buckets and the shares of these."""
+    size = len(FAMILIES) * BUCKETS
+    texts = np.zeros(size, np.int64)
+    for columns in buckets:
+        texts[columns] += 1
+    often = texts >= min(LEAST_TEXTS, len(y))
+    for k, columns in enumerate(buckets):
+        kept = often[columns]
+        buckets[k], shares[k] = columns[kept], shares[k][kept]
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c in buckets])
+    x = Sparse(row, np.concatenate(buckets), np.concatenate(shares), len(y))
+    buckets.clear()
+    shares.clear()
     if len(set(y[train].tolist())) < 2:
         train[:] = True
     weights, bias = _logistic(x, y, train)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import map_rows, text_of
+from tabulens.llm.common import map_rows, one_text_each, text_of
 
 # Labelled rows of each class that the tagger is fitted on at most (those with the least hash of
 # their id), and the characters of them at most.
@@ -148,19 +148,23 @@ def summaries(marginal: np.ndarray, odds: np.ndarray, sizes: np.ndarray) -> np.n
 def labelled_texts(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, chars: int
 ) -> list[tuple[int, str]]:
-    """``(label, text)`` of a bounded sample of the labelled rows outside the held-out fold."""
+    """``(label, text)`` of a bounded sample of the labelled rows outside the held-out fold.
+
+    Repeated rows count once; of several texts of one id that of least hash is taken.
+    """
     key = F.col(f"`{id_col}`")
     chosen = (
         labels.select(key.alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
         .dropna()
         .where(~held_out("id"))
+        .distinct()
     )
     order = (F.xxhash64(F.lit(3), "id"), "id")
     chosen = chosen.where("label = 1").orderBy(*order).limit(most).union(
         chosen.where("label = 0").orderBy(*order).limit(most)
     )
     texts = docs.select(key.alias("id"), text_of(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
+    rows = one_text_each(texts.join(F.broadcast(chosen), "id"))
     # At most 2 * most rows: one small group.
     upto = Window.partitionBy("label").orderBy(F.length("text"), "id")
     rows = rows.withColumn("chars", F.sum(F.length("text")).over(upto)).where(F.col("chars") <= chars)

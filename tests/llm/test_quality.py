@@ -3,7 +3,7 @@ from collections import Counter
 
 from frames import SF, no_docs, odd_docs, table, texts
 
-from tabulens.llm.quality import counts, keep_good, quality_rules, read
+from tabulens.llm.quality import counts, keep_good, labelled_sample, quality_rules, read
 from tabulens.llm.queries import op1_quality_rules
 
 
@@ -65,3 +65,10 @@ def test_odd_rows_and_missing_labels(spark):
     assert quality_rules(no_docs(spark), none).count() == 0
     odd = spark.createDataFrame([(1, None, 0), (None, 1, 1), (6, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality_rules(docs, odd).count() == 9
+
+
+def test_sample_is_bounded_under_repeated_ids(spark):
+    docs = spark.range(5000).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(7, 1)] * 50 + [(7, 0)], "doc_id long, quality int")
+    rows = labelled_sample(docs, labels, "doc_id", "quality", 3000).collect()
+    assert [(r.id, r.label) for r in rows] == [(7, 0)]

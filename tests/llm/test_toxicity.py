@@ -5,7 +5,7 @@ import numpy as np
 from frames import SF, no_docs, odd_docs, table
 
 from tabulens.llm.queries import op4_toxicity
-from tabulens.llm.toxicity import chain, fit, tokens, toxicity
+from tabulens.llm.toxicity import chain, fit, labelled_texts, tokens, toxicity
 
 
 def test_query_scores_held_out_documents(spark):
@@ -85,3 +85,10 @@ def test_odd_rows(spark):
     told = toxicity(odd_docs(spark).select("doc_id", "text"), table(spark, "labels")).collect()
     assert len(told) == 9
     assert toxicity(no_docs(spark), table(spark, "labels")).count() == 0
+
+
+def test_sample_is_bounded_under_repeated_ids(spark):
+    docs = spark.range(5000).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(7, 1)] * 50 + [(7, 0)], "doc_id long, toxic int")
+    rows = labelled_texts(docs, labels, "doc_id", "text", "toxic", 2000, 1 << 22)
+    assert sorted(label for label, _ in rows) == [0, 1] and len({text for _, text in rows}) == 1
