@@ -29,6 +29,7 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 FAMILIES = ("byte pairs", "byte fours", "words", "word pairs")
 ODD = np.uint64(0x9E3779B97F4A7C15)
+CELLS = 1 << 20
 
 
 class Counts(NamedTuple):
@@ -194,13 +195,15 @@ def _learnt(buckets: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray,
         kept = often[columns]
         buckets[k], shares[k] = columns[kept], shares[k][kept]
     row = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c in buckets])
-    x = Sparse(row, np.concatenate(buckets), np.concatenate(shares), len(y))
+    column, value = np.concatenate(buckets), np.concatenate(shares)
     buckets.clear()
     shares.clear()
+    x = Sparse(row, column, value, len(y))
     if len(set(y[train].tolist())) < 2:
         train[:] = True
-    weights, bias = _logistic(x, y, train)
+    weights, bias, usual = _logistic(x, y, train)
     score = x.dot(weights) + bias
+    weights /= usual
     held = ~train if len(set(y[~train].tolist())) == 2 else train
     slope, shift = _curve(score[held], y[held])
     return Classifier(weights.reshape(len(FAMILIES), BUCKETS).astype(np.float32), bias, slope, shift)
@@ -215,31 +218,49 @@ class Sparse:
     value: np.ndarray
     rows: int
 
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The cells, some at a time, so that nothing of their number is made of them."""
+        for k in range(0, len(self.row), CELLS):
+            yield self.row[k : k + CELLS], self.column[k : k + CELLS], self.value[k : k + CELLS]
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.column] * self.value, self.rows)
+        return sum(
+            (np.bincount(row, weights[column] * value, self.rows) for row, column, value in self.slices()),
+            np.zeros(self.rows),
+        )
 
     def back(self, errors: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.column, errors[self.row] * self.value, size)
+        return sum(
+            (np.bincount(column, errors[row] * value, size) for row, column, value in self.slices()),
+            np.zeros(size),
+        )
 
+    def divide(self, by: np.ndarray) -> None:
+        for _, column, value in self.slices():
+            value /= by[column]
 
-def _logistic(x: Sparse, y: np.ndarray, train: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Weights by gradient steps that adapt to each bucket; classes count alike."""
+
+def _logistic(x: Sparse, y: np.ndarray, train: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights by gradient steps that adapt to each bucket; classes count alike.
+
+    Divides the cells of ``x`` by the usual size of their bucket, which comes third.
+    """
     size = len(FAMILIES) * BUCKETS
     part = np.where(y == 1, 0.5 / max(1, (y[train] == 1).sum()), 0.5 / max(1, (y[train] == 0).sum())) * train
     # A bucket's share is taken against its usual size, so rare and common n-grams can weigh alike.
-    usual = np.sqrt(np.bincount(x.column, x.value * part[x.row], size) + 1e-3)
-    scaled = Sparse(x.row, x.column, (x.value / usual[x.column]).astype(np.float32), x.rows)
+    usual = np.sqrt(x.back(part, size) + 1e-3)
+    x.divide(usual)
     weights, bias = np.zeros(size), 0.0
     power, bias_power = np.full(size, 1e-10), 1e-10
     for _ in range(rounds):
-        guess = 1 / (1 + np.exp(-np.clip(scaled.dot(weights) + bias, -30, 30)))
+        guess = 1 / (1 + np.exp(-np.clip(x.dot(weights) + bias, -30, 30)))
         errors = (guess - y) * part
-        step = scaled.back(errors, size) + 1e-5 * weights
+        step = x.back(errors, size) + 1e-5 * weights
         power += step**2
         bias_power += errors.sum() ** 2
         weights -= 0.1 * step / np.sqrt(power)
         bias -= 0.1 * errors.sum() / np.sqrt(bias_power)
-    return weights / usual, float(bias)
+    return weights, float(bias), usual
 
 
 def _curve(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
