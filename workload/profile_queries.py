@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tabulens.operators import grain, quality, semantics, structure
 from tabulens.operators.columns import column_facts
 from tabulens.operators.duplicates import duplicate_row_pct
 from tabulens.operators.histograms import profile_histograms
+from tabulens.operators.keys import minimal_keys
 from tabulens.plans.profile import infer_structure, profile
 from tabulens.plans.profile import sampled_profile as sampled_profile_of
 from tabulens.session import small_frame, together
@@ -303,7 +305,7 @@ MEASURES = f"""{FACTS}, scored AS (SELECT dataset, ordinal, column_name,
     (PARTITION BY dataset ORDER BY round(raw, 4) DESC, ordinal) AS INTEGER) AS rank
   FROM scored QUALIFY rank <= 20"""
 
-LINE_POOL = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"]
+LINE_POOL = [name for name, _ in LINEITEM_COLUMNS]
 EVENT_POOL = ["user_id", "event_id", "props", "event_type", "ts"]
 EVENT_KEYS = [[c] for c in EVENT_POOL] + [
     [a, b] for i, a in enumerate(EVENT_POOL) for b in EVENT_POOL[i + 1 :]
@@ -330,6 +332,16 @@ def _keys_sql(dataset: str, source: str, keys: list[list[str]], keep: int) -> st
       FROM ranked WHERE rank <= {keep}"""
 
 
+ORDER_NAMES = [name for name, _ in ORDERS_COLUMNS]
+ORDER_SETS = [list(s) for size in range(1, 7) for s in combinations(ORDER_NAMES, size)]
+# Every set of columns is counted; a key is minimal if no smaller one lies in it.
+MINIMAL_KEYS = f"""{sql.tuple_counts("SELECT * FROM orders", ORDER_SETS)}
+  , k AS (SELECT position, columns, size, string_split(columns, ' + ') AS parts FROM c
+    WHERE distinct_count = row_count)
+  SELECT 'orders' AS dataset, CAST(row_number() OVER (ORDER BY position) AS INTEGER) AS rank,
+    columns, CAST(size AS INTEGER) AS width FROM k
+  WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.size < k.size AND list_has_all(k.parts, o.parts))"""
+
 CONV_KEYS = [["conv_id"], ["conv_id", "turn"], ["conv_id", "role"], ["turn", "role"]]
 
 PRIMARY_GRAIN = f"""{sql.tuple_counts("SELECT * FROM events", EVENT_KEYS)}{sql.RANKED_KEYS}
@@ -477,8 +489,11 @@ QUERIES = {
         4, "score",
     ),
     "grain_key_candidates": lambda s, d: _keys(
-        grain.grain_key_candidates(table(s, d, "lineitem"), "lineitem", LINE_POOL)
+        grain.grain_key_candidates(
+            table(s, d, "lineitem"), "lineitem", LINE_POOL, max_pairs=None, max_triples=None
+        )
     ),
+    "minimal_keys": lambda s, d: _keys(minimal_keys(table(s, d, "orders"), "orders")),
     "validate_grain": lambda s, d: _keys(
         grain.validate_grain(table(s, d, "conversations"), "conversations", CONV_KEYS)
     ),
@@ -568,6 +583,7 @@ ORACLE = {
     "entity_columns": f"{FACTS}{sql.ENTITIES} SELECT * FROM e",
     "key_candidate_pool": POOL,
     "grain_key_candidates": _keys_sql("lineitem", "SELECT * FROM lineitem", LINE_KEYS, 15),
+    "minimal_keys": MINIMAL_KEYS,
     "validate_grain": _keys_sql("conversations", "SELECT * FROM conversations", CONV_KEYS, 15),
     "primary_grain": PRIMARY_GRAIN,
     "measure_ranking": MEASURES,

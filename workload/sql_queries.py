@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens.operators.joins import asof_join
+from tabulens.operators.ranges import range_join
 from tabulens.plans.governed import GovernedSession
 from workload.inputs import GAPPY_SQL, gappy_events, table
 
@@ -54,6 +55,44 @@ THETA = """SELECT b.band, count(*) AS n, round(sum(o.o_totalprice), 2) AS total
     AS b(band, lo, hi) ON o.o_totalprice >= b.lo AND o.o_totalprice < b.hi
   GROUP BY b.band"""
 
+RANGE = """SELECT o_orderpriority, o_orderstatus, count(*) AS n, count(DISTINCT o_orderkey) AS orders,
+  round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN orders
+  ON l_extendedprice BETWEEN o_totalprice * 0.9995 AND o_totalprice * 1.0005 GROUP BY 1, 2"""
+
+NEARBY = """SELECT p.event_id AS purchase, count(*) AS n, count(DISTINCT e.user_id) AS users,
+  count(*) FILTER (WHERE e.event_type = 'error') AS errors FROM events e
+  JOIN (SELECT event_id, ts AS begins, ts + INTERVAL 90 SECONDS AS ends FROM events
+    WHERE event_type = 'purchase') p ON e.ts >= p.begins AND e.ts < p.ends GROUP BY 1"""
+
+
+def price_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items whose price lies within a two-thousandth of an order's total."""
+    total = F.col("o_totalprice")
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderpriority", "o_orderstatus", (total * 0.9995).alias("lo"), (total * 1.0005).alias("hi")
+    )
+    items = table(spark, sf, "lineitem").select("l_extendedprice")
+    return range_join(items, orders, "l_extendedprice", "lo", "hi").groupBy("o_orderpriority", "o_orderstatus").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("o_orderkey").alias("orders"),
+        F.round(F.sum("l_extendedprice"), 2).alias("total"),
+    )
+
+
+def events_nearby(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of the 90 seconds from each purchase on."""
+    events = table(spark, sf, "events")
+    bought = events.where("event_type = 'purchase'").select(
+        F.col("event_id").alias("purchase"), F.col("ts").alias("begins"), F.expr("ts + INTERVAL 90 SECONDS").alias("ends")
+    )
+    seen = events.select("ts", "user_id", "event_type")
+    return range_join(seen, bought, "ts", "begins", "ends", include_high=False).groupBy("purchase").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("user_id").alias("users"),
+        F.count_if(F.col("event_type") == "error").alias("errors"),
+    )
+
+
 AGGREGATION = """SELECT l_returnflag, l_linestatus, CAST(GROUPING(l_returnflag) AS BIGINT) AS flag_rolled,
   count(*) AS n, count(DISTINCT l_suppkey) AS suppliers,
   count(*) FILTER (WHERE l_quantity > 25) AS bulky, round(avg(l_extendedprice), 4) AS avg_price
@@ -183,6 +222,8 @@ QUERIES = {
     "sql_semi_anti_joins": _run("customer", "orders", "part", "lineitem")(SEMI_ANTI),
     "sql_theta_join": _run("orders")(THETA),
     "sql_asof_join": sql_asof_join,
+    "range_join_prices": price_ranges,
+    "range_join_times": events_nearby,
     "sql_aggregation": _run("lineitem")(AGGREGATION),
     "sql_cube": _run("part")(CUBE),
     "sql_window": _run("events")(WINDOW),
@@ -204,6 +245,8 @@ ORACLE = {
     "sql_semi_anti_joins": SEMI_ANTI,
     "sql_theta_join": THETA,
     "sql_asof_join": ASOF,
+    "range_join_prices": RANGE,
+    "range_join_times": NEARBY,
     "sql_aggregation": AGGREGATION,
     "sql_cube": CUBE,
     "sql_window": WINDOW,
