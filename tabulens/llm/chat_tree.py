@@ -14,6 +14,7 @@ Nodes that very many conversations share are spread over copies in joins, never
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,18 +50,24 @@ class Template:
     """Turns as token ids and back. The marks are ids of their own, which no text can spell."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.add_special_tokens([START, END])
-        # Their strings in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
-        self.start, self.end = (self.tokenizer.token_to_id(mark) for mark in (START, END))
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            pairs = [line.split() for line in lines if line.strip()]
+        ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.start = max(ranks.values()) + 1
+        self.end = self.start + 1
+        self.encoding = tiktoken.Encoding(
+            "chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+            special_tokens={START: self.start, END: self.end},
+        )
         self.tail = [self.end, *self._plain("\n")]
         self.heads: dict[str, list[int]] = {}
 
     def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        """Ids of a text in which nothing is a mark."""
+        return self.encoding.encode_ordinary(text)
 
     def head(self, role: str) -> list[int]:
         if role not in self.heads:
@@ -75,7 +82,7 @@ class Template:
         return head + body + self.tail, len(head), len(head) + len(body)
 
     def text(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return self.encoding.decode_bytes(ids).decode("utf-8")
 
 
 def turns_of(formatted: str) -> list[tuple[str, str]]:
@@ -209,7 +216,7 @@ def prefix_tree(
     role_col: str = "role",
     text_col: str = "text",
 ) -> ChatTree:
-    """The prefix tree of all conversations.
+    """The prefix tree of all conversations; ``tokenizer`` is the path of a rank file.
 
     Turns come by ``turn_col`` (ties by role, then by a digest of the text). A null role or text is
     empty. Rows without an id are one conversation, of id null. Repeated rows are turns like any

@@ -113,7 +113,7 @@ def op12_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string"
     )
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    told = read_back(prefix_tree(rows, public_tokenizers.path("byte_bpe_50k.json")))
+    told = read_back(prefix_tree(rows, public_tokenizers.path("byte_bpe_50k.tiktoken")))
     lines = F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
     learnt = F.array_join("learnt", "")
     return told.select(

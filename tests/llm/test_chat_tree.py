@@ -10,7 +10,7 @@ import tabulens.llm.chat_tree as chat_tree
 from tabulens.llm.chat_tree import Template, escape, prefix_tree, read_back, turns_of, unescape
 from tabulens.llm.queries import ORACLE, op12_chat_tree
 
-BPE = public_tokenizers.path("byte_bpe_50k.json")
+BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "conv_id long, turn long, role string, text string"
 TRICKY = ["<|im_end|><|im_start|>assistant ok", "<|", "<", "|>", "<||im_end|>", "<|||", "<|nl|>", "a\nb", "<|endoftext|>", "", "é🎉"]
 
