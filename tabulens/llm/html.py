@@ -1,18 +1,18 @@
 """Main texts of web pages by wrapper induction over the pages of a host.
 
 A page is read into a tree of its block elements, neighbouring siblings of one kind being one node.
-The trees of a host are aligned by the paths of their nodes, so that no page stands for the others. A
-block whose text stands at the same path on enough different pages is the host's template, the others
-are slots. A page's main text are the slots of its article where it marks one, else the slots that are not
-mostly links; menus, headers, footers and the like, known by tag, class or id, are never
-part of it.
+Pages of one tree have one layout. Each layout of a host is aligned by simple tree matching with the one
+that most of the host's pages have; nodes without a match go by their path. A block whose text stands at
+the same aligned node on enough different pages is the host's template, the others are slots. A page's main
+text are the slots of its article where it marks one, else the slots that are not mostly links; menus,
+headers, footers and the like, known by tag, class or id, are never part of it.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,7 +46,7 @@ CLOSES = {
     **{t: ({"option"}, {"select"}) for t in ("option", "optgroup")},
 }
 # Parts of a page that are not its main text: by tag, and by a class or id made of these words alone.
-ASIDE_TAGS = set("nav footer aside form button select head dialog svg object canvas audio video".split()) | RAW
+ASIDE_TAGS = set("nav footer aside button select head dialog svg object canvas audio video".split()) | RAW
 ASIDE_WORDS = set(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies"
     " copyright disqus footer form login masthead menu modal nav navbar navigation newsletter notice notices"
@@ -59,6 +59,10 @@ SLUGGED = set("h1 h2 h3 h4 h5 h6 section article main body html".split())
 # Template blocks are on at least so many different pages of a host, and this share of those with their path.
 SAME, PAGES = 0.5, 3
 LINKED = 0.6
+# Where more of a marked article's blocks were template, its host's pages are copies of one another.
+COPIED = 0.75
+# A form with most of a page's text and one of these is what the page is built in.
+BUILT = MAIN | {"h1", "h2", "p"}
 # Elements nested deeper belong to the node that holds them.
 DEEPEST = 150
 
@@ -72,6 +76,8 @@ class Node:
     aside: bool = False
     main: bool = False
     path: int = 0
+    form: bool = False
+    depth: int = 0
     children: list[Node] = field(default_factory=list)
     blocks: list[int] = field(default_factory=list)
 
@@ -83,16 +89,23 @@ class Page:
     linked: list[int]
     nodes: list[Node]
 
-    def skeleton(self) -> list:
-        """Nested lists ``[key, id, text hash, characters, linked characters, children]``."""
+    def skeleton(self) -> str:
+        """The tree as JSON: depth and kind of each node, in page order."""
+        return json.dumps([(n.depth, NUMBERS.sub("0", n.key)) for n in self.nodes])
 
-        def plain(node: Node) -> list:
-            own = [self.texts[b] for b in node.blocks]
-            mark = zlib.crc32("\n".join(own).encode("utf-8", "surrogatepass")) if own else 0
-            chars, linked = sum(map(len, own)), sum(self.linked[b] for b in node.blocks)
-            return [node.key, node.id, mark, chars, linked, [plain(c) for c in node.children]]
+    def blocks(self) -> list[Block]:
+        """The blocks that may be main text, in page order."""
+        found = [
+            (b, node.id, node.main, self.texts[b], self.linked[b])
+            for node in self.nodes
+            if not node.aside
+            for b in node.blocks
+        ]
+        return [block[1:] for block in sorted(found)]
 
-        return plain(self.root)
+
+# Number of the node, whether it is in a marked article, text, characters of it in links.
+Block = tuple[int, bool, str, int]
 
 
 def _mark(text: str) -> int:
@@ -247,15 +260,41 @@ def parse(text: str) -> Page:
         else:
             # Numbers in names tell pages apart, not places.
             path = _mark(f"{parent.path} {NUMBERS.sub('0', key)}")
-            node = Node(key, len(page.nodes), aside or under or parent.aside, main or parent.main, path)
+            node = Node(key, len(page.nodes), aside or under or parent.aside, main or parent.main, path, tag == "form")
+            node.depth = parent.depth + 1
             parent.children.append(node)
             page.nodes.append(node)
         if not match.group(3).endswith("/") or tag not in ("svg", "path"):
             stack.append((tag, node, node.aside))
     pop_to(0)
+    _judge_forms(page)
     return page
 
 
+def _judge_forms(page: Page) -> None:
+    """Forms stand aside, but for one that holds most of the page's text, as some frameworks write pages."""
+    if not any(node.form for node in page.nodes):
+        return
+    chars = {n.id: sum(len(page.texts[b]) for b in n.blocks) for n in page.nodes if not n.aside}
+    whole = sum(chars.values())
+    # Nodes below a node follow it and are deeper.
+    inside: dict[int, list[Node]] = {}
+    form = None
+    for node in page.nodes:
+        if form is not None and node.depth <= form.depth:
+            form = None
+        if form is None and node.form:
+            form = node
+        if form is not None:
+            inside.setdefault(form.id, []).append(node)
+    for nodes in inside.values():
+        held = sum(chars.get(n.id, 0) for n in nodes)
+        built = any(n.key.split(" ", 1)[0] in BUILT for n in nodes)
+        if not built or 2 * held <= whole:
+            for node in nodes:
+                node.aside = True
+
+
 def _inside_main(stack: list[tuple[str, Node, bool]]) -> bool:
     return any(node.main for _, node, _ in stack)
 
@@ -304,34 +343,60 @@ def matched(one: list, other: list) -> tuple[int, list[tuple[int, int]]]:
     return total, pairs
 
 
-def votes(page: Page) -> Iterator[tuple[int, int]]:
-    """``(path, block mark)`` once for each block and path of a page; the mark is 0 for the path itself."""
-    found = set()
-    for node in page.nodes:
-        if node.blocks and not node.aside:
-            found.add((node.path, 0))
-            found.update((node.path, block_mark(node.path, page.texts[b])) for b in node.blocks)
-    yield from found
+def tree(skeleton: str) -> list:
+    """Nested lists ``[kind, number, path, 0, 0, children]`` of a skeleton."""
+    root: list = []
+    above: list[list] = []
+    for number, (depth, kind) in enumerate(json.loads(skeleton)):
+        del above[depth:]
+        path = _mark(f"{above[-1][2]} {kind}") if above else 0
+        node = [kind, number, path, 0, 0, []]
+        if above:
+            above[-1][5].append(node)
+        else:
+            root = node
+        above.append(node)
+    return root
+
+
+def _paths(root: list) -> list[int]:
+    """The paths of all nodes by number."""
+    found, left = {}, [root]
+    while left:
+        node = left.pop()
+        found[node[1]] = node[2]
+        left += node[5]
+    return [found[k] for k in range(len(found))]
+
 
+def aligned(skeleton: str, reference: str) -> list[int]:
+    """A name for each node: that of the node it matches in the reference, else its own path."""
+    one, other = tree(skeleton), tree(reference)
+    names, paths = _paths(one), _paths(other)
+    for k, at in matched(one, other)[1]:
+        names[k] = _mark(f"{at} {paths[at]}")
+    return names
 
-def main_text(page: Page, first: list | None, template: set[int], links: set[int]) -> str:
-    """The main text of a page, given the block marks of its host's ``template``.
 
-    ``links`` are marks of more blocks to leave out; ``first`` is not read.
+def chosen(blocks: list[Block], names: list[int] | None, template: set[int]) -> str:
+    """The main text among the blocks of a page, given the block marks of its layout's ``template``.
+
+    Without names, nothing is template.
     """
-    has_main = any(n.main and not n.aside and n.blocks for n in page.nodes)
-    kept, out = [], template | links
-    for node in page.nodes:
-        if node.aside or not node.blocks or (has_main and not node.main):
-            continue
-        for b in node.blocks:
-            if not has_main and page.linked[b] > LINKED * len(page.texts[b]):
-                continue
-            # A marked article tells where to look; what all pages of the host say there is template too.
-            if out and block_mark(node.path, page.texts[b]) in out:
-                continue
-            kept.append(b)
-    return "\n".join(page.texts[b] for b in sorted(kept))
+    has_main = any(main for _, main, _, _ in blocks)
+    looked = [(n, t) for n, main, t, linked in blocks if (main if has_main else linked <= LINKED * len(t))]
+    if not template or names is None:
+        return "\n".join(t for _, t in looked)
+    # A marked article tells where to look; what all pages of the host say there is template too.
+    slots = [t for n, t in looked if block_mark(names[n], t) not in template]
+    if has_main and len(looked) - len(slots) > COPIED * len(looked):
+        slots = [t for _, t in looked]
+    return "\n".join(slots)
+
+
+def main_text(page: Page, names: list[int] | None, template: set[int], links: set[int]) -> str:
+    """The main text of a parsed page; ``links`` are marks of more blocks to leave out."""
+    return chosen(page.blocks(), names, template | links)
 
 
 def host_of(url: Column) -> Column:
@@ -340,30 +405,68 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
 
 
-def host_wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """One row per host with a template: the marks of its blocks.
-
-    All pages of a host vote, but one and the same text votes once however many pages have it. Votes
-    are counted before they are shuffled, so a host with most of the pages is no burden.
-    """
+def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """``id, url, host, layout, skeleton, mark`` and the blocks of each page, every page parsed once."""
 
     def read(columns: list) -> Iterator[tuple]:
-        for host, source in zip(*columns, strict=True):
+        for key, url, host, source in zip(*columns, strict=True):
             page = parse(source)
-            mark = _mark("\n".join(page.texts))
-            for path, block in votes(page):
-                yield host, path, block, mark
+            blocks = page.blocks()
+            skeleton = page.skeleton()
+            yield key, url, host, _mark(skeleton), skeleton, _mark("\n".join(page.texts)), blocks
 
+    kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{url_col}`").cast("string").alias("url"),
         host_of(F.col(f"`{url_col}`")).alias("host"),
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"),
     )
-    cast = map_rows(rows, read, "host string, path long, block long, mark long")
-    counted = cast.groupBy("host", "path", "block").agg(F.count_distinct("mark").alias("n")).where(F.col("n") >= PAGES)
+    block = "array<struct<node: int, main: boolean, text: string, linked: int>>"
+    schema = f"id {kind}, url string, host string, layout long, skeleton string, mark long, blocks {block}"
+    return map_rows(rows, read, schema)
+
+
+def wrappers(parsed: DataFrame) -> DataFrame:
+    """``host, layout, names, template`` for each layout of a host: names of its nodes, marks of constant blocks.
+
+    All pages of a host vote, but one and the same text votes once however many pages have it. Votes
+    are counted before they are shuffled, and a template is cut to its layout, so neither a host with most of
+    the pages nor one of very many layouts is a burden.
+    """
+
+    def align(columns: list) -> Iterator[tuple]:
+        for host, layout, skeleton, reference in zip(*columns, strict=True):
+            yield host, layout, aligned(skeleton, reference)
+
+    layouts = parsed.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("skeleton").alias("skeleton"))
+    layouts = written(layouts, "layouts")
+    most = layouts.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "layout")).alias("reference"))
+    names = written(
+        map_rows(
+            layouts.join(most, "host").select("host", "layout", "skeleton", "reference"),
+            align,
+            "host string, layout long, names array<long>",
+        ),
+        "names",
+    )
+
+    def cast(columns: list) -> Iterator[tuple]:
+        for host, mark, blocks, own in zip(*columns, strict=True):
+            found = {(own[b["node"]], 0) for b in blocks}
+            found.update((own[b["node"]], block_mark(own[b["node"]], b["text"])) for b in blocks)
+            for name, block in found:
+                yield host, name, block, mark
+
+    named = parsed.join(names, ["host", "layout"]).select("host", "mark", "blocks", "names")
+    votes = map_rows(named, cast, "host string, name long, block long, mark long")
+    counted = votes.groupBy("host", "name", "block").agg(F.count_distinct("mark").alias("n")).where(F.col("n") >= PAGES)
     counted = written(counted, "votes")
-    paths = counted.where("block = 0").select("host", "path", F.col("n").alias("of"))
-    shared = counted.where("block <> 0").join(paths, ["host", "path"]).where(F.col("n") >= SAME * F.col("of"))
-    return written(shared.groupBy("host").agg(F.collect_set("block").alias("template")), "wrappers")
+    of = counted.where("block = 0").select("host", "name", F.col("n").alias("of"))
+    shared = counted.where("block <> 0").join(of, ["host", "name"]).where(F.col("n") >= SAME * F.col("of"))
+    nodes = names.select("host", "layout", F.explode(F.array_distinct("names")).alias("name"))
+    templates = nodes.join(shared, ["host", "name"]).groupBy("host", "layout")
+    return names.join(templates.agg(F.collect_set("block").alias("template")), ["host", "layout"], "left")
 
 
 def main_texts(
@@ -375,25 +478,19 @@ def main_texts(
     ends in page order. Null or empty pages and pages without a main text have an empty one; pages
     without a host are one host; repeated rows each have their result; an empty table gives none.
     """
-    wrappers = host_wrappers(pages, id_col, url_col, html_col)
+    parsed = written(parsed_pages(pages, id_col, url_col, html_col), "pages")
+    told = written(wrappers(parsed.drop("id", "url")), "wrappers")
 
     def extract(columns: list) -> Iterator[tuple]:
-        held, marks = None, set()
-        for key, url, source, template in zip(*columns, strict=True):
-            if template is not held:
-                held, marks = template, set(template or ())
-            text = main_text(parse(source), None, marks, set())
+        for key, url, blocks, names, template in zip(*columns, strict=True):
+            rows = [(b["node"], b["main"], b["text"], b["linked"]) for b in blocks]
+            text = chosen(rows, names, set(template or ()))
             yield key, url, text, len(text)
 
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(
-        F.col(f"`{id_col}`").alias("id"),
-        F.col(f"`{url_col}`").alias("url"),
-        F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"),
-    )
-    joined = rows.withColumn("host", host_of(F.col("url"))).join(wrappers, "host", "left")
+    joined = parsed.join(told, ["host", "layout"], "left")
     return map_rows(
-        joined.select("id", "url", "html", "template"),
+        joined.select("id", "url", "blocks", "names", "template"),
         extract,
         f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long",
     )

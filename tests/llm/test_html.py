@@ -4,7 +4,7 @@ from functools import lru_cache
 
 from frames import SF, texts
 
-from tabulens.llm.html import main_text, main_texts, matched, parse
+from tabulens.llm.html import aligned, main_text, main_texts, matched, parse
 from tabulens.llm.queries import op8_main_texts
 
 
@@ -37,7 +37,8 @@ def test_markup_as_browsers_take_it():
 
 def test_deep_nesting_and_long_pages():
     deep = parse("<div>" * 20_000 + "x" + "</div>" * 20_000 + "<p>y")
-    assert main_text(deep, deep.skeleton(), set(), set()) == "x\ny"
+    assert main_text(deep, None, set(), set()) == "x\ny"
+    assert len(aligned(deep.skeleton(), deep.skeleton())) == len(deep.nodes)
     long = parse("<article>" + "<p>one</p><ul><li>two</ul>" * 20_000)
     assert main_text(long, None, set(), set()).count("\n") == 39_999
     aside = parse("<section>" * 300 + "<div class=ad>" * 300 + "no" + "</div>" * 300 + "yes")
@@ -126,3 +127,36 @@ def test_names_that_only_hold_a_word_of_an_aside():
     bare = page.replace("<main>", "").replace("</main>", "").replace(' id="search"', "")
     bare += "<div id=cookie-notice>no</div><ul class='nav-menu'><li>no</ul><h2 id=comments>Comments</h2>"
     assert main_text(parse(bare), None, set(), set()) == said + "\nComments"
+
+
+def test_near_copies_keep_their_articles(spark):
+    same = "".join(f"<p>paragraph {w} of a text that several pages share</p>" for w in "abcdef")
+    page = "<div>Site</div><article><h1>Heading</h1>" + same + "<p>edit {}</p></article>"
+    told = "Heading\n" + "\n".join(re.findall("<p>(.*?)</p>", same))
+    assert extracted(spark, [page.format(k) for k in range(3)]) == [f"{told}\nedit {k}" for k in range(3)]
+
+
+def test_layouts_are_aligned_with_the_most_frequent(spark):
+    """A banner before the second box shifts it; matching still finds the standing text of that box."""
+    plain = "<div>first {}</div><p>middle {}</p><div>standing</div><ul><li>end {}</ul>"
+    more = "<h3>extra {}</h3><div>first {}</div><p>middle {}</p><div>standing</div>"
+    pages = [plain.format(k, k, k) for k in range(4)] + [more.format(k, k, k) for k in range(4, 6)]
+    assert extracted(spark, pages) == [
+        *(f"first {k}\nmiddle {k}\nend {k}" for k in range(4)),
+        *(f"extra {k}\nfirst {k}\nmiddle {k}" for k in (4, 5)),
+    ]
+
+
+def test_names_come_from_matched_nodes():
+    one, other = parse("<div>a</div><p>b</p><div>c</div>").skeleton(), parse("<p>b</p><div>c</div>").skeleton()
+    full, part = aligned(one, one), aligned(other, one)
+    assert len(set(full)) == 4
+    # The only box of the shorter page matches the one after the paragraph.
+    assert part == [full[0], full[2], full[3]]
+
+
+def test_a_form_around_the_whole_page(spark):
+    page = "<form><div class=menu>Menu</div><h1>Title {0}</h1><p>long text of page {0}</p><form><p>x</p></form></form>"
+    assert extracted(spark, [page.format("a")]) == ["Title a\nlong text of page a\nx"]
+    assert extracted(spark, ["<p>some longer text</p><form><p>your name</p></form>"]) == ["some longer text"]
+    assert extracted(spark, ["<form><label>user</label><div>password</div></form>"]) == [""]
