@@ -15,22 +15,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+LATIN_SMALL = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+LATIN_CAPITAL = "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
 DIGITS, SMALL, CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX_SMALL, HEX_CAPITAL = "abcdef", "ABCDEF"
-# Dates with leading zeros are permuted among DAYS * DAYS days: 1900-01-01 to 2099-08-05.
-FIRST_DAY, DAYS = "1900-01-01", 270
+# Dates with leading zeros are permuted among SPANS * DAYS days: 1850-01-01 to 2149-12-31. Dates without keep the
+# number of digits in each part and stay in the years 1900 to 2099.
+FIRST_DAY, SPANS, DAYS = "1850-01-01", 1387, 79
 # United States numbers: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
 AREAS, REST = 898, 99 * 9999
 
+# Characters of the account numbers of each country (ISO 13616 registry).
+ACCOUNT_LENGTHS = {
+    int(n): names.split()
+    for n, names in {
+        "15": "NO", "16": "BE", "18": "DK FI FO GL NL SD FK", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK",
+        "21": "CH CR HR LI LV", "22": "BG BH DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL",
+        "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM",
+        "28": "AL AZ BY CY DO GT HN HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU",
+    }.items()
+}
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?:(?<![\p{L}\d._%+@-])|(?<=[._%+-])(?<![\p{L}\d@][._%+-]{1,64}))[\p{L}\d][\p{L}\d._%+-]*@[A-Za-z\d](?:[A-Za-z\d-]*[A-Za-z\d])?(?:\.[A-Za-z\d-]+)*\.[A-Za-z]{2,}"
 SECRET = r"(?i:(?<![A-Za-z])(?:token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z\d+/_=.-]{8,})"
 ADDRESS = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
-ACCOUNT = r"(?<![A-Za-z\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"
+ACCOUNT_CAPITAL = r"(?<![A-Za-z\d])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])"
+# In small letters the country must be known, and its length binds, as words may follow.
+ACCOUNT_ANY = "|".join(
+    rf"(?:{'|'.join(countries)})\d{{2}}(?: ?[a-z\d]){{{n - 4}}}" for n, countries in ACCOUNT_LENGTHS.items()
+)
+ACCOUNT = rf"(?:{ACCOUNT_CAPITAL}|(?i:(?<![a-z\d])(?:{ACCOUNT_ANY})(?![a-z\d])))"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|[/.-]\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])"
-CARD = r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])"
+CARD = r"(?<![\w+-])(?:\d(?:[ -]?\d){12,18}|(?<!\d\.)\d{4}(?:\.\d{4}){3}(?!\.\d))(?!\w|-\d)"
 # The first that matches at a place names the kind.
 KINDS = {
     "email": EMAIL,
@@ -46,16 +64,6 @@ ANY = "|".join(KINDS.values())
 # Kinds whose matches may hold a card where their own check fails; the other later kinds have marks that these lack,
 # or would have matched first.
 HOLDERS = ("account", "phone")
-# Characters of the account numbers of each country (ISO 13616 registry).
-ACCOUNT_LENGTHS = {
-    int(n): names.split()
-    for n, names in {
-        "15": "NO", "16": "BE", "18": "DK FI FO GL NL SD FK", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK",
-        "21": "CH CR HR LI LV", "22": "BG BH DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL",
-        "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM",
-        "28": "AL AZ BY CY DO GT HN HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU",
-    }.items()
-}
 # A text without any of these characters holds none of the kinds but a secret.
 HINT = r"[\d@]|(?i:token|secret|passw|pwd|key)"
 
@@ -135,7 +143,7 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
 def _mod97(chars: Column) -> Column:
     """An account number, its first four characters moved to the end, as a number modulo 97."""
     moved = F.concat(F.substr(chars, F.lit(5), F.length(chars)), F.substr(chars, F.lit(1), F.lit(4)))
-    value = lambda c: F.instr(F.lit(DIGITS + CAPITAL), c) - 1
+    value = lambda c: F.instr(F.lit(DIGITS + CAPITAL), F.upper(c)) - 1
     return F.aggregate(
         F.filter(F.split(moved, ""), lambda c: c != ""),
         F.lit(0),
@@ -146,7 +154,7 @@ def _mod97(chars: Column) -> Column:
 def _card(value: Column, key: str) -> Column:
     """The first run of whole groups with 13 to 19 digits and a right check sum, the longest at its place."""
     size = F.length(value)
-    parts = lambda i: F.substr(value, i, F.lit(1)).isin(" ", "-")
+    parts = lambda i: F.substr(value, i, F.lit(1)).isin(" ", "-", ".")
     places = F.sequence(F.lit(1), size)
     starts = F.filter(places, lambda i: (i == 1) | parts(i - 1))
     ends = F.reverse(F.filter(places, lambda i: (i == size) | parts(i + 1)))
@@ -169,7 +177,7 @@ def _account(value: Column, key: str) -> Column:
     """The whole match where its check is right, else as many characters as the country's numbers have."""
     size = F.lit(0)
     for n, countries in ACCOUNT_LENGTHS.items():
-        size = F.when(F.substr(value, F.lit(1), F.lit(2)).isin(*countries), n).otherwise(size)
+        size = F.when(F.upper(F.substr(value, F.lit(1), F.lit(2))).isin(*countries), n).otherwise(size)
     bare = F.regexp_replace(value, " ", "")
     start = F.filter(
         F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substr(value, F.lit(1), i)),
@@ -184,7 +192,7 @@ def _account(value: Column, key: str) -> Column:
 
 def _whole_account(value: Column, key: str) -> Column:
     bare = F.regexp_replace(value, " ", "")
-    body = permuted(F.substr(bare, F.lit(5), F.length(bare)), key, "account", (DIGITS, CAPITAL))
+    body = permuted(F.substr(bare, F.lit(5), F.length(bare)), key, "account", (DIGITS, SMALL, CAPITAL))
     country = F.substr(bare, F.lit(1), F.lit(2))
     check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
     # The blanks go back to their places.
@@ -252,11 +260,11 @@ def _date(value: Column, key: str) -> Column:
     def moved(pattern: str) -> Column:
         day = F.to_date(F.try_to_timestamp(value, F.lit(pattern)))
         number = F.datediff(day, first)
-        found = permuted_pair(F.floor(number / DAYS), number % DAYS, key, "date", (DAYS, DAYS))
+        found = permuted_pair(F.floor(number / DAYS), number % DAYS, key, "date", (SPANS, DAYS))
         told = F.date_format(
             F.transform(F.array(found), lambda p: F.date_add(first, (p["one"] * DAYS + p["two"]).cast("int")))[0], pattern
         )
-        return F.when((number >= 0) & (number < DAYS * DAYS), told)
+        return F.when((number >= 0) & (number < SPANS * DAYS), told)
 
     def short(mark: str, day_at: int, pattern: str) -> Column:
         """Parts without leading zeros, among dates with as many digits in each."""
@@ -315,7 +323,7 @@ def _email(value: Column, key: str) -> Column:
     """All but the last label of the domain."""
     top = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
     front = F.substr(value, F.lit(1), F.length(value) - F.length(top))
-    return F.concat(permuted(front, key, "email", (DIGITS, SMALL, CAPITAL)), top)
+    return F.concat(permuted(front, key, "email", (DIGITS, SMALL, CAPITAL, LATIN_SMALL, LATIN_CAPITAL)), top)
 
 
 def _secret(value: Column, key: str) -> Column:
