@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -137,20 +138,23 @@ HEADER_OF = {
     "page_id": "WARC-Page-ID",
     "refers_to": "WARC-Refers-To-Page-ID",
 }
+# Names are the same in any case; these are looked up.
+KNOWN = {n.lower(): n for n in (*HEADER_OF.values(), "Content-Length", "Content-Type", "WARC-Payload-Digest")}
 
 
 def read_archives(
-    spark: SparkSession, path: str, payload: bool = True, verify: bool = False
+    spark: SparkSession, path: str, payload: bool = True, verify: bool = False, unchunk: bool = False
 ) -> DataFrame:
     """The records of the archives under ``path``, filtered before their payloads are decoded.
 
     Equality and membership tests on the columns of ``HEADER_OF`` reach the reader. With ``payload``
-    false payloads stay null and unread; with ``verify`` their SHA-1 is taken from the bytes read.
+    false payloads stay null and unread; with ``verify`` their SHA-1 is taken from the bytes read. With
+    ``unchunk`` chunked transfer coding is undone before either. Header names are read in any case.
     """
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    options = {"payload": str(payload).lower(), "verify": str(verify).lower()}
+    options = {"payload": str(payload).lower(), "verify": str(verify).lower(), "unchunk": str(unchunk).lower()}
     records = spark.read.format("warc").options(**options).load(path)
     # Spark keeps the predicates last pushed to a Python source for a later query that pushes none, so
     # every query pushes one. The type is a header that each record must have.
@@ -187,6 +191,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true") == "true"
         self.verify = options.get("verify", "false") == "true"
+        self.unchunk = options.get("unchunk", "false") == "true"
         self.allowed: dict[str, set[str]] = {}
         self.present: set[str] = set()
 
@@ -264,6 +269,8 @@ class Buffered:
 
     def __init__(self, stream: Any) -> None:
         self.stream, self.data, self.at = stream, b"", 0
+        # Bytes of the line read last, its end included.
+        self.took = 0
 
     def _more(self, least: int) -> bool:
         part = self.stream.read(max(least, 1 << 18))
@@ -278,7 +285,9 @@ class Buffered:
             if not self._more(1):
                 end = len(self.data)
                 break
-        found, self.at = self.data[self.at : end], min(end + 1, len(self.data))
+        after = min(end + 1, len(self.data))
+        self.took = after - self.at
+        found, self.at = self.data[self.at : end], after
         return found.rstrip(b"\r")
 
     def ended(self) -> bool:
@@ -298,6 +307,18 @@ class Buffered:
             n -= step
 
 
+def unchunked(body: bytes) -> bytes:
+    """The payload of a chunked message; bytes that are not chunked as they should be stay as they are."""
+    source, parts = Buffered(io.BytesIO(body)), []
+    try:
+        while n := int(source.line().partition(b";")[0].strip(), 16):
+            parts.append(source.read(n))
+            source.line()
+    except (ValueError, EOFError):
+        return body
+    return b"".join(parts)
+
+
 def records(stream: Any, wanted: WarcReader) -> Iterator[tuple]:
     """Rows of one archive; blocks that no filter lets through are passed over undecoded."""
     source = Buffered(stream)
@@ -310,28 +331,33 @@ def records(stream: Any, wanted: WarcReader) -> Iterator[tuple]:
         headers = {}
         while text := source.line():
             key, _, value = text.decode("utf-8", "replace").partition(":")
-            headers[key] = value.strip()
+            headers[KNOWN.get(key.strip().lower(), key.strip())] = value.strip()
         size = int(headers["Content-Length"])
         if any(h not in headers for h in wanted.present) or any(
             headers.get(h) not in values for h, values in wanted.allowed.items()
         ):
             source.skip(size)
             continue
-        n_bytes, digest, payload = None, None, None
+        n_bytes, digest, payload, chunked = None, None, None, False
         left = size
-        if headers.get("Content-Type", "").startswith("application/http"):
+        if headers.get("Content-Type", "").lower().startswith("application/http"):
             while left > 0:
                 text = source.line()
-                left -= len(text) + 2
+                left -= source.took
                 if not text:
                     break
-                if text.lower().startswith(b"content-length:"):
-                    n_bytes = int(text.split(b":")[1])
+                name, _, value = text.lower().partition(b":")
+                if name.strip() == b"content-length":
+                    n_bytes = int(value)
+                elif name.strip() == b"transfer-encoding":
+                    chunked = value.split(b",")[-1].strip() == b"chunked"
         if headers.get("WARC-Type") == "revisit" or not (wanted.payload or wanted.verify):
             source.skip(left)
             n_bytes = left if n_bytes is None else n_bytes
         else:
             body = source.read(left)
+            if chunked and wanted.unchunk:
+                body = unchunked(body)
             n_bytes = len(body)
             if wanted.verify:
                 digest = base64.b32encode(hashlib.sha1(body).digest()).decode()

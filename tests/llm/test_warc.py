@@ -5,7 +5,7 @@ import pytest
 from frames import SF, texts
 
 from tabulens.llm.queries import op6_warc
-from tabulens.llm.warc import archived_pages, read_archives, write_archives
+from tabulens.llm.warc import archived_pages, read_archives, unchunked, write_archives
 
 
 def expected(rows, least=0):
@@ -71,3 +71,18 @@ def test_a_torn_archive_is_an_error(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 50\r\n\r\nshort")
     with pytest.raises(Exception, match="ends inside"):
         read_archives(spark, str(tmp_path)).collect()
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\nContent-Type: text/html\n\nhello world"
+    parts = b"HTTP/1.1 200 OK\r\ntransfer-encoding: chunked\r\n\r\n5\r\nhello\r\n6;x=1\r\n world\r\n0\r\n\r\n"
+    out = b""
+    for k, block in enumerate((http, parts)):
+        head = f"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID: <{k}>\r\ncontent-length: {len(block)}\r\ncontent-type: Application/http\r\n\r\n"
+        out += head.encode() + block + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(out)
+    plain = {r.record_id: r.payload for r in read_archives(spark, str(tmp_path)).collect()}
+    assert plain == {"<0>": "hello world", "<1>": "5\r\nhello\r\n6;x=1\r\n world\r\n0\r\n\r\n"}
+    found = read_archives(spark, str(tmp_path), unchunk=True).where("record_type = 'response'")
+    assert [(r.payload, r.payload_bytes) for r in found.collect()] == [("hello world", 11)] * 2
+    assert unchunked(b"zz\r\nno") == b"zz\r\nno"
