@@ -19,8 +19,9 @@ from tabulens.llm.common import text_of, written
 # How far the entropy of the weights may go from that of the shares (0) to the highest there is (1),
 # and how often a document may be used at most.
 EVENNESS, REPEATS = 0.8, 2.0
-# A block holds so many tokens, or more where a source would have over MOST_BLOCKS.
-BLOCK_TOKENS, MOST_BLOCKS = 1 << 17, 4096
+# A source of t tokens has sqrt(t) / SPREAD blocks of SPREAD * sqrt(t) tokens, so that neither the list of its
+# blocks nor the one block that its budget cuts grows as the source does.
+SPREAD = 16
 CUTS, TURNS = 32, 5
 
 
@@ -103,7 +104,7 @@ def block_plan(docs: DataFrame, seed: int, **targets: float | None) -> tuple[Dat
         weights.select(
             "*",
             rounds.alias("rounds"),
-            F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"),
+            F.ceil(F.sqrt("tokens") / SPREAD).cast("int").alias("blocks"),
         ).withColumn("rest", F.col("budget") - F.col("rounds") * F.col("tokens")),
         "weights",
     )
@@ -113,13 +114,18 @@ def block_plan(docs: DataFrame, seed: int, **targets: float | None) -> tuple[Dat
     sizes = placed.groupBy("mix_source", "block", "rounds", "rest", "budget", "tokens", "weight").agg(
         F.sum("mix_tokens").alias("block_tokens")
     )
-    # In its last round a source's blocks are used up to the budget; at most MOST_BLOCKS rows a source.
+    # In its last round a source's blocks are used up to the budget.
     order = Window.partitionBy("mix_source").orderBy(F.xxhash64(F.lit(seed), "rounds", "block"), "block")
     upto = F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     sizes = sizes.withColumn("room", F.col("rest") - (upto - F.col("block_tokens")))
     sizes = written(sizes, "blocks")
     cut = sizes.where("room > 0 AND room < block_tokens").select("mix_source", "block", "room")
-    within = placed.join(cut, ["mix_source", "block"]).withColumn("at", unit_of(seed, F.col("rounds")))
+    # Equal rows share their place, so they are one row of the window.
+    within = (
+        placed.join(cut, ["mix_source", "block"])
+        .groupBy("mix_source", "block", "room", unit_of(seed, F.col("rounds")).alias("at"))
+        .agg(F.sum("mix_tokens").alias("mix_tokens"))
+    )
     taken = Window.partitionBy("mix_source").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     ends = (
         within.withColumn("used", F.sum("mix_tokens").over(taken))
@@ -144,7 +150,7 @@ def unit_of(seed: int, turn: Column) -> Column:
     return _unit(F.lit(seed), F.lit("document"), turn, F.col("mix_mark"))
 
 
-def mixed(
+def mixture(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -154,20 +160,20 @@ def mixed(
     repeats: float = REPEATS,
     budget: float | None = None,
 ) -> DataFrame:
-    """``docs``, each row as often as the mixture uses it, with five columns about its use.
+    """``mix_row``, a struct of a row of ``docs``, as often as the mixture uses it, with five columns about its use.
 
     ``mix_source``, ``mix_tokens``, ``mix_weight``, ``mix_round`` (from 0) and ``mix_position``: sorted
     by it, from 0 to 1, the rows are the mixture, each source spread over the whole. Null and empty
     sources are one source, null and empty texts count one token. Rows that are equal in id and text
-    share their place. An empty table gives an empty result. Columns of these names are replaced.
+    share their place. An empty table gives an empty result.
     """
-    marked = (
-        docs.withColumn("mix_source", source_of(source_col))
-        .withColumn("mix_mark", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
-        .withColumn("mix_tokens", n_tokens(text_col))
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"),
+        source_of(source_col).alias("mix_source"),
+        F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("mix_mark"),
+        n_tokens(text_col).alias("mix_tokens"),
     )
     plan, sources = block_plan(marked, seed, evenness=evenness, repeats=repeats, budget=budget)
-    own = [c for c in docs.columns if not c.startswith("mix_")]
     blocks = sources.select(F.col("source").alias("mix_source"), "blocks")
     placed = marked.join(blocks, "mix_source").withColumn("block", block_of(seed)).drop("blocks")
     # A round's blocks come in an order of their own; a block starts where those before it end.
@@ -183,7 +189,7 @@ def mixed(
     at = unit_of(seed, F.col("turn.mix_round"))
     joined = joined.where((F.col("turn.mix_round") < F.col("turn.rounds")) | (at <= F.col("turn.last")))
     return joined.select(
-        *[F.col(f"`{c}`") for c in own],
+        "mix_row",
         "mix_source",
         "mix_tokens",
         F.col("turn.weight").alias("mix_weight"),
@@ -192,3 +198,12 @@ def mixed(
             F.lit(1.0), (F.col("turn.before") + at * F.col("turn.block_tokens")) / F.col("turn.budget")
         ).alias("mix_position"),
     )
+
+
+USE = ("mix_source", "mix_tokens", "mix_weight", "mix_round", "mix_position")
+
+
+def mixed(docs: DataFrame, **options: str | float | None) -> DataFrame:
+    """The rows of ``mixture`` with the columns of ``docs`` on their own; those named as one of ``USE`` are replaced."""
+    own = [F.col("mix_row").getField(c).alias(c) for c in docs.columns if c not in USE]
+    return mixture(docs, **options).select(*own, *USE)

@@ -17,12 +17,12 @@ ODD = [
     (7, "x" * 30000),
 ]
 # Names that operators use for their own columns.
-CLASHES = "n_words long, score double, text_mark long, node long, key long, length long, rank long, mix_source string, id long, label int"
+CLASHES = "n_words long, score double, text_mark long, node long, key long, length long, rank long, mix_source string, id long, label int, blocks long, block long, turn string, mix_name string, mix_row string"
 
 
 def odd_docs(spark):
     schema = f"doc_id long, text string, source string, lang string, n_chars long, {CLASHES}"
-    rows = [(i, t, "a" if (i or 0) % 2 else None, "en", len(t or ""), *[None] * 10) for i, t in ODD]
+    rows = [(i, t, "a" if (i or 0) % 2 else None, "en", len(t or ""), *[None] * 10, 7, 8, "t", "m", "r") for i, t in ODD]
     return spark.createDataFrame(rows, schema)
 
 

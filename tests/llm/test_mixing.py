@@ -1,8 +1,9 @@
 import math
 
 from frames import SF, no_docs, odd_docs, table, texts
+from pyspark.sql import functions as F
 
-from tabulens.llm.mixing import exponent, mixed, source_weights
+from tabulens.llm.mixing import exponent, mixed, mixture, source_weights
 from tabulens.llm.queries import op3_mixing
 
 
@@ -79,3 +80,20 @@ def test_odd_rows(spark):
     assert {r.mix_source for r in rows} == {"a", ""}
     assert mixed(no_docs(spark)).count() == 0
     assert table(spark, "documents").count() == 200
+
+
+def test_columns_named_as_the_operator_s_own(spark):
+    rows = mixed(odd_docs(spark)).collect()
+    assert {(r.blocks, r.block, r.turn, r.mix_name, r.mix_row) for r in rows} == {(7, 8, "t", "m", "r")}
+    kept = mixture(odd_docs(spark).withColumn("mix_round", F.lit("own"))).select("mix_row.*")
+    assert kept.columns == [*odd_docs(spark).columns, "mix_round"]
+    assert {r.mix_round for r in kept.collect()} == {"own"}
+
+
+def test_one_source_holds_all_rows_many_of_them_equal(spark):
+    same = [(1, "five words of one text", "a")] * 400
+    docs = spark.createDataFrame(same + [(k, f"text {k} of some words", "a") for k in range(2, 600)], "doc_id long, text string, source string")
+    whole = mixed(docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in whole} == {1: 400, **dict.fromkeys(range(2, 600), 1)}
+    rows = mixed(docs, budget=1495.0).collect()
+    assert 0 <= 1495 - sum(r.mix_tokens for r in rows) <= 2000
