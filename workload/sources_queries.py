@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulens.plans.history import latest_profiles, save_profile
 from tabulens.plans.profile import profile
 from tabulens.session import scratch_dir
-from tabulens.sources import checks, readers, samples, writers
+from tabulens.sources import checks, csv_ranges, readers, samples, writers
 from tabulens.sources.catalog import (
     Catalog,
     list_datasets,
@@ -45,6 +45,26 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     return _order_totals(readers.scan_csv(spark, path))
 
 
+def scan_csv_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with quotes, separators and line breaks, each file read in ranges that end between records."""
+    path = scratch_dir(spark, "documents-csv")
+    text = F.concat("text", F.lit('\n"'), "lang", F.lit('",\n'))
+    writers.export_csv(table(spark, sf, "documents").select("doc_id", text.alias("text"), "source"), path)
+    back = csv_ranges.scan_csv_ranges(spark, path, "doc_id bigint, text string, source string")
+    return back.groupBy("source").agg(
+        F.count("*").alias("n"),
+        F.sum("doc_id").alias("id_sum"),
+        F.sum(F.length("text")).cast("bigint").alias("chars"),
+        F.max(F.md5("text")).alias("last_digest"),
+    )
+
+
+SCAN_CSV_RANGES = """SELECT source, count(*) AS n, sum(doc_id)::BIGINT AS id_sum,
+  sum(length(t))::BIGINT AS chars, max(md5(t)) AS last_digest
+  FROM (SELECT doc_id, source, text || chr(10) || '"' || lang || '",' || chr(10) AS t FROM documents)
+  GROUP BY source"""
+
+
 def scan_tsv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "orders-tsv")
     writers.export_tsv(table(spark, sf, "orders"), path)
@@ -222,6 +242,7 @@ FILES = " UNION ALL ".join(
 QUERIES = {
     "scan_parquet": scan_parquet,
     "scan_csv": scan_csv,
+    "scan_csv_ranges": scan_csv_ranges,
     "scan_tsv": scan_tsv,
     "scan_json": scan_json,
     "scan_jsonl": scan_jsonl,
@@ -252,6 +273,7 @@ ORACLE = {
     "file_stats": FILES,
     "scan_parquet": ORDER_TOTALS,
     "scan_csv": ORDER_TOTALS,
+    "scan_csv_ranges": SCAN_CSV_RANGES,
     "scan_tsv": ORDER_TOTALS,
     "scan_json": """SELECT p_type, count(*) AS n, sum(p_size)::BIGINT AS size_sum,
       round(sum(p_retailprice), 2) AS price_sum FROM part GROUP BY p_type""",
