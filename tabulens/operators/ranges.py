@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.session import small_frame
+from tabulens.session import scratch_dir, small_frame
 
 # Points lie in slices of about equal number, each cut into cells of about CELL_ROWS points.
 SLICES, CELL_ROWS, MOST_CELLS = 256, 1000, 1 << 40
@@ -69,6 +71,8 @@ def range_join(
     high: str,
     on: Sequence[str] = (),
     include_high: bool = True,
+    totals: Mapping[str, Column] | None = None,
+    distinct: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Each row of ``points`` with each row of ``intervals`` that holds its ``point``, and equal ``on``.
 
@@ -81,7 +85,13 @@ def range_join(
     cells, each twice as wide as the level before, at which it spans at most ``SPAN`` + 1 of them, so a long
     one makes no more rows than a short one and a pair can meet in one cell only. The join is then an equality
     join. A cell of very many points is split, with its intervals copied to each part.
+
+    With ``totals`` or ``distinct`` the pairs are not made: see ``interval_totals``.
     """
+    if totals is not None or distinct is not None:
+        if on:
+            raise ValueError("totals over equal columns are not made")
+        return interval_totals(points, intervals, point, low, high, include_high, totals or {}, distinct)
     clash = (set(points.columns) & set(intervals.columns)) - set(on)
     if clash:
         raise ValueError(f"columns of both sides: {sorted(clash)}")
@@ -126,3 +136,219 @@ def range_join(
     return joined.select(
         *[F.col(f"_p.`{c}`").alias(c) for c in points.columns], *[F.col(f"_i.`{c}`").alias(c) for c in added]
     )
+
+
+def exact(value: Column, kind: T.DataType) -> tuple[Column, str]:
+    """The value as a long or a double, as it is; dates and times are microseconds."""
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp")), "long"
+    if isinstance(kind, T.IntegralType):
+        return value.cast("long"), "long"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return value.cast("double"), "double"
+    raise TypeError(f"no exact range of {kind.simpleString()}")
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def earlier(marks: DataFrame, slice_of: Column) -> DataFrame:
+    """``marks(key, x)``, each once, with the greatest smaller ``x`` of its key as ``before``.
+
+    Rows of a key are ordered within slices; of the slices before, only the greatest ``x`` is needed.
+    """
+    marks = marks.withColumn("slice", slice_of)
+    tops = marks.groupBy("key", "slice").agg(F.max("x").alias("top"))
+    tops = tops.select("key", "slice", F.lag("top").over(Window.partitionBy("key").orderBy("slice")).alias("top"))
+    within = F.lag("x").over(Window.partitionBy("key", "slice").orderBy("x"))
+    # Slices of a key without rows before have a null top.
+    return marks.join(tops, ["key", "slice"]).select("x", F.coalesce(within, "top").alias("before"))
+
+
+def counting(names: list[str], include_high: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over the points in each interval, for sorted groups of rows of points, marks and intervals."""
+
+    def smaller(befores: np.ndarray, first: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """How many of ``befores[first:last]`` are below each bound, by blocks of doubling size, sorted."""
+        held = np.sort(befores)
+        rank, limit = np.searchsorted(held, befores), np.searchsorted(held, bounds)
+        n, found = len(befores), np.zeros(len(bounds), np.int64)
+        order, low, high, size = rank.astype(np.int64), first.copy(), last.copy(), 1
+        place = np.arange(n)
+        while (low < high).any():
+            block = place // size
+            order = np.sort(order + block * (n + 1)) - block * (n + 1) if size > 1 else order
+            keys = order + block * (n + 1)
+            for chosen, at in (((low & 1) == 1, low), ((high & 1) == 1, high - 1)):
+                q = np.flatnonzero(chosen & (low < high))
+                found[q] += np.searchsorted(keys, at[q] * (n + 1) + limit[q]) - np.minimum(at[q] * size, n)
+            low, high, size = (low + 1) >> 1, high >> 1, size * 2
+        return found
+
+    def summed(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Sums of ``values[first:last]``, by sums of blocks of doubling size: no sum holds a value outside."""
+        low, high, found = first.copy(), last.copy(), np.zeros(len(first), values.dtype)
+        while (low < high).any():
+            for chosen, at in (((low & 1) == 1, low), ((high & 1) == 1, high - 1)):
+                q = np.flatnonzero(chosen & (low < high))
+                found[q] += values[at[q]]
+            low, high = (low + 1) >> 1, high >> 1
+            values = np.concatenate([values, values[:0] if len(values) % 2 == 0 else np.zeros(1, values.dtype)])
+            values = values[::2] + values[1::2]
+        return found
+
+    def told(group: pa.Table) -> pa.RecordBatch:
+        kind, x = group.column("kind").to_numpy(), group.column("x").to_numpy()
+        asked, points, marks = (np.flatnonzero(kind == k) for k in (2, 0, 1))
+        a, b = x[asked], group.column("y").take(pa.array(asked)).to_numpy()
+
+        def span(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            begin = np.searchsorted(values, a)
+            return begin, np.maximum(begin, np.searchsorted(values, b, "right" if include_high else "left"))
+
+        points = points[np.argsort(x[points], kind="stable")]
+        begin, end = span(x[points])
+        out = [pa.array(a), pa.array(b)]
+        for name in names:
+            values = group.column(name).take(pa.array(points)).to_numpy()
+            out.append(pa.array(summed(values, begin, end)))
+        firsts = np.zeros(len(asked), np.int64)
+        if len(marks):
+            marks = marks[np.argsort(x[marks], kind="stable")]
+            befores = group.column("y").take(pa.array(marks))
+            none = befores.is_null().to_numpy()
+            first, last = span(x[marks])
+            # A mark without one before is the first in any interval: it sorts below all bounds.
+            values = befores.fill_null(0).to_numpy()
+            values = np.where(none, -1, np.searchsorted(np.sort(a), values, "right"))
+            firsts = smaller(values, first, last, np.searchsorted(np.sort(a), a, "right"))
+        return pa.RecordBatch.from_arrays([*out, pa.array(firsts)], names=["a", "b", *names, "firsts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(held).combine_chunks()
+            if (group.column("kind").to_numpy() == 2).any():
+                yield told(group)
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(n).to_numpy() for n in ("level", "at", "part", "copy")], axis=1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+                key = tuple(keys[begin].tolist())
+                if held and key != last:
+                    yield from done()
+                    held = []
+                last = key
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from done()
+
+    return run
+
+
+def interval_totals(
+    points: DataFrame,
+    intervals: DataFrame,
+    point: str,
+    low: str,
+    high: str,
+    include_high: bool,
+    totals: Mapping[str, Column],
+    distinct: tuple[str, str] | None,
+) -> DataFrame:
+    """Each row of ``intervals`` that holds a point, with sums over its points: no pair is made.
+
+    ``totals`` names sums of whole numbers or doubles of ``points`` (null: 0); ``distinct`` is a name and the column of
+    ``points`` whose different values, nulls aside, it counts. Points, low and high ends are all doubles
+    or all whole numbers, dates or times.
+
+    Points of one value are summed first. An interval is its two outer cells, where its points are looked up, and
+    the whole cells between, taken in ever wider ones, where the sums of a cell are enough. A value is
+    counted at its first point in an interval: the one whose next smaller point of that value is before the
+    interval begins. All these are sums over cells, so a cell of very many points or intervals is split.
+    """
+    kinds = points.schema[point].dataType, intervals.schema[low].dataType, intervals.schema[high].dataType
+    (x, kind), (a, *_), (b, *_) = told = [exact(F.col(f"`{n}`"), k) for n, k in zip((point, low, high), kinds, strict=True)]
+    if {k for _, k in told} != {kind}:
+        raise TypeError("points and ends of intervals of different kinds")
+    counted = distinct[1] if distinct else point
+    values = points.select(x.alias("x"), F.col(f"`{counted}`").alias("key"), *[v.alias(f"v{k}") for k, v in enumerate(totals.values())])
+    names = ["n", *(f"v{k}" for k in range(len(totals)))]
+    types = {}
+    for name in names[1:]:
+        types[name] = exact(F.col(name), values.schema[name].dataType)[1]
+    sound = F.col("x").isNotNull() & ~F.isnan(F.col("x").cast("double"))
+    sums = [F.sum(F.coalesce(F.col(v).cast(k), F.lit(0).cast(k))).alias(v) for v, k in types.items()]
+    at_value = kept(values.where(sound).groupBy("x").agg(F.count("*").alias("n"), *sums), "range-points")
+    asked = intervals.select(a.alias("a"), b.alias("b")).where("a <= b and not isnan(double(a)) and not isnan(double(b))")
+    reach = at_value.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).first()
+    # Intervals beside all points hold none.
+    asked = asked.where((F.col("a") <= F.lit(reach.high)) & (F.col("b") >= F.lit(reach.low)))
+    double = lambda name: F.col(name).cast("double")
+    bounds, cells = grid(at_value.select(double("x").alias("x")), "x", reach.n)
+    place = lambda name: cell_of(double(name), bounds, cells)
+    asked = kept(asked.distinct().withColumn("first", place("a")).withColumn("last", place("b")), "range-asked")
+    depth = (cells * max(1, len(bounds)) + 2).bit_length()
+    pieces = [F.expr("array(struct(-1 AS level, first AS at), struct(-1 AS level, last AS at))")]
+    for k in range(depth):
+        # The whole cells first + 1 .. last - 1, as a segment tree takes them.
+        begin, end = F.expr(f"shiftright(first + {1 << k}L, {k})"), F.expr(f"shiftright(last, {k})")
+        chosen = lambda odd, at: F.when((begin < end) & (odd % 2 == 1), F.struct(F.lit(k).alias("level"), at.alias("at")))  # noqa: B023, E731
+        pieces.append(F.array(chosen(begin, begin), chosen(end, end - 1)))
+    pieces = F.filter(F.array_distinct(F.concat(*pieces)), lambda p: p.isNotNull())
+    questions = asked.select("a", "b", F.explode(pieces).alias("p")).select("p.*", F.lit(2).alias("kind"), "a", "b")
+    levels = [r[0] for r in questions.where("level >= 0").select("level").distinct().collect()]
+    wide = F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level")
+    up = F.expr("shiftright(cell, level)").alias("at")
+    laid = at_value.withColumn("cell", place("x"))
+    outer = laid.select(F.lit(-1).alias("level"), F.col("cell").alias("at"), F.lit(0).alias("kind"), "x", *names)
+    whole = laid.groupBy("cell").agg(F.min("x").alias("x"), *[F.sum(v).alias(v) for v in names])
+    whole = whole.select("cell", wide, "x", *names).select("level", up, "x", *names)
+    whole = whole.groupBy("level", "at").agg(F.min("x").alias("x"), *[F.sum(v).alias(v) for v in names])
+    nothing = F.lit(None).cast(kind)
+    rows = outer.unionByName(whole.withColumn("kind", F.lit(0))).withColumn("y", nothing)
+    if distinct:
+        marks = values.where(sound & F.col("key").isNotNull()).select("key", "x").distinct()
+        marks = kept(earlier(marks, F.floor((place("x") - 1) / F.lit(cells))).withColumn("cell", place("x")), "range-marks")
+        spread = F.explode(F.array(F.lit(-1), *map(F.lit, levels)).cast("array<int>")).alias("level")
+        at = F.when(F.col("level") < 0, F.col("cell")).otherwise(F.expr("shiftright(cell, greatest(level, 0))")).alias("at")
+        marks = marks.select("cell", spread, "x", "before").select("level", at, F.lit(1).alias("kind"), "x", F.col("before").alias("y"))
+        rows = rows.unionByName(marks, allowMissingColumns=True)
+    both = rows.select("level", "at", F.lit(1).alias("p"), F.lit(0).alias("q"))
+    both = both.unionByName(questions.select("level", "at", F.lit(0).alias("p"), F.lit(1).alias("q")))
+    sizes = both.groupBy("level", "at").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    all_points, all_questions = sizes.agg(F.sum("p"), F.sum("q")).first()
+    most = [max(HOT_ROWS, (n or 0) // HOT_PARTS) for n in (all_points, all_questions)]
+    over = sizes.where((F.col("p") > most[0]) | (F.col("q") > most[1])).where("p > 0 and q > 0")
+    # At most HOT_PARTS cells of each level are over one of the bounds.
+    over = small_frame(over.select("level", "at", F.ceil(F.col("p") / most[0]).cast("int").alias("parts"), F.ceil(F.col("q") / most[1]).cast("int").alias("copies")))
+
+    def dealt(df: DataFrame, mine: str, others: str, by: list[str]) -> DataFrame:
+        own, other = {"parts": "part", "copies": "copy"}[mine], {"parts": "part", "copies": "copy"}[others]
+        df = df.join(F.broadcast(over), ["level", "at"], "left")
+        df = df.withColumn(own, F.pmod(F.xxhash64(*by), F.coalesce(mine, F.lit(1))).cast("int"))
+        df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)))
+        return df.drop("parts", "copies")
+
+    questions = dealt(questions.withColumnsRenamed({"a": "x", "b": "y"}), "copies", "parts", ["x", "y"])
+    everything = dealt(rows, "parts", "copies", ["x", "y"]).unionByName(questions, allowMissingColumns=True)
+    group = ["level", "at", "part", "copy"]
+    everything = everything.repartition(*group).sortWithinPartitions(*group)
+    everything = everything.select(*group, "kind", "x", "y", *names)
+    out = ", ".join([f"a {kind}, b {kind}, n long", *(f"{v} {k}" for v, k in types.items()), "firsts long"])
+    found = everything.mapInArrow(counting(names, include_high), out)
+    found = found.groupBy("a", "b").agg(*[F.sum(v).alias(v) for v in [*names, "firsts"]]).where("n > 0")
+    named = found.select("a", "b", *[F.col(v).alias(f"_{v}") for v in [*names, "firsts"]])
+    ends = intervals.select(F.struct(*[F.col(f"`{c}`") for c in intervals.columns]).alias("_i"), a.alias("a"), b.alias("b"))
+    result = [F.col(f"_v{k}").alias(name) for k, name in enumerate(totals)]
+    result += [F.col("_firsts").alias(distinct[0])] if distinct else []
+    return ends.join(named, ["a", "b"]).select(*[F.col(f"_i.`{c}`").alias(c) for c in intervals.columns], *result)

@@ -6,6 +6,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabulens.operators import ranges
 from tabulens.operators.ranges import range_join
@@ -71,3 +72,55 @@ def test_plan_has_no_nested_loop(spark):
     left, right = both(spark, [(k, float(k)) for k in range(1000)], [(j, float(j), j + 3.0) for j in range(1000)])
     plan = range_join(left, right, "x", "a", "b")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize(("cell_rows", "hot"), [(1000, 16000), (1, 3), (2, 50)])
+@pytest.mark.parametrize("include_high", [True, False])
+def test_totals_without_pairs(spark, monkeypatch, cell_rows, hot, include_high):
+    monkeypatch.setattr(ranges, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(ranges, "HOT_ROWS", hot)
+    monkeypatch.setattr(ranges, "HOT_PARTS", 10**9)
+    monkeypatch.setattr(ranges, "SLICES", 8)
+    rng = random.Random(cell_rows)
+    values = [rng.choice([rng.gauss(0, 1), 0.5, float(rng.randrange(5)), rng.lognormvariate(0, 3)]) for _ in range(500)]
+    points = [(rng.choice([None, 1, 2, 3, 4, *range(100)]), x) for x in [*values, *[0.5] * 100, None, float("nan"), 1e300, -1e300]]
+    intervals = []
+    for j in range(120):
+        a = rng.gauss(0, 2)
+        intervals.append((j, a, a + rng.choice([0.0, 0.001, 0.5, 30.0, -1.0, 1e6])))
+    intervals += [(200, -1e301, 1e301), (201, None, 1.0), (202, 0.0, None), (203, 0.5, 0.5), (203, 0.5, 0.5), (204, 5e301, 6e301)]
+    left, right = both(spark, points, intervals)
+    totals = {"n": F.lit(1), "total": F.col("x"), "k_sum": F.col("k")}
+    found = range_join(left, right, "x", "a", "b", include_high=include_high, totals=totals, distinct=("users", "k"))
+    expected = []
+    for j, a, b in intervals:
+        inside = [(k, x) for k, x in points if pairs([(0, x)], [(0, a, b)], include_high)]
+        if inside:
+            users = {k for k, _ in inside if k is not None}
+            expected.append((j, a, b, len(inside), sum(x for _, x in inside), sum(k or 0 for k, _ in inside), len(users)))
+    found = sorted(tuple(r) for r in found.collect())
+    expected.sort()
+    assert [(*r[:4], *r[5:]) for r in found] == [(*r[:4], *r[5:]) for r in expected]
+    assert [r[4] for r in found] == pytest.approx([r[4] for r in expected])
+
+
+def test_totals_of_times_and_kinds(spark):
+    day = datetime.datetime(2024, 1, 1)
+    left = spark.createDataFrame([(k % 7, day + datetime.timedelta(seconds=k // 2)) for k in range(500)], "g int, x timestamp")
+    right = left.selectExpr("g AS j", "x AS a", "x + INTERVAL 9 SECONDS AS b")
+    totals = {"n": F.lit(1)}
+    found = range_join(left, right, "x", "a", "b", include_high=False, totals=totals, distinct=("groups", "g"))
+    slow = range_join(left, right.distinct(), "x", "a", "b", include_high=False).groupBy("j", "a")
+    slow = slow.agg(F.count("*").alias("n"), F.count_distinct("g").alias("groups"))
+    assert sorted(map(tuple, found.drop("b").collect())) == sorted(map(tuple, slow.collect()))
+    assert range_join(left.limit(0), right, "x", "a", "b", totals=totals).collect() == []
+    with pytest.raises(TypeError):
+        range_join(left.selectExpr("1.5 AS x"), right, "x", "a", "b", totals=totals)
+
+
+def test_pairs_of_the_registered_totals_are_not_made(spark):
+    """Rows leaving the join grow with intervals, not with pairs: 4,000,000 of them here."""
+    left = spark.range(2000).selectExpr("id AS k", "double(id) AS x")
+    right = spark.range(2000).selectExpr("id AS j", "double(-id) AS a", "double(2000 + id) AS b")
+    found = range_join(left, right, "x", "a", "b", totals={"n": F.lit(1)})
+    assert found.count() == 2000 and found.agg(F.sum("n")).first()[0] == 4_000_000

@@ -72,10 +72,12 @@ def price_ranges(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderkey", "o_orderpriority", "o_orderstatus", (total * 0.9995).alias("lo"), (total * 1.0005).alias("hi")
     )
     items = table(spark, sf, "lineitem").select("l_extendedprice")
-    return range_join(items, orders, "l_extendedprice", "lo", "hi").groupBy("o_orderpriority", "o_orderstatus").agg(
-        F.count("*").alias("n"),
+    totals = {"n": F.lit(1), "total": F.col("l_extendedprice")}
+    found = range_join(items, orders, "l_extendedprice", "lo", "hi", totals=totals)
+    return found.groupBy("o_orderpriority", "o_orderstatus").agg(
+        F.sum("n").alias("n"),
         F.count_distinct("o_orderkey").alias("orders"),
-        F.round(F.sum("l_extendedprice"), 2).alias("total"),
+        F.round(F.sum("total"), 2).alias("total"),
     )
 
 
@@ -86,10 +88,20 @@ def events_nearby(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("purchase"), F.col("ts").alias("begins"), F.expr("ts + INTERVAL 90 SECONDS").alias("ends")
     )
     seen = events.select("ts", "user_id", "event_type")
-    return range_join(seen, bought, "ts", "begins", "ends", include_high=False).groupBy("purchase").agg(
-        F.count("*").alias("n"),
-        F.count_distinct("user_id").alias("users"),
-        F.count_if(F.col("event_type") == "error").alias("errors"),
+    totals = {"n": F.lit(1), "errors": F.when(F.col("event_type") == "error", 1).otherwise(0)}
+    held = range_join(
+        seen, bought, "ts", "begins", "ends", include_high=False, totals=totals, distinct=("users", "user_id")
+    )
+    found = held.groupBy("purchase").agg(F.sum("n").alias("n"), F.max("users").alias("users"), F.sum("errors").alias("errors"))
+    # Rows of one id, or without one, at several times share their users: those are told apart by pairs.
+    several = bought.groupBy("purchase").agg(F.min("begins").alias("one"), F.max("begins").alias("other")).where("one < other")
+    if several.isEmpty():
+        return found
+    windows = bought.distinct().join(several.select(F.col("purchase").alias("id")), F.col("purchase").eqNullSafe(F.col("id")))
+    pairs = range_join(seen, windows.drop("id"), "ts", "begins", "ends", include_high=False)
+    shared = pairs.groupBy(F.col("purchase").alias("id")).agg(F.count_distinct("user_id").alias("shared"))
+    return found.join(shared, F.col("purchase").eqNullSafe(F.col("id")), "left").select(
+        "purchase", "n", F.coalesce("shared", "users").alias("users"), "errors"
     )
 
 
