@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
@@ -33,6 +33,8 @@ START, END, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 TAUGHT = "assistant"
 # Keys of more rows than this, and than a 4,096th of all rows, are spread over copies in joins.
 SPREAD, SPREAD_PARTS = 256, 4096
+# Conversations, or pieces of them, that a task holds as Python lists at once.
+HELD = 64
 INTERVALS = "array<struct<start:long,end:long>>"
 
 
@@ -179,6 +181,15 @@ class ChatTree:
         token on its path), ``ids, loss`` (spans of the ids to learn), ``attends`` (intervals of the
         tree before the chain), ``lent`` (how many of its first ids others go on from).
         """
+        return self.built(
+            lambda chain: chain,
+            f"tree_id string, conv string, first_turn int, offset long, position long, ids array<int>,"
+            f" loss {INTERVALS}, attends {INTERVALS}, lent long",
+            chosen,
+        )
+
+    def built(self, finish: Callable[[tuple], tuple], schema: str, chosen: Column | None = None) -> DataFrame:
+        """What ``finish`` makes of each chain, in the task that encodes it."""
         path = self.tokenizer
         layout = self.layout.where("own_turn is not null")
         layout = layout if chosen is None else layout.where(chosen)
@@ -195,16 +206,16 @@ class ChatTree:
                         loss.append((len(ids) + begin, len(ids) + end))
                     ids += told
                 attends = [(a["start"], a["end"]) for a in attends]
-                yield tree, key, own, offset, position, ids, loss, attends, lent
+                yield finish((tree, key, own, offset, position, ids, loss, attends, lent))
 
         joined = self.rows.join(layout, "conv")
         picked = joined.select("conv", "tree", "turns", "own_turn", "offset", "position", "attends", "lent")
         return map_stream(
             picked,
             lambda batches: (row for columns in batches for row in build(columns)),
-            f"tree_id string, conv string, first_turn int, offset long, position long, ids array<int>,"
-            f" loss {INTERVALS}, attends {INTERVALS}, lent long",
-            slice_rows=128,
+            schema,
+            slice_rows=HELD,
+            take_rows=HELD,
         )
 
 
@@ -235,7 +246,7 @@ def prefix_tree(
         for conv, turn, role, text in zip(*columns, strict=True):
             yield conv, turn, role, digest(text.encode()), len(template.turn(role, text)[0])
 
-    slim = map_rows(rows, measure, f"conv string, turn {turn_kind}, role string, own binary, tokens long")
+    slim = map_rows(rows, measure, f"conv string, turn {turn_kind}, role string, own binary, tokens long", 4 * HELD)
 
     def walk(columns: list) -> Iterator[tuple]:
         for conv, turns in zip(*columns, strict=True):
@@ -307,44 +318,37 @@ def prefix_tree(
     return ChatTree(written(layout, "chat-layout"), grouped, tokenizer, kind)
 
 
-def clipped(loss: list[dict], begin: int, end: int) -> list[tuple[int, int]]:
-    cut = [(max(s["start"], begin) - begin, min(s["end"], end) - begin) for s in loss]
-    return [(a, b) for a, b in cut if a < b]
+def spans(loss: list) -> list[tuple[int, int]]:
+    return [(s["start"], s["end"]) for s in loss]
 
 
-def conversations_of(tree: ChatTree) -> DataFrame:
-    """Every conversation read back from the chains: ``conv_id, formatted, learnt`` (its taught texts).
+def told_by(tree: ChatTree, finish: Callable[[tuple], tuple], schema: str) -> DataFrame:
+    """What ``finish`` makes of ``conv, formatted, learnt`` of each conversation.
 
     A conversation that owns its whole path is read from its own row. The others get the beginning from
-    chains that lend it; only those pieces are moved.
+    chains that lend it; only those pieces are moved. Between two shuffles a row passes one Python
+    function, so a task needs one worker and one copy of the vocabulary.
     """
     path = tree.tokenizer
-    id_of = F.when(F.col("conv") != "", F.substring("conv", 2, 2**31 - 1)).cast(tree.kind).alias("conv_id")
-    result = "conv string, formatted string, learnt array<string>"
 
     def told(conv: str, ids: list[int], loss: list[tuple[int, int]]) -> tuple:
         template = Template(path)
-        return conv, template.text(ids), [unescape(template.text(ids[a:b])) for a, b in loss]
+        return finish((conv, template.text(ids), [unescape(template.text(ids[a:b])) for a, b in loss]))
 
-    def whole(columns: list) -> Iterator[tuple]:
-        for conv, ids, loss in zip(*columns, strict=True):
-            yield told(conv, ids, clipped(loss, 0, len(ids)))
-
-    def pieces(columns: list) -> Iterator[tuple]:
-        for conv, k, begin, end, ids, loss in zip(*columns, strict=True):
-            yield conv, k, ids[begin:end], clipped(loss, begin, end)
+    def whole(chain: tuple) -> tuple:
+        _, conv, _, _, _, ids, loss, _, _ = chain
+        return told(conv, ids, loss)
 
     def gather(columns: list) -> Iterator[tuple]:
         for conv, parts in zip(*columns, strict=True):
             ids: list[int] = []
             loss: list[tuple[int, int]] = []
             for part in sorted(parts, key=lambda p: p["k"]):
-                loss += [(s["start"] + len(ids), s["end"] + len(ids)) for s in part["loss"]]
+                loss += [(a + len(ids), b + len(ids)) for a, b in spans(part["loss"])]
                 ids += part["ids"]
             yield told(conv, ids, loss)
 
-    alone = map_rows(tree.chains(F.col("position") == 0).select("conv", "ids", "loss"), whole, result)
-    piece = f"conv string, k int, ids array<int>, loss {INTERVALS}"
+    alone = tree.built(whole, schema, F.col("position") == 0)
     ends = tree.chains(F.col("position") > 0).select("conv", F.lit(2**30).alias("k"), "ids", "loss")
     borrowed = (
         tree.layout.where("own_turn is null or position > 0")
@@ -359,24 +363,36 @@ def conversations_of(tree: ChatTree) -> DataFrame:
     owners = borrowed.groupBy("owner").agg(F.count("*").alias("n"))
     rows = tree.layout.count()
     joined = spread_join(borrowed, lent, "owner", owners, rows, "inner")
-    begins = map_rows(
-        joined.select("conv", "k", F.col("begin") - F.col("first"), F.col("end") - F.col("first"), "ids", "loss"),
-        pieces,
-        piece,
+    begin, end = F.col("begin") - F.col("first"), F.col("end") - F.col("first")
+    cut = F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("ids")
+    learnt = F.transform(
+        "loss",
+        lambda s: F.struct((F.greatest(s.start, begin) - begin).alias("start"), (F.least(s.end, end) - begin).alias("end")),
     )
+    begins = joined.select("conv", "k", cut, F.filter(learnt, lambda s: s.start < s.end).alias("loss"))
     parts = begins.unionByName(ends).groupBy("conv").agg(F.collect_list(F.struct("k", "ids", "loss")).alias("parts"))
-    return alone.unionByName(map_rows(parts, gather, result)).select(id_of, "formatted", "learnt")
+    return alone.unionByName(map_rows(parts, gather, schema, HELD))
+
+
+def named(tree: ChatTree) -> Column:
+    """The conversation's id as it was."""
+    return F.when(F.col("conv") != "", F.substring("conv", 2, 2**31 - 1)).cast(tree.kind).alias("conv_id")
+
+
+def conversations_of(tree: ChatTree) -> DataFrame:
+    """Every conversation read back from the chains: ``conv_id, formatted, learnt`` (its taught texts)."""
+    told = told_by(tree, lambda row: row, "conv string, formatted string, learnt array<string>")
+    return told.select(named(tree), "formatted", "learnt")
 
 
 def read_back(tree: ChatTree) -> DataFrame:
     """``conv_id, turns`` (role and text), ``formatted`` and ``learnt`` of every conversation."""
 
-    def parse(columns: list) -> Iterator[tuple]:
-        for key, formatted, learnt in zip(*columns, strict=True):
-            yield key, turns_of(formatted), formatted, learnt
+    def parse(row: tuple) -> tuple:
+        conv, formatted, learnt = row
+        return conv, turns_of(formatted), formatted, learnt
 
-    return map_rows(
-        conversations_of(tree),
-        parse,
-        f"conv_id {tree.kind}, turns array<struct<role:string,text:string>>, formatted string, learnt array<string>",
+    told = told_by(
+        tree, parse, "conv string, turns array<struct<role:string,text:string>>, formatted string, learnt array<string>"
     )
+    return told.select(named(tree), "turns", "formatted", "learnt")

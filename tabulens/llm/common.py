@@ -46,18 +46,19 @@ _SHIPPED: set[str] = set()
 
 
 def map_rows(
-    df: DataFrame, function: Callable[[list], Iterator[tuple]], schema: str | T.StructType
+    df: DataFrame, function: Callable[[list], Iterator[tuple]], schema: str | T.StructType, take_rows: int | None = None
 ) -> DataFrame:
     """Apply ``function`` to the columns of each Arrow batch, as Python lists; it yields result rows.
 
-    Rows stay in the task that reads them: no shuffle. Results leave in slices of bounded length.
+    Rows stay in the task that reads them: no shuffle. Results leave in slices of bounded length;
+    rows come in slices of at most ``take_rows``.
     """
 
     def each(batches: Iterator[list]) -> Iterator[tuple]:
         for columns in batches:
             yield from function(columns)
 
-    return map_stream(df, each, schema)
+    return map_stream(df, each, schema, take_rows=take_rows)
 
 
 def map_stream(
@@ -65,6 +66,7 @@ def map_stream(
     function: Callable[[Iterator[list]], Iterator[tuple]],
     schema: str | T.StructType,
     slice_rows: int = 1024,
+    take_rows: int | None = None,
 ) -> DataFrame:
     """Like ``map_rows``, but ``function`` sees all batches of a partition one after the other."""
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
@@ -74,13 +76,20 @@ def map_stream(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(kind)
-        rows = function([column.to_pylist() for column in batch.columns] for batch in batches)
+        rows = function([column.to_pylist() for column in part.columns] for part in _parts(batches, take_rows))
         while held := list(itertools.islice(rows, slice_rows)):
             yield _batch(held, arrow)
 
     return df.mapInArrow(run, kind)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int | None) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that none has over ``rows``."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows) if rows else [0]:
+            yield batch.slice(begin, rows) if rows else batch
+
+
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(

@@ -107,3 +107,23 @@ def test_odd_rows(spark):
     digest = hashlib.sha256("".join(told[2].learnt).encode()).hexdigest()
     assert digest == hashlib.sha256(("long " * 20000).encode()).hexdigest()
     assert read_back(prefix_tree(frame.limit(0), BPE)).collect() == []
+
+
+def test_one_python_function_between_shuffles(spark):
+    """Each stage starts one Python worker a task: no two Python functions in a row."""
+    rows = [(c, k, r, t) for c in range(30) for k, (r, t) in enumerate([("user", f"q{c % 9}"), ("assistant", f"a{c}")])]
+    told = read_back(prefix_tree(spark.createDataFrame(rows, SCHEMA), BPE))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    since = {}
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [d for d in since if d < depth]
+        since = {d: since[d] for d in above}
+        inside = since[max(above)] if above else 0
+        if "Exchange" in line or "Union" in line:
+            inside = 0
+        elif "MapInArrow" in line:
+            inside += 1
+        since[depth] = inside
+        assert inside < 2, plan
+    assert plan.count("MapInArrow") >= 3 and told.count() == 30
