@@ -11,6 +11,7 @@ from tabulens.llm.near_copies import without_near_copies
 from tabulens.llm.packing import pack_documents
 from tabulens.llm.pii import pseudonymised
 from tabulens.llm.quality import keep_good
+from tabulens.llm.simhash import simhash_components
 
 # The pseudonyms of the registered run; a user keeps a key of their own secret.
 KEY = "corpus-pipeline"
@@ -22,8 +23,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays, the one with the smallest id."""
-    return without_near_copies(docs)
+    """One document of each group of copies and near copies stays, the one with the smallest id.
+
+    The groups are the components of SimHash fingerprints, as ``op10_simhash_components`` has them, widened by those of
+    longer fingerprints; the exact likeness of the texts then decides.
+    """
+    return without_near_copies(docs, found=written(simhash_components(docs), "simhash"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -287,10 +287,21 @@ def small_side(written_rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(written_rows) if written_rows.count() <= most else written_rows
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def component_pairs(told: DataFrame, equal: DataFrame, found: DataFrame) -> DataFrame:
+    """``(a, b)``: each text of a component of ``found(node, component)`` with the component's least node."""
+    marks = told.join(found, "node").select("text_mark", "component").distinct()
+    members = marks.join(equal.select("text_mark", "node"), "text_mark").select("component", "node")
+    least = members.groupBy("component").agg(F.min("node").alias("a"))
+    return members.join(least, "component").where("a < node").select("a", F.col("node").alias("b"))
+
+
+def copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None
+) -> DataFrame:
     """``(id, text_mark, stays)`` of the rows that have copies or near copies; one id of a group stays.
 
     ``text_mark`` tells texts apart; rows of one id are one document if their texts are equal.
+    ``found(id, component_id)`` are components to verify besides the ones that the fingerprints here lead to.
     """
     mark = F.xxhash64(F.sha2(text_of(text_col), 256))
     rows = docs.select(F.col(f"`{id_col}`").alias("node"), mark.alias("text_mark"), text_of(text_col).alias("text"))
@@ -308,7 +319,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         "equal",
     )
     # A text without words has copies only.
-    pairs = written(near_links(equal.where("n > 0").select("node", *NAMES)), "near")
+    pairs = near_links(equal.where("n > 0").select("node", *NAMES))
+    if found is not None:
+        named = found.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col("component_id").alias("component"))
+        named = named.where("node IS NOT NULL").distinct()
+        pairs = pairs.union(component_pairs(told.select("node", "text_mark").distinct(), equal.where("n > 0"), named)).distinct()
+    pairs = written(pairs, "near")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ends = written(ends.join(equal.select("node", "text_mark"), "node"), "ends")
     texts = written(rows.join(small_side(ends), ["node", "text_mark"]).select("node", "text").distinct(), "texts")
@@ -331,14 +347,17 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return told.select("node", "text_mark").join(grouped, "text_mark").distinct()
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None
+) -> DataFrame:
     """``docs`` without the rows that are copies or near copies of one with a smaller id.
 
     Of each group linked by a likeness of 0.8 or more, the smallest id stays, with all its columns.
     Equal texts are copies whatever they hold; texts without words have no near copies. Rows equal in
-    id and text stay or go together; rows with a null id stay.
+    id and text stay or go together; rows with a null id stay. Every two texts of a component of
+    ``found(id, component_id)`` are compared too, but for those that verified links join already.
     """
-    gone = copies(docs, id_col, text_col).where("node <> stays").select("node", "text_mark")
+    gone = copies(docs, id_col, text_col, found).where("node <> stays").select("node", "text_mark")
     gone = written(gone.withColumnsRenamed({"node": "gone_node", "text_mark": "gone_mark"}), "gone")
     mark = F.xxhash64(F.sha2(text_of(text_col), 256))
     same = (docs[id_col].cast("long") == gone["gone_node"]) & (mark == gone["gone_mark"])

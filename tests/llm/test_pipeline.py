@@ -137,3 +137,29 @@ def test_stages_and_their_columns(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_near_copies_by_components_of_simhash(spark, monkeypatch):
+    """The stage's groups are those of op10, told by exact likeness, even where other fingerprints find none."""
+    import corpus_pipeline
+    from tabulens.llm import near_copies
+
+    words = [f"w{k}" for k in range(3000)]
+    changed = [*words[:1500], "other", *words[1501:]]
+    rows = [(5, " ".join(words)), (3, " ".join(changed)), (9, " ".join(words)), (7, " ".join(words[::-1])), (None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(
+        near_copies, "near_links", lambda marks: marks.selectExpr("node AS a", "node AS b").limit(0)
+    )
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["3", "7", "None"]
+
+
+def test_components_are_verified(spark):
+    """Texts of one component that are not alike all stay; those alike go, whoever is the least."""
+    from tabulens.llm.near_copies import without_near_copies
+
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, "c d e f g h"), (2, one), (3, two), (4, one + " z"), (5, two)], "doc_id long, text string")
+    found = spark.createDataFrame([(k, 1) for k in range(1, 6)], "doc_id long, component_id long")
+    assert sorted(r.doc_id for r in without_near_copies(docs, found=found).collect()) == [1, 2, 3]
