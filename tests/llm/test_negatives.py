@@ -71,6 +71,44 @@ def test_ties_and_copies(spark):
     assert mined(spark, rows) == every_negative(rows)
 
 
+@pytest.mark.parametrize(("group", "segment", "scores"), [(64, 1 << 19, 1 << 20), (3, 100, 50), (2, 30, 1)])
+def test_any_cells_find_the_same(spark, monkeypatch, group, segment, scores):
+    """Groups of anchors and segments of rows of any size, rows of one file and of many."""
+    for name, n in (("GROUP_ANCHORS", group), ("LEAST_ANCHORS", 1), ("SEGMENT_ROWS", segment), ("SCORES", scores)):
+        monkeypatch.setattr(negatives, name, n)
+    monkeypatch.setattr(negatives, "FILE_ROWS", segment // 2)
+    monkeypatch.setattr(negatives, "BLOCK_ROWS", 20)
+    rows = clusters(800, group)
+    rows += [(k, [0.25] * 12, k % 3) for k in (*range(800, 1100), *[900] * 30)]
+    assert mined(spark, rows) == every_negative(rows)
+
+
+def test_no_pairs_are_shuffled(spark, monkeypatch):
+    """Blocks and anchors gave ``positives`` or ``negatives`` rows for each block that was met, and each
+    block was sent to Python with each group of anchors; now an anchor's best are kept while blocks are read."""
+    found, whole = [], negatives.map_rows
+
+    def watched(df, function, schema, *more):
+        made = whole(df, function, schema, *more)
+        found.extend([made] if schema.startswith("anchor long, request") else [])
+        return made
+
+    monkeypatch.setattr(negatives, "map_rows", watched)
+    monkeypatch.setattr(negatives, "LEAF_ROWS", 20)
+    monkeypatch.setattr(negatives, "BLOCK_ROWS", 7)
+    rows = clusters(800, 4)
+    assert mined(spark, rows) == every_negative(rows)
+    positives, answers = (made.count() for made in found)
+    assert positives <= 8 * 5 and answers <= 8 * 5 * 10
+
+
+def test_large_components(spark):
+    """Scores beyond what floats of 24 and of 53 bits hold, told apart by their last digit."""
+    for size in (2.0**10, 2.0**19):
+        rows = [(k, [size + k / 256, size, float(k % 5)], k % 2) for k in range(0, 300)]
+        assert mined(spark, rows) == every_negative(rows)
+
+
 def test_rows_that_take_no_part(spark):
     rows = clusters(300, 5)
     rows += [(400, None, 1), (500, rows[0][1], None), (600, [float("nan")] * 12, 1), (None, rows[0][1], 1)]
